@@ -128,8 +128,8 @@ def near_links(nodes: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE,
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", blocks: int = BLOCKS, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
     """``id, fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable) of each row."""
-    marked = checkpoint(fingerprints(docs, text, id))
-    return _with_components(marked, id, blocks, distance, tile).select(id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    marked = _with_components(checkpoint(fingerprints(docs, text, id)), id, blocks, distance, tile)
+    return marked.select(id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _with_components(marked: DataFrame, id: str, blocks: int, distance: int, tile: int) -> DataFrame:
@@ -141,11 +141,15 @@ def _with_components(marked: DataFrame, id: str, blocks: int, distance: int, til
 
 
 def keep_one(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the rows with its id stay, once.
+    """The rows of ``docs`` without near-duplicates: of each component the row with its id stays, once.
 
-    Of rows that repeat the kept id (or all have null ids) one stays.
+    Only where ids repeat are rows with a kept id compared with each other, and one of them stays.
     """
-    marked = near_duplicates(docs, text, id)
-    kept = marked.groupBy("component_id").agg(F.count("*").alias("_n")).select(F.col("component_id").alias("_id"))
+    marked = checkpoint(fingerprints(docs, text, id))
+    kept = _with_components(marked, id, BLOCKS, DISTANCE, TILE).select(F.col("component_id").alias("_id")).distinct()
     out = docs.join(kept, docs[id].eqNullSafe(kept["_id"]), "left_semi")
-    return out.dropDuplicates([id])
+    again = marked.groupBy(id).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(id).alias("_id"))
+    if again.isEmpty():
+        return out
+    repeated = out.join(again, out[id].eqNullSafe(again["_id"]), "left_semi").dropDuplicates([id])
+    return out.join(again, out[id].eqNullSafe(again["_id"]), "left_anti").unionByName(repeated)

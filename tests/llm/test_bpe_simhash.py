@@ -121,7 +121,7 @@ def test_close_random_fingerprints_meet(spark):
 def test_keep_one_of_each_group(spark):
     texts = near_texts()
     docs = frame(spark, texts)
-    want = set(simhash.near_duplicates(docs).toPandas()["component_id"])
+    want = {r.component_id for r in simhash.near_duplicates(docs).collect()}
     kept = simhash.keep_one(docs).collect()
     assert {r.doc_id for r in kept} == want and len(kept) == len(want)
     assert set(kept[0].asDict()) == set(docs.columns)
