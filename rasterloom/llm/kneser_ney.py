@@ -7,7 +7,7 @@ stored in sorted hash arrays, found through a directory over the leading bits of
 
 The arrays are broadcast. Their size is bounded by construction: each n-gram belongs to one of ``SLOTS`` slots, and
 of those that share a slot the most frequent one stays; the others are scored by backing off, as unseen n-grams are.
-At 16 bytes a slot the bound is 128 MB, however large the corpus is.
+At 16 bytes a slot the bound is 64 MB, however large the corpus is.
 
 A row is rejected where its mean surprise (natural log of the perplexity) leaves its language's band. The band is taken from
 all rows of the language that pass the base rules: quartiles, and a multiple of their distance on either side, widened
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from rasterloom.runtime import checkpoint
 
 ORDER = 4
-SLOTS = 1 << 23
+SLOTS = 1 << 22
 #: Units that are handled at once by a worker.
 CHUNK = 1 << 20
 #: Distinct 4-grams of a language that a worker adds up before it hands them on.
