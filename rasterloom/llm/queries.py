@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import bpe, decontaminate, kneser_ney, licenses, pii, secrets, simhash, urls
+from rasterloom.llm import bpe, decontaminate, kneser_ney, licenses, pii, quality, secrets, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perplexity, op2_personal_data, op3_byte_bpe, op5_url_filter, op6_simhash, op7_decontamination, op8_licenses, op9_secrets)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perplexity, op2_personal_data, op3_byte_bpe, op5_url_filter, op6_simhash, op7_decontamination, op8_licenses, op9_secrets, op10_quality)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLE: dict[str, str] = {"op5_url_filter": urls.oracle()}
