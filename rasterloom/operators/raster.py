@@ -90,7 +90,7 @@ def to_multiband_raster(df: DataFrame, tiles: list[str], cols: int, rows: int, m
                             c0, r0, w, h, e = windows[i]
                             px = (extent.xmin + (c0 + np.arange(w) + 0.5) * sx - e.xmin) / e.width * g.cols
                             py = (e.ymax - (extent.ymax - (r0 + np.arange(h) + 0.5) * sy)) / e.height * g.rows
-                            v = sample(x.reshape(g.rows, g.cols), *np.meshgrid(np.clip(px, 0, g.cols - 1e-9), np.clip(py, 0, g.rows - 1e-9)), method)
+                            v = sample(x.reshape(g.rows, g.cols), *np.meshgrid(np.clip(px + 1e-9, 0, g.cols - 1e-9), np.clip(py + 1e-9, 0, g.rows - 1e-9)), method)
                             values[n][i] = (g.cell_type.name, g.cell_type.from_doubles(v).astype(g.cell_type.stored).tobytes())
             rows_at = sorted(windows)
             columns = [pa.array([windows[i][k] for i in rows_at], pa.int32()) for k in range(4)]

@@ -74,15 +74,6 @@ class GeoTiffReader(DataSourceReader):
         self.col: int | None = None
         self.row: int | None = None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Equality on the key's fields chooses tiles; everything is checked again by Spark."""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("spatial_key", "col"):
-                self.col = f.value
-            elif isinstance(f, EqualTo) and f.attribute == ("spatial_key", "row"):
-                self.row = f.value
-            yield f
-
     def partitions(self) -> list[InputPartition]:
         n, m = self.layout.tiles.layout_cols, self.layout.tiles.layout_rows
         keys = [(c, r) for r in range(m) for c in range(n) if self.col in (None, c) and self.row in (None, r)]
@@ -94,6 +85,19 @@ class GeoTiffReader(DataSourceReader):
             yield from _rows(t, self.layout, partition.keys)
 
 
+class PushingReader(GeoTiffReader):
+    """For sessions that let Python sources have filters (``spark.sql.python.filterPushdown.enabled``)."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Equality on the key's fields chooses tiles; everything is checked again by Spark."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("spatial_key", "col"):
+                self.col = f.value
+            elif isinstance(f, EqualTo) and f.attribute == ("spatial_key", "row"):
+                self.row = f.value
+            yield f
+
+
 class GeoTiffSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -112,7 +116,8 @@ class GeoTiffSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         t = self._open()
         with t.file:
-            return GeoTiffReader(self.options["path"], layout_of(t))
+            kind = PushingReader if self.options.get("pushdown", "false").lower() == "true" else GeoTiffReader
+            return kind(self.options["path"], layout_of(t))
 
 
 def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
@@ -121,7 +126,8 @@ def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
     t = Tiff.open(path)
     with t.file:
         md = metadata_of(t)
-    return layer.as_rf(spark.read.format("geotiff").load(path), layer.SPATIAL_KEY, md)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return layer.as_rf(spark.read.format("geotiff").option("pushdown", "true").load(path), layer.SPATIAL_KEY, md)
 
 
 def read_files(spark: SparkSession, path: str, bands: int = 1) -> DataFrame:
