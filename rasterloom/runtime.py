@@ -28,25 +28,28 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
-
-    Only where neither the session nor the context has such a folder (tests on one machine) is a folder of our own set.
-    """
-    sc = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The folder of reliable checkpoints; one of our own only where neither session nor context has one (tests on one machine)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rasterloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it again (columnar, so later reads can prune)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rasterloom-checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, "staged")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """Path of a new folder, that all executors reach, under the one that ``spark.checkpoint.dir`` names."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
