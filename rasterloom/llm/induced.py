@@ -113,6 +113,7 @@ class Sorter:
     """Sorts the suffixes of ``text`` (non-negative integers, the last one the least and unique)."""
 
     def __init__(self, text: np.ndarray, folder: str, memory: int, cap: int = 0) -> None:
+        text = np.asarray(text)  # a plain view, also of a mapped file
         self.text, self.folder, self.memory, self.cap = text, folder, memory, cap
         change = np.flatnonzero(text[1:] != text[:-1])
         rising = np.append(text[change] < text[change + 1], True)
@@ -229,18 +230,26 @@ class Sorter:
         return self.induce(seeds, self._neighbours(seeds))
 
     def _neighbours(self, order: np.ndarray) -> np.ndarray:
-        """Common prefix of each suffix with the one before it in ``order``, up to the cap."""
+        """Common prefix of each suffix with the one before it in ``order``, up to the cap; four characters of two bytes at a time."""
+        text, n, cap = self.text, len(self.text), self.cap
         out = np.zeros(len(order), np.uint16)
         live = np.arange(1, len(order))
-        n = len(self.text)
-        for k in range(self.cap):
-            a, b = order[live - 1] + k, order[live] + k
-            inside = np.maximum(a, b) < n
-            live, a, b = live[inside], a[inside], b[inside]
-            live = live[self.text[a] == self.text[b]]
+        words = np.ndarray((max(0, n - 3),), np.uint64, text, strides=(2,)) if text.dtype == np.uint16 else None
+        a, b = order[:-1], order[1:]
+        for k in range(0, cap, 4):
+            late = np.maximum(a, b) > n - 4 if words is not None else np.ones(len(live), bool)
+            if late.any():  # the last few places of the text
+                for i, x, y in zip(live[late].tolist(), a[late].tolist(), b[late].tolist()):
+                    out[i] = min(cap, k + self._common(x, y))
+                live, a, b = live[~late], a[~late], b[~late]
             if not len(live):
                 break
-            out[live] = k + 1
+            differ = words[a] ^ words[b]
+            some = differ != 0
+            low = differ[some]
+            out[live[some]] = np.minimum(k + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 4), cap)
+            live, a, b = live[~some], a[~some] + 4, b[~some] + 4
+        out[live] = cap
         return out
 
 
