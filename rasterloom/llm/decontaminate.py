@@ -23,7 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
+from rasterloom.llm.rows import row_key, without
 from rasterloom.runtime import checkpoint
 
 N = 4
@@ -108,7 +111,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "do
     kind, item_kind = docs.schema[id].dataType, items.schema[item_id].dataType
     found = None
     for part in _slices(items, item_text, item_id):
-        one = _matches_of(docs, part, text, id, kind.simpleString(), item_kind.simpleString(), least)
+        one = _matches_of(docs, part, text, id, kind.simpleString(), item_kind, least)
         found = one if found is None else found.union(one)
     if found is None:
         found = spark.createDataFrame([], f"id {kind.simpleString()}, item_id {item_kind.simpleString()}, score double, start long, end long")
@@ -116,7 +119,8 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "do
     return best.select(F.col("id").alias(id), F.col("item_id").alias(item_id), "b.score", (-F.col("b.start")).alias("start"), "b.end")
 
 
-def _matches_of(docs: DataFrame, items: list[tuple[object, list[bytes]]], text: str, id: str, kind: str, item_kind: str, least: float) -> DataFrame:
+def _matches_of(docs: DataFrame, items: list[tuple[object, list[bytes]]], text: str, id: str, kind: str, item_spark: DataType, least: float) -> DataFrame:
+    item_kind = item_spark.simpleString()
     places: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
     for k, (_, words) in enumerate(items):
         n = min(N, len(words))
@@ -175,13 +179,11 @@ def _matches_of(docs: DataFrame, items: list[tuple[object, list[bytes]]], text:
                         end.append(first + z)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(item, item_type), pa.array(value, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["id", "item_id", "score", "start", "end"])
 
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
+    item_type = to_arrow_type(item_spark)
     return passages.mapInArrow(score, f"id {kind}, item_id {item_kind}, score double, start long, end long")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that align with no item; as ids may repeat or be null, rows are told apart by id and text."""
-    key = lambda d: F.xxhash64(d[id], d[text])
-    keyed = docs.select(key(docs).alias("_key"), docs[text].alias("_text"))
-    bad = matches(keyed, items, "_text", "_key").select("_key").distinct()
-    return docs.withColumn("_key", key(docs)).join(bad, "_key", "left_anti").select(*docs.columns)
+    keyed = docs.select(row_key(docs, id, text).alias("_key"), docs[text].alias("_text"))
+    return without(docs, matches(keyed, items, "_text", "_key").select("_key").distinct(), id, text)

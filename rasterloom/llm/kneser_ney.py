@@ -3,7 +3,9 @@
 The language model is an interpolated modified Kneser-Ney model over UTF-16 code units, one for each value of ``lang``.
 All rows are counted: workers add up packed 4-grams of their rows, Spark sums them up, and continuation counts, the
 counts of counts and the three discounts of each order follow by grouping. Probabilities and back-off weights are
-stored in sorted hash arrays, found through a directory over the leading bits of the hash.
+stored in sorted hash arrays, found through a directory over the leading bits of the hash. N-grams that occur once in all
+rows are counted but not stored: to the only row that has them they say nothing of the language, and without them a row
+of random characters cannot explain itself.
 
 The arrays are broadcast. Their size is bounded by construction: each n-gram belongs to one of ``SLOTS`` slots, and
 of those that share a slot the most frequent one stays; the others are scored by backing off, as unseen n-grams are.
@@ -29,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.rows import row_key, without
 from rasterloom.runtime import checkpoint
 
 ORDER = 4
@@ -120,13 +123,13 @@ def _units(g: Column, k: int) -> Column:
 
 
 def model_table(counts: DataFrame) -> DataFrame:
-    """``lang, k, g, logp, back``: interpolated log-probabilities and back-off weights of all n-grams, order by order.
+    """``lang, k, g, times, logp, back``: interpolated log-probabilities and back-off weights of all n-grams, and how often they occur.
 
     The highest order has the counts themselves, the lower ones the numbers of different units before the gram.
     """
-    tables = {ORDER: checkpoint(counts)}
+    tables = {ORDER: checkpoint(counts.select("lang", "g", "n", F.col("n").alias("times")))}
     for k in range(ORDER - 1, 0, -1):
-        tables[k] = checkpoint(tables[k + 1].groupBy("lang", _units(F.col("g"), k).alias("g")).agg(F.count("*").alias("n")))
+        tables[k] = checkpoint(tables[k + 1].groupBy("lang", _units(F.col("g"), k).alias("g")).agg(F.count("*").alias("n"), F.sum("times").alias("times")))
     lower, out = None, []
     for k in range(1, ORDER + 1):
         t = tables[k]
@@ -153,9 +156,9 @@ def model_table(counts: DataFrame) -> DataFrame:
             t = t.withColumn("p", F.expr("(n - d) / total + mass / total * lp"))
             # the weight of a context belongs to the gram of the order below
             back = sums.select(F.col("lang").alias("bl"), F.col("h").alias("bh"), F.expr("cast(ln(mass / total) as float)").alias("weight"))
-            out[-1] = out[-1].join(back, F.col("lang").eqNullSafe(F.col("bl")) & (F.col("g") == F.col("bh")), "left").select("lang", "k", "g", "n", "logp", F.coalesce("weight", "back").alias("back"))
-        lower = checkpoint(t.select("lang", "g", "n", "p"))
-        out.append(lower.select("lang", F.lit(k).alias("k"), "g", "n", F.expr("cast(ln(p) as float)").alias("logp"), F.lit(0.0).cast("float").alias("back")))
+            out[-1] = out[-1].join(back, F.col("lang").eqNullSafe(F.col("bl")) & (F.col("g") == F.col("bh")), "left").select("lang", "k", "g", "times", "logp", F.coalesce("weight", "back").alias("back"))
+        lower = checkpoint(t.select("lang", "g", "times", "p"))
+        out.append(lower.select("lang", F.lit(k).alias("k"), "g", "times", F.expr("cast(ln(p) as float)").alias("logp"), F.lit(0.0).cast("float").alias("back")))
     whole = out[0]
     for x in out[1:]:
         whole = whole.union(x)
@@ -225,9 +228,9 @@ class Scorer:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int = SLOTS) -> Scorer:
     """The model of all rows, in arrays of at most ``slots`` entries."""
-    table = model_table(count_grams(docs, text, lang))
+    table = model_table(count_grams(docs, text, lang)).where("times > 1")
     slot = F.pmod(F.xxhash64("lang", "k", "g"), F.lit(slots))
-    kept = table.groupBy(slot.alias("slot")).agg(F.max(F.struct("n", "k", "g", "lang", "logp", "back")).alias("x")).select("x.lang", "x.k", "x.g", "x.logp", "x.back")
+    kept = table.groupBy(slot.alias("slot")).agg(F.max(F.struct("times", "k", "g", "lang", "logp", "back")).alias("x")).select("x.lang", "x.k", "x.g", "x.logp", "x.back")
     t = kept.toArrow()
     column = lambda c: t.column(c).to_numpy()
     return Scorer(t.column("lang").to_pylist(), column("k"), column("g"), column("logp"), column("back"))
@@ -321,7 +324,6 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "do
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps; as ids may repeat or be null, rows are told apart by id, text and language."""
-    key = lambda d: F.xxhash64(d[id], d[text], d[lang])
-    keyed = docs.select(key(docs).alias("_key"), docs[text].alias("_text"), docs[lang].alias("_lang"))
+    keyed = docs.select(row_key(docs, id, text, lang).alias("_key"), docs[text].alias("_text"), docs[lang].alias("_lang"))
     bad = verdicts(keyed, "_text", "_lang", "_key").where("not kept").select("_key").distinct()
-    return docs.withColumn("_key", key(docs)).join(bad, "_key", "left_anti").select(*docs.columns)
+    return without(docs, bad, id, text, lang)

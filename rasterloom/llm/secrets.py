@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.rows import unused
+
 #: Base formats: kind, expression, a cheaper test that every match passes, and the group whose length counts with its least length.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -172,16 +174,9 @@ def _random(spans: Column, base: Column, cut: dict[int, int]) -> Column:
     return _only(F.filter(spans, stays))
 
 
-def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[int, int]]:
-    """``docs`` with the columns ``_base`` and ``_all`` (arrays of start, kind, end), and the cutoffs that were used.
-
-    Two passes over the texts: one counts the candidates' p-values over all rows, one builds the spans.
-    """
-    whole = F.coalesce(docs[text], F.lit(""))
-    cut = cutoffs(docs.select(candidates(whole).alias("_candidates")), "_candidates")
-    marked = docs.withColumn("_base", base_spans(whole))
-    all_spans = F.array_sort(F.concat(F.col("_base"), _random(candidates(whole), F.col("_base"), cut)))
-    return marked.withColumn("_all", all_spans), cut
+def found_cutoffs(docs: DataFrame, text: str) -> dict[int, int]:
+    """Cutoffs over all rows: a pass that counts the p-values of all candidates."""
+    return cutoffs(docs.select(candidates(F.coalesce(docs[text], F.lit(""))).alias("_candidates")), "_candidates")
 
 
 def written(spans: Column) -> Column:
@@ -191,26 +186,36 @@ def written(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """``id``, counts of each base kind, base_sha256 and all spans of each row."""
-    marked, _ = scan(docs.select(docs[id], docs[text].alias("_text")), "_text")
+    """``id``, counts of each base kind, base_sha256 and all spans of each row.
+
+    Two passes over the texts: one counts the candidates' p-values over all rows, one builds the spans.
+    """
+    cut = found_cutoffs(docs, text)
+    whole = F.coalesce(docs[text], F.lit(""))
+    marked = docs.select(docs[id].alias("_id"), whole.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
+    marked = marked.withColumn("_all", F.array_sort(F.concat(F.col("_base"), _random(candidates(F.col("_text")), F.col("_base"), cut))))
     count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
     return marked.select(
-        id, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.col("_all")).alias("spans")
+        F.col("_id").alias(id), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.col("_all")).alias("spans")
     )
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans by one. Null texts stay null; ``n_chars`` follows where there is one."""
-    marked, _ = scan(docs, text)
+    cut = found_cutoffs(docs, text)
+    base, every = unused(docs, "_base"), unused(docs, "_all")
     whole = docs[text]
+    marked = docs.withColumn(base, base_spans(F.coalesce(whole, F.lit(""))))
+    marked = marked.withColumn(every, F.array_sort(F.concat(F.col(base), _random(candidates(F.coalesce(whole, F.lit(""))), F.col(base), cut))))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
         apart = F.concat(a["out"], F.substring(whole, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], apart).otherwise(a["out"]).alias("out"))
 
-    cleaned = F.aggregate(F.col("_all"), first, step, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.char_length(whole))))
-    out = marked.withColumn(text, F.when(F.size("_all") > 0, cleaned).otherwise(whole))
+    cleaned = F.aggregate(F.col(every), first, step, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.char_length(whole))))
+    any_found = F.size(every) > 0
+    new = {text: F.when(any_found, cleaned).otherwise(whole)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.char_length(F.col(text)).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(any_found, F.char_length(cleaned).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
+    return marked.withColumns(new).select(*docs.columns)

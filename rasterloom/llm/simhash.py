@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.graph import components
+from rasterloom.llm.rows import row_key, unused
 from rasterloom.runtime import checkpoint
 
 SEED, WIDTH = 42, 3
@@ -141,15 +142,17 @@ def _with_components(marked: DataFrame, id: str, blocks: int, distance: int, til
 
 
 def keep_one(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with its id stays, once.
+    """The rows of ``docs`` without near-duplicates: of each component the row with the least id stays, once.
 
-    Only where ids repeat are rows with a kept id compared with each other, and one of them stays.
+    Null ids come last. Rows are told apart by id and text; only where such rows repeat are they compared with each other.
     """
-    marked = checkpoint(fingerprints(docs, text, id))
-    kept = _with_components(marked, id, BLOCKS, DISTANCE, TILE).select(F.col("component_id").alias("_id")).distinct()
-    out = docs.join(kept, docs[id].eqNullSafe(kept["_id"]), "left_semi")
-    again = marked.groupBy(id).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(id).alias("_id"))
-    if again.isEmpty():
-        return out
-    repeated = out.join(again, out[id].eqNullSafe(again["_id"]), "left_semi").dropDuplicates([id])
-    return out.join(again, out[id].eqNullSafe(again["_id"]), "left_anti").unionByName(repeated)
+    who = F.struct(docs[id].isNull().alias("last"), docs[id].alias("id"), row_key(docs, id, text).alias("key"))
+    marked = checkpoint(fingerprints(docs.select(who.alias("who"), docs[text].alias("text")), "text", "who"))
+    kept = _with_components(marked, "who", BLOCKS, DISTANCE, TILE).select(F.col("component_id.key").alias("_kept")).distinct()
+    name = unused(docs, "_key")
+    out = docs.withColumn(name, row_key(docs, id, text)).join(kept, F.col(name) == F.col("_kept"), "left_semi")
+    again = checkpoint(marked.groupBy("who.key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("key").alias("_again")))
+    if not again.isEmpty():
+        once = out.join(again, F.col(name) == F.col("_again"), "left_semi").dropDuplicates([name])
+        out = out.join(again, F.col(name) == F.col("_again"), "left_anti").unionByName(once)
+    return out.select(*docs.columns)
