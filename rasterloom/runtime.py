@@ -46,7 +46,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it again (columnar, so later reads can prune)."""
     path = shared_folder(df.sparkSession, "staged")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
