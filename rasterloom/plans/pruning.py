@@ -6,13 +6,19 @@ file, so that they reach the Parquet scan and skip row groups, and the exact pre
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.geometry import Geometry, geom_lit, polygon_of_box, st_contains, st_covers, st_intersects
+from rasterloom.geometry import Geometry, _predicate_udf, contains, covers, geom_lit, intersects, polygon_of_box
 from rasterloom.operators import layer
 
 
+#: Exact predicates that stay where they are: below an aggregate by key they would be asked once for each row in place of each key.
+_STAYING = {f.__name__: _predicate_udf(f).asNondeterministic() for f in (intersects, contains, covers)}
+
+
 def key_range(df: DataFrame, g: Geometry) -> Column:
     """Comparisons that hold for all keys whose extents meet the geometry's box, borders included."""
     md, key = layer.tile_layer_metadata(df), F.col(layer.spatial_key_column(df))
@@ -21,8 +27,6 @@ def key_range(df: DataFrame, g: Geometry) -> Column:
     slack = 1e-9
     c0, c1 = (xmin - e.xmin) / w - 1 - slack, (xmax - e.xmin) / w + slack
     r0, r1 = (e.ymax - ymax) / h - 1 - slack, (e.ymax - ymin) / h + slack
-    import math
-
     return key["col"].between(math.ceil(c0), math.floor(c1)) & key["row"].between(math.ceil(r0), math.floor(r1))
 
 
@@ -32,16 +36,16 @@ def _bounds(df: DataFrame) -> Column:
 
 def where_intersects(df: DataFrame, g: Geometry) -> DataFrame:
     """Rows whose key meets the geometry."""
-    return df.where(key_range(df, g)).where(st_intersects(_bounds(df), geom_lit(g)))
+    return df.where(key_range(df, g)).where(_STAYING["intersects"](_bounds(df), geom_lit(g)))
 
 
 def where_contains(df: DataFrame, g: Geometry) -> DataFrame:
     """Rows whose key contains the geometry."""
-    return df.where(key_range(df, g)).where(st_contains(_bounds(df), geom_lit(g)))
+    return df.where(key_range(df, g)).where(_STAYING["contains"](_bounds(df), geom_lit(g)))
 
 
 def where_covers(df: DataFrame, g: Geometry) -> DataFrame:
-    return df.where(key_range(df, g)).where(st_covers(_bounds(df), geom_lit(g)))
+    return df.where(key_range(df, g)).where(_STAYING["covers"](_bounds(df), geom_lit(g)))
 
 
 def join_points(df: DataFrame, points: DataFrame, x: str, y: str) -> DataFrame:
