@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +34,11 @@ from rasterloom.runtime import checkpoint, staged
 
 LENGTH, GRAM, PART = 400, 32, 64
 #: Bytes of a text whose grams are hashed at once, and bytes that a shard's queues keep in memory.
-CHUNK, MEMORY = 1 << 19, 64 << 20
+CHUNK, MEMORY = 1 << 19, 24 << 20
+#: Rows whose texts are held as Python objects at once.
+ROWS = 512
 #: Bytes of parts that one call of the sorter takes; a single core with more is still sorted in one call.
-SHARD = 8 << 20
+SHARD = 3 << 20
 
 _PLACE = np.uint64((1 << 20) - 1)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -92,12 +95,20 @@ def _key(text: Column) -> list[Column]:
     return [F.xxhash64(whole).alias("k1"), F.hash(whole).alias("k2")]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that no worker holds more than these as Python objects; memory of the last ones goes back."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+            pa.default_memory_pool().release_unused()
+
+
 def _contexts(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
     """``k1, k2, anchor, content, start, n`` of each anchor of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for b in batches:
+        for b in _pieces(batches):
             row, anchor, content, start, number = [], [], [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):
                 raw = (t or "").encode()
@@ -126,7 +137,7 @@ def _parts(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for b in batches:
+        for b in _pieces(batches):
             row, core, content, start, number, held = [], [], [], [], [], []
             for i, (t, wanted) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
                 raw, wanted = (t or "").encode(), {w["start"]: w["n"] for w in wanted}
@@ -172,7 +183,7 @@ def _sorted_shards(parts: DataFrame, length: int, memory: int, shard: int) -> Da
                         end.append(start + y + length)
             return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int32()), pa.array(first, pa.int32()), pa.array(end, pa.int32())], ["k1", "k2", "a", "b"])
 
-        for batch in batches:
+        for batch in _pieces(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if size >= shard and held[-1][0] != row[0]:
                     yield found()
@@ -211,16 +222,27 @@ def _with_spans(docs: DataFrame, text: str, id: str, length: int, gram: int, mem
     return keyed.join(removed, ["k1", "k2"], "left").select("id", "text", "spans")
 
 
-def _kept(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
+def _kept(raw: bytes, first: np.ndarray, end: np.ndarray) -> tuple[bytes, int]:
     """The bytes that stay, and the number of maximal removed runs."""
-    out, at, runs = [], 0, 0
-    for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
-        if a > at or runs == 0:
-            out.append(raw[at:a])
-            runs += 1
-        at = max(at, b)
-    out.append(raw[at:])
-    return b"".join(out), runs
+    if not len(first):
+        return raw, 0
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(end[order])
+    start = np.flatnonzero(np.concatenate(([True], first[1:] > reach[:-1])))
+    begins, ends = first[start].tolist(), reach[np.append(start[1:], len(first)) - 1].tolist()
+    return b"".join(raw[x:y] for x, y in zip([0, *ends], [*begins, len(raw)])), len(begins)
+
+
+def _rows_kept(b: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, int]]:
+    """Bytes of each row, those that stay, and the runs removed. b: id, text, spans."""
+    spans = b.column(2)
+    sizes = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+    flat = spans.flatten()
+    first, end = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    for i in range(b.num_rows):
+        raw = (b.column(1)[i].as_py() or "").encode()
+        yield raw, *_kept(raw, first[at[i] : at[i + 1]], end[at[i] : at[i + 1]])
 
 
 def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, memory: int = MEMORY, shard: int = SHARD) -> DataFrame:
@@ -228,8 +250,8 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", length
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = [_kept((t or "").encode(), s)[0] for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        for b in _pieces(batches):
+            kept = [x for _, x, _ in _rows_kept(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary())], ["id", "kept"])
 
     return _with_spans(docs, text, id, length, gram, memory, shard).mapInArrow(run, f"id {kind}, kept binary").withColumnRenamed("id", id)
@@ -240,11 +262,9 @@ def digest(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches):
             size, gone, runs, sha = [], [], [], []
-            for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                raw = (t or "").encode()
-                kept, n = _kept(raw, s)
+            for raw, kept, n in _rows_kept(b):
                 size.append(len(raw))
                 gone.append(len(raw) - len(kept))
                 runs.append(n)
