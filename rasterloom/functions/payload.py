@@ -12,7 +12,8 @@ from rasterloom.celltype import CellType, parse, union
 from rasterloom.functions.scalar import ColumnOrName, _alias, _col, _paired
 from rasterloom.geometry import Geometry, locate
 from rasterloom.operators.metadata import Extent
-from rasterloom.tile import TILE_TYPE, Group, map_tiles
+from rasterloom.operators.resampling import sample
+from rasterloom.tile import TILE_TYPE, Group, build, groups, map_tiles
 
 
 def merge_data(a: Column, b: Column, kind: T.DataType) -> Column:
@@ -147,3 +148,52 @@ def mask_by_geometry(tile: ColumnOrName, extent: Column, g: Geometry) -> Column:
         return map_tiles(tiles, kernel)
 
     return run(_col(tile), extent).alias(_alias("mask", tile))
+
+
+def _extents(boxes: pa.Array) -> list[Extent | None]:
+    return [None if b is None else Extent(*(b[k] for k in ("xmin", "ymin", "xmax", "ymax"))) for b in boxes.to_pylist()]
+
+
+def crop_by_extent(tile: ColumnOrName, extent: Column, to: Extent) -> Column:
+    """Cells of a tile that an extent covers, whole cells outwards; null where they do not meet. ``extent`` is a struct of each tile's."""
+
+    @F.arrow_udf(TILE_TYPE)
+    def run(tiles: pa.Array, boxes: pa.Array) -> pa.Array:
+        own, parts = _extents(boxes), []
+        for g in groups(tiles):
+            for k, i in enumerate(g.at.tolist()):
+                e = own[i]
+                part = e and e.intersection(to)
+                if not part or part.width <= 0 or part.height <= 0:
+                    continue
+                w, h = e.width / g.cols, e.height / g.rows
+                c0, c1 = int((part.xmin - e.xmin) / w + 1e-9), int(np.ceil((part.xmax - e.xmin) / w - 1e-9))
+                r0, r1 = int((e.ymax - part.ymax) / h + 1e-9), int(np.ceil((e.ymax - part.ymin) / h - 1e-9))
+                cells = g.cells[k].reshape(g.rows, g.cols)[r0:r1, c0:c1]
+                parts.append((g.at[k : k + 1], g.cell_type, cells.shape[1], cells.shape[0], cells.reshape(1, -1)))
+        return build(len(tiles), parts)
+
+    return run(_col(tile), extent).alias(_alias("crop", tile))
+
+
+def merge_by_extent(tile: ColumnOrName, extent: Column, other: ColumnOrName, other_extent: Column, method: str = "nearest") -> Column:
+    """The tile's cells, and where they have no data the other tile's, resampled to the places that both cover."""
+
+    @F.arrow_udf(TILE_TYPE)
+    def run(left: pa.Array, boxes: pa.Array, right: pa.Array, other_boxes: pa.Array) -> pa.Array:
+        mine, theirs, parts = _extents(boxes), _extents(other_boxes), []
+        cells = {i: (h, h.doubles()[k].reshape(h.rows, h.cols)) for h in groups(right) for k, i in enumerate(h.at.tolist())}
+        for g in groups(left):
+            x = g.doubles()
+            for k, i in enumerate(g.at.tolist()):
+                v, ct = x[k].reshape(g.rows, g.cols), g.cell_type
+                if i in cells and mine[i] and theirs[i]:
+                    h, y = cells[i]
+                    ct, e, o = union(g.cell_type, h.cell_type), mine[i], theirs[i]
+                    px = (e.xmin + (np.arange(g.cols) + 0.5) * e.width / g.cols - o.xmin) / o.width * h.cols
+                    py = (o.ymax - (e.ymax - (np.arange(g.rows) + 0.5) * e.height / g.rows)) / o.height * h.rows
+                    v = np.where(np.isnan(v), sample(y, *np.meshgrid(px, py), method), v)
+                parts.append((g.at[k : k + 1], ct, g.cols, g.rows, ct.from_doubles(v).reshape(1, -1)))
+        return build(len(left), parts)
+
+    return run(_col(tile), extent, _col(other), other_extent).alias(_alias("merge", tile, other))

@@ -126,6 +126,28 @@ def _local_stats(tiles: pa.Array) -> pa.Array:
     return pa.array([parts if parts["count"] is not None else None])
 
 
+def _assembled():
+    """``rf_assembleTile(column, row, cell, columns, rows, type)`` over a group's cells."""
+    import numpy as np
+
+    def run(c: pa.Array, r: pa.Array, v: pa.Array, cols: pa.Array, rows: pa.Array, kind: pa.Array) -> object:
+        w, h, ct = cols[0].as_py(), rows[0].as_py(), celltype.parse(kind[0].as_py())
+        x, y = (a.to_numpy(zero_copy_only=False).astype(np.int64) for a in (c, r))
+        value = v.cast(pa.float64()).to_numpy(zero_copy_only=False)
+        if ((x < 0) | (x >= w) | (y < 0) | (y >= h)).any():
+            raise ValueError(f"cell index outside of {w} x {h}")
+        out = np.full((h, w), np.nan)
+        order = np.argsort(value, kind="stable")  # NaN last
+        order = np.concatenate([order[np.isnan(value[order])], order[~np.isnan(value[order])]])
+        out[y[order], x[order]] = value[order]
+        return dict(zip(("cellType", "cols", "rows", "data"), Tile(ct, ct.from_doubles(out)).row()))
+
+    from pyspark.sql.pandas.functions import ArrowUDFType
+
+    run.__annotations__ = {**{n: pa.Array for n in ("c", "r", "v", "cols", "rows", "kind")}, "return": object}
+    return F.arrow_udf(run, TILE_TYPE, ArrowUDFType.GROUPED_AGG)
+
+
 def register_functions(spark: SparkSession) -> None:
     """All SQL functions. Aggregates are grouped ones here; the DataFrame functions of the same names are composed of partial sums."""
     u = spark.udf.register
@@ -150,6 +172,7 @@ def register_functions(spark: SparkSession) -> None:
     u("rf_localAggStats", _grouped(_local_stats, local_aggregate.LOCAL_STATS_TYPE))
     for name, what in {"Max": "plain_max", "Min": "plain_min", "Mean": "mean", "Count": "data_cells", "DataCells": "data_cells", "NoDataCells": "no_data_cells"}.items():
         u(f"rf_localAgg{name}", _grouped(_local(what), TILE_TYPE))
+    u("rf_assembleTile", _assembled())
     tile = "struct<cellType:string,cols:smallint,rows:smallint,data:binary>"
     for name, (args, kind, body) in SQL_BODIES.items():
         spark.sql(f"create or replace temporary function {name}({args.format(t=tile)}) returns {kind} return {body}")

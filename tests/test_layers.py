@@ -417,6 +417,9 @@ def test_sql_names(spark):
     agg = spark.sql("select rf_aggStats(a) s, rf_aggMean(a) m, rf_aggDataCells(a) n, rf_aggNoDataCells(a) x, rf_aggHistogram(a) h, rf_localAggStats(a) l, rf_localAggMax(a) mx, rf_localAggMin(a) mn, rf_localAggMean(a) me, rf_localAggCount(a) c from tiles group by k").first()
     assert (agg.s.dataCells, agg.m, agg.n, agg.x) == (3, 7 / 3, 3, 1) and sum(b["count"] for b in agg.h.bins) == 3
     assert Tile.from_row(agg.c).cells.sum() == 3 and Tile.from_row(agg.l.max).cells[1, 1] == 4
+    spark.sql("select k, e.* from tiles, lateral rf_explodeTiles(a) e").createOrReplaceTempView("cells")
+    again = spark.sql("select rf_assembleTile(column_index, row_index, cell, 2, 2, 'uint8') t from cells group by k").first()
+    assert Tile.from_row(again.t).cells.tolist() == a.tolist()
     cells = spark.sql("select k, e.* from tiles, lateral rf_explodeTiles(a) e").collect()
     assert len(cells) == 4 and sum(r.cell for r in cells if r.cell == r.cell) == 7
     assert spark.sql("select st_intersects(st_geomFromWKT('POINT (1 1)'), st_geomFromWKT('POLYGON ((0 0, 0 2, 2 2, 2 0, 0 0))'))").first()[0]

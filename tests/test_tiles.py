@@ -281,9 +281,32 @@ def test_merge_crop_and_masks(spark):
     assert np.isnan(read(r.p).doubles()).all()
 
 
+def test_merge_and_crop_by_extent(spark):
+    from rasterloom.operators.metadata import Extent
+
+    box = lambda *v: F.struct(*[F.lit(float(x)).alias(n) for n, x in zip(("xmin", "ymin", "xmax", "ymax"), v)])
+    left, right = np.array([[1.0, np.nan], [np.nan, 4]]), np.array([[10.0, 20], [30, 40]])
+    df = tiles(spark, [Tile.of(left, "float64"), None], [Tile.of(right, "float64"), Tile.of(right, "float64")])
+    r = df.orderBy("id").select(P.merge_by_extent("a", box(0, 0, 2, 2), "b", box(1, 0, 3, 2)).alias("m"), P.crop_by_extent("b", box(0, 0, 2, 2), Extent(0.5, 1.2, 1, 5)).alias("c"), P.crop_by_extent("b", box(0, 0, 2, 2), Extent(7, 7, 8, 8)).alias("n")).collect()
+    assert np.array_equal(read(r[0].m).cells, [[1, 10], [np.nan, 4]], equal_nan=True)
+    assert read(r[0].c).cells.tolist() == [[10]] and r[0].n is None and r[1].m is None
+
+
 def test_payloads_merge_by_type(spark):
     df = spark.createDataFrame([("x", "y", [1], [1, 2], {"a": "p"}, {"a": "q", "b": "r"}), ("", "y", None, [2], {}, None)], "s string, t string, l array<int>, m array<int>, u map<string,string>, v map<string,string>")
     k = df.schema
     r = df.select(P.merge_data(df.s, df.t, k["s"].dataType).alias("s"), P.merge_data(df.l, df.m, k["l"].dataType).alias("l"), P.merge_data(df.u, df.v, k["u"].dataType).alias("u"), P.merge_sets(df.l, df.m).alias("e")).collect()
     assert (r[0].s, r[0].l, r[0].u, sorted(r[0].e)) == ("x, y", [1, 1, 2], {"a": "p, q", "b": "r"}, [1, 2])
     assert (r[1].s, r[1].l, r[1].u) == ("y", [2], {})
+
+
+def test_camel_case_functions(spark):
+    from rasterloom import rasterfunctions as R
+
+    a = np.arange(12).reshape(3, 4)
+    df = tiles(spark, [Tile.of(a, "int16raw"), None], [Tile.of(a + 1, "int16raw"), None])
+    rows = df.select("id", R.explodeTiles("a", F.col("b"))).collect()
+    assert len(rows) == 12 and all((r.b, r.a) == (r.a + 1, 4 * r.row_index + r.column_index) for r in rows)
+    assert df.select(R.explodeTileSample(0.5, "a", seed=2)).count() == 6
+    got = df.agg(R.aggMean("a").alias("m"), R.aggDataCells("a").alias("n")).first()
+    assert (got.m, got.n) == (5.5, 12)
