@@ -1,9 +1,11 @@
 """Quality rules with a character 4-gram perplexity band for each language.
 
 The language model is an interpolated modified Kneser-Ney model over UTF-16 code units, one for each value of ``lang``.
-All rows are counted: workers add up packed 4-grams of their rows, Spark sums them up, and continuation counts, the
+It learns
+from all rows with at most a tenth as many of ``SYMBOLS`` as words: a row with more is judged like any other, but does not
+teach the model that such text is usual. Workers add up packed 4-grams of their rows, Spark sums them up, and continuation counts, the
 counts of counts and the three discounts of each order follow by grouping. Probabilities and back-off weights are
-stored in sorted hash arrays, found through a directory over the leading bits of the hash. N-grams that occur once in all
+stored in sorted hash arrays, found through a directory over the leading bits of the hash. N-grams that occur once in these
 rows are counted but not stored: to the only row that has them they say nothing of the language, and without them a row
 of random characters cannot explain itself.
 
@@ -12,7 +14,7 @@ of those that share a slot the most frequent one stays; the others are scored by
 At 16 bytes a slot the bound is 64 MB, however large the corpus is.
 
 A row is rejected where its mean surprise (natural log of the perplexity) leaves its language's band. The band is taken from
-all rows of the language that pass the base rules: quartiles, and a multiple of their distance on either side, widened
+the rows of the language that the model learns from and that pass the base rules: quartiles, and a multiple of their distance on either side, widened
 for short texts by the spread that so few characters have. The upper reach is the longer one, as a text with a passage
 in another language is surprising but clean, while strings that no language makes lie far above it.
 
@@ -41,9 +43,9 @@ CHUNK = 1 << 20
 #: Distinct 4-grams of a language that a worker adds up before it hands them on.
 HELD = 1 << 21
 #: Reach of the band below and above the quartiles, in distances between them, and the least distance.
-REACH_LOW, REACH_HIGH, LEAST_SPREAD = 6.0, 16.0, 0.05
+REACH_LOW, REACH_HIGH, LEAST_SPREAD = 6.0, 8.0, 0.05
 #: What the band is wider for n units, times the square root of n.
-SHORT = 6.0
+SHORT = 3.0
 #: Surprise is counted in bins of this width.
 BIN = 0.005
 
@@ -241,6 +243,12 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 
+def teaches(text: Column) -> Column:
+    """Whether the model learns from a row: it has at most a tenth as many symbols as words."""
+    symbols = F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))
+    return 10 * symbols <= F.regexp_count(text, F.lit(r"[^ \t\n\r\x0B\f]+"))
+
+
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     words = text.encode("utf-8", "surrogatepass").split()
@@ -293,8 +301,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """``lang, low, high``: quartiles of the surprise of rows that pass the base rules, and ``REACH`` distances beyond."""
-    bins = measured.where("not base_failed and surprise is not null").groupBy("lang", F.floor(F.col("surprise") / BIN).alias("bin")).agg(F.count("*").alias("n"))
+    """``lang, low, high``: quartiles of the surprise of rows that the model learns from and that pass the base rules, and ``REACH`` distances beyond."""
+    bins = measured.where("not base_failed and surprise is not null and 10 * n_symbols <= n_words").groupBy("lang", F.floor(F.col("surprise") / BIN).alias("bin")).agg(F.count("*").alias("n"))
     # every language has few bins, so that these sums are over few rows
     upto = F.expr("sum(n) over (partition by lang order by bin)")
     whole = F.expr("sum(n) over (partition by lang)")
@@ -307,7 +315,7 @@ def bands(measured: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame, text: str, lang: str, id: str) -> DataFrame:
     """Measures of each row with its band, ``base_failed`` and ``kept``."""
-    rows = measure(docs, train(docs, text, lang), text, lang, id)
+    rows = measure(docs, train(docs.where(teaches(docs[text])), text, lang), text, lang, id)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = checkpoint(rows.withColumn("base_failed", failed))
     band = bands(rows).withColumnRenamed("lang", "_lang")

@@ -126,6 +126,16 @@ def test_strings_of_no_language_are_rejected(spark):
     assert {x._key for x in kept.collect()} == {"c"}
 
 
+def test_junk_does_not_teach_the_model_that_it_is_usual(spark):
+    good = corpus(n=90)
+    stuck = [(200 + i, " ".join(w + "#$%"[i % 3] * 3 for w in t.split()), g) for i, t, g in corpus(seed=6, n=24)]
+    piped = [(300 + i, " | ".join(t.split()), g) for i, t, g in corpus(seed=7, n=24)]
+    got = {x.doc_id: x for x in K.judge(frame(spark, good + stuck + piped)).collect()}
+    assert all(got[i].kept for i, *_ in good)
+    assert not any(got[i].kept for i, *_ in stuck + piped)
+    assert sum(not got[i].base_failed for i, *_ in stuck + piped) > 40
+
+
 def test_rules_on_an_empty_table(spark):
     assert K.judge(frame(spark, [])).collect() == [] and K.keep_good(frame(spark, [])).collect() == []
 
