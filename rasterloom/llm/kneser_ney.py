@@ -9,9 +9,10 @@ stored in sorted hash arrays, found through a directory over the leading bits of
 rows are counted but not stored: to the only row that has them they say nothing of the language, and without them a row
 of random characters cannot explain itself.
 
-The arrays are broadcast. Their size is bounded by construction: each n-gram belongs to one of ``SLOTS`` slots, and
-of those that share a slot the most frequent one stays; the others are scored by backing off, as unseen n-grams are.
-At 16 bytes a slot the bound is 64 MB, however large the corpus is.
+The arrays are broadcast in shards of about ``SLOTS`` entries (64 MB each); no n-gram is left out. What is asked to score a
+4-gram hangs on its third unit: a probability has it last but one, a back-off weight has it last. The shard of that unit
+therefore scores the 4-gram alone, and a row's surprise is the sum over the shards, which a worker reads one after the
+other. Probabilities of single units are in every shard.
 
 A row is rejected where its mean surprise (natural log of the perplexity) leaves its language's band. The band is taken from
 the rows of the language that the model learns from and that pass the base rules: quartiles, and a multiple of their distance on either side, widened
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,7 @@ from rasterloom.llm.rows import row_key, without
 from rasterloom.runtime import checkpoint
 
 ORDER = 4
+#: Entries of a shard of the model, about: a shard has all entries of its units.
 SLOTS = 1 << 22
 #: Units that are handled at once by a worker.
 CHUNK = 1 << 20
@@ -168,9 +171,9 @@ def model_table(counts: DataFrame) -> DataFrame:
 
 
 class Scorer:
-    """Looks up log-probabilities in sorted hash arrays."""
+    """Looks up log-probabilities in sorted hash arrays; units that are in none have the log-probability ``worst``."""
 
-    def __init__(self, lang: list[str | None], k: np.ndarray, g: np.ndarray, logp: np.ndarray, back: np.ndarray) -> None:
+    def __init__(self, lang: list[str | None], k: np.ndarray, g: np.ndarray, logp: np.ndarray, back: np.ndarray, worst: float) -> None:
         h = np.empty(len(k), np.uint64)
         names = np.array([-1 if x is None else 0 for x in lang]) if len(lang) else np.empty(0, int)
         known = {x: i for i, x in enumerate(dict.fromkeys(lang))}
@@ -183,7 +186,7 @@ class Scorer:
         self.keys, self.logp, self.back = h[by], logp[by].astype(np.float32), back[by].astype(np.float32)
         self.bits = max(1, int(len(h)).bit_length())
         self.start = np.searchsorted(self.keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
-        self.worst = float(logp.min()) if len(logp) else 0.0
+        self.worst = float(worst)
 
     @staticmethod
     def hashed(g: np.ndarray, lang: str | None, order: int) -> np.ndarray:
@@ -228,14 +231,35 @@ class Scorer:
         return out
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int = SLOTS) -> Scorer:
-    """The model of all rows, in arrays of at most ``slots`` entries."""
-    table = model_table(count_grams(docs, text, lang)).where("times > 1")
-    slot = F.pmod(F.xxhash64("lang", "k", "g"), F.lit(slots))
-    kept = table.groupBy(slot.alias("slot")).agg(F.max(F.struct("times", "k", "g", "lang", "logp", "back")).alias("x")).select("x.lang", "x.k", "x.g", "x.logp", "x.back")
-    t = kept.toArrow()
-    column = lambda c: t.column(c).to_numpy()
-    return Scorer(t.column("lang").to_pylist(), column("k"), column("g"), column("logp"), column("back"))
+class Model:
+    """Shards of a model, each a broadcast :class:`Scorer`."""
+
+    def __init__(self, shards: list[Broadcast]) -> None:
+        self.shards = shards
+
+    def scorers(self) -> Iterator[tuple[int, Scorer]]:
+        """One shard after the other; where there are several, a worker holds one at a time."""
+        for i, x in enumerate(self.shards):
+            yield i, x.value
+            if len(self.shards) > 1 and getattr(x, "_path", None):
+                x.__dict__.pop("_value", None)
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int = SLOTS) -> Model:
+    """The model of all rows, in shards of about ``slots`` entries."""
+    table = checkpoint(model_table(count_grams(docs, text, lang)).where("times > 1"))
+    size, worst = table.agg(F.count("*"), F.min("logp")).first()
+    n = 1 if size <= slots else -(-2 * size // slots)
+    last = F.col("g").bitwiseAND(F.lit((1 << 16) - 1).cast("long"))
+    before = F.shiftrightunsigned("g", 16).bitwiseAND(F.lit((1 << 16) - 1).cast("long"))
+    shards = []
+    for i in range(n):
+        own = table if n == 1 else table.where((F.col("k") == 1) | (last % n == i) | (before % n == i))
+        t = own.select("lang", "k", "g", "logp", "back").toArrow()
+        column = lambda c, t=t: t.column(c).to_numpy()
+        shards.append(docs.sparkSession.sparkContext.broadcast(Scorer(t.column("lang").to_pylist(), column("k"), column("g"), column("logp"), column("back"), worst or 0.0)))
+        shards[-1].__dict__.pop("_value", None)
+    return Model(shards)
 
 
 SPACE = " \t\n\r\x0b\x0c"
@@ -270,25 +294,28 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), duplicates, repeated
 
 
-def measure(docs: DataFrame, model: Scorer, text: str = "text", lang: str = "lang", id: str = "doc_id") -> DataFrame:
+def measure(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", id: str = "doc_id") -> DataFrame:
     """``id``, the base counts, ``lang``, units scored and their mean surprise for each row (null where none is scored)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared.value
+        n = len(model.shards)
         for b in batches:
             texts, langs = [t or "" for t in b.column(1).to_pylist()], b.column(2).to_pylist()
             total, units = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             by: dict[str | None, list[int]] = {}
             for i, name in enumerate(langs):
                 by.setdefault(name, []).append(i)
-            for name, rows in by.items():
-                for at in _chunks([texts[i] for i in rows]):
-                    own = np.array([rows[i] for i in at])
-                    grams, owner = _packed([texts[i] for i in own])
-                    total[own] += np.bincount(owner, scorer.surprise(grams, name), len(own))
-                    units[own] += np.bincount(owner, minlength=len(own))
+            for shard, scorer in model.scorers():
+                for name, rows in by.items():
+                    for at in _chunks([texts[i] for i in rows]):
+                        own = np.array([rows[i] for i in at])
+                        grams, owner = _packed([texts[i] for i in own])
+                        if n > 1:
+                            here = (grams >> np.uint64(16) & np.uint64(0xFFFF)) % np.uint64(n) == shard
+                            grams, owner = grams[here], owner[here]
+                        total[own] += np.bincount(owner, scorer.surprise(grams, name), len(own))
+                        units[own] += np.bincount(owner, minlength=len(own))
             counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
             mean = pa.array(total / np.maximum(units, 1), pa.float64(), mask=units == 0)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[:, i]) for i in range(5)), pa.array(langs, pa.string()), pa.array(units), mean], ["id", *COUNTS, "lang", "n_units", "surprise"])

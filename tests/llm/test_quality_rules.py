@@ -108,6 +108,14 @@ def test_surprise_equals_a_plain_model(spark):
             assert tuple(got[i][c] for c in K.COUNTS) == plain_counts(t)
 
 
+def test_no_ngram_is_lost_in_small_shards(spark):
+    rows = [x for x in corpus(n=30) if x[2] == "en"]
+    docs = frame(spark, rows)
+    plain = plain_model([t for _, t, _ in rows])
+    got = {r.doc_id: r.surprise for r in K.measure(docs, K.train(docs, slots=256)).collect()}
+    assert all(got[i] == pytest.approx(plain(t), abs=1e-4) for i, t, _ in rows)
+
+
 def test_strings_of_no_language_are_rejected(spark):
     r = random.Random(2)
     junk = "".join(chr(r.randrange(0x4E00, 0x9FFF)) + (" " if k % 5 == 0 else "") for k in range(600))
