@@ -8,7 +8,7 @@ patterns: the two words before it, and the word before with the word after it. B
 2. A pass over all texts counts how often the context of each kept pattern occurs at all; its precision is the share of
    these places that hold an identifier. Words that precede everything have a low one. Patterns travel to the workers in
    slices of at most ``SLICE``.
-3. Pattern and instance scores pass over the graph ``ROUNDS`` times. A seed scores one; another instance scores one minus the
+3. Pattern and instance scores pass over the graph until no pattern's score changes by more than ``STILL``; they never fall. A seed scores one; another instance scores one minus the
    product of its patterns' doubts; a pattern scores its precision times the mean score of its instances (with one
    doubtful instance added). Tokens in a pattern with a final score of ``CONFIDENT`` are spans of kind ``found``.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from rasterloom.runtime import checkpoint
 
 KINDS = ("email", "ip", "card", "phone", "found")
-SUPPORT, ROUNDS, CONFIDENT, SLICE = 3, 3, 0.6, 500_000
+SUPPORT, STILL, CONFIDENT, SLICE = 3, 1e-4, 0.6, 500_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -168,7 +168,7 @@ def count_contexts(docs: DataFrame, patterns: list[str], text: str) -> DataFrame
     return docs.select(docs[text]).mapInArrow(run, "pattern string, places long").groupBy("pattern").agg(F.sum("places").alias("places"))
 
 
-def confident_patterns(edges: DataFrame, docs: DataFrame, text: str, support: int = SUPPORT, rounds: int = ROUNDS, confident: float = CONFIDENT) -> DataFrame:
+def confident_patterns(edges: DataFrame, docs: DataFrame, text: str, support: int = SUPPORT, still: float = STILL, confident: float = CONFIDENT) -> DataFrame:
     """``pattern, score`` of the patterns that are confident in the end. ``edges``: pattern, instance, seed (0 or 1), n (times seen)."""
     spark = edges.sparkSession
     supported = checkpoint(edges.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.sum("n").alias("held")).where(F.col("seeds") >= support))
@@ -189,10 +189,14 @@ def confident_patterns(edges: DataFrame, docs: DataFrame, text: str, support: in
     exact = supported.join(places, "pattern").select("pattern", (F.col("held") / F.greatest("places", "held")).alias("precision"))
     graph = checkpoint(edges.join(exact.where(F.col("precision") >= confident), "pattern").select("pattern", "instance", "seed", "precision"))
     score = graph.select("instance", F.col("seed").cast("double").alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
-    scored = None
-    for _ in range(rounds):
+    before = None
+    while True:
         scored = graph.join(score, "instance").groupBy("pattern").agg((F.max("precision") * F.sum("score") / (F.count("*") + 1)).alias("score"))
         scored = checkpoint(scored)
+        moved = scored if before is None else scored.join(before, "pattern").where(F.col("score") - F.col("before") > still)
+        if moved.isEmpty():
+            break
+        before = scored.withColumnRenamed("score", "before")
         doubt = F.sum(F.log(1 - F.least(F.col("score"), F.lit(0.999))))
         score = checkpoint(graph.join(scored, "pattern").groupBy("instance").agg(F.greatest(F.max("seed").cast("double"), 1 - F.exp(doubt)).alias("score")))
     return scored.where(F.col("score") >= confident)

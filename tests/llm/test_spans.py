@@ -61,6 +61,13 @@ def test_patterns_find_unseen_identifiers(spark):
             assert got[i].spans == base
 
 
+def test_scores_pass_on_until_they_stand_still(spark):
+    seeds = [f"write to user{i}@mail.example.com s{i}" for i in range(50)]
+    unseen = [f"write to user#1234-{i:04d} u{i}" for i in range(150)]
+    got = {r.doc_id: r for r in pii.digest(frame(spark, seeds + unseen)).collect()}
+    assert all(got[50 + i].spans == "found:9:23" for i in range(150))
+
+
 def test_common_contexts_are_no_patterns(spark):
     texts = [f"of the 10.0.0.{i} of the" for i in range(20)] + ["of the of the thing of the other of the day"] * 50 + ["of the 99999x"]
     assert all("found" not in r.spans for r in pii.digest(frame(spark, texts)).collect())
