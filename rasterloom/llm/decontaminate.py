@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 Words are lower-cased and cut at white space and ASCII punctuation. A seed is a run of ``N`` words of a test item (all
-words of a shorter item). Seeds that stand in a text join the text to the item. How many rows hold each seed is counted
-over all rows; a seed is rare if that number is at most ``OFTEN`` or at most twice the median of its item's seeds, so
-an item that leaks into very many rows keeps its seeds while runs of common words lose theirs. Each passage with a rare
-seed, with a margin around its seeds, is aligned with the item word by word (local alignment with gaps); the score is
-the alignment's share of a perfect one.
+words of a shorter item). Seeds that stand in a text join the text to the item. Each passage with a seed, with a margin
+around its seeds, is aligned with the item word by word (local alignment with gaps), however many rows hold its seeds; the
+score is the alignment's share of a perfect one. A passage that has too few of the item's words for the least score, in
+whatever order, is not aligned: each word of the item matches once at most.
 
 The items travel to the workers in slices of at most ``SLICE`` words, which bounds what is broadcast; each slice takes one
 pass over the texts. A longer item than that is a slice of its own and refused, as it is no test item.
@@ -16,8 +15,8 @@ their best alignment.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from statistics import median
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +26,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from rasterloom.llm.rows import row_key, without
-from rasterloom.runtime import checkpoint
 
 N = 4
-OFTEN = 2
 #: Words of all items that are broadcast at once.
 SLICE = 2_000_000
 #: Least share of a perfect alignment, and what a match, a mismatch and a gap add to an alignment.
@@ -88,8 +85,8 @@ def _slices(items: DataFrame, text: str, id: str) -> Iterator[list[tuple[object,
         yield held
 
 
-def _passages(words: list[bytes], hits: list[tuple[int, int, int, int]], items: list[tuple[object, list[bytes]]]) -> Iterator[tuple[int, int, int, list[int]]]:
-    """(item, first word, end, seeds) of each passage; hits: (item, word, place in the item, seed), in order."""
+def _passages(words: list[bytes], hits: list[tuple[int, int, int]], items: list[tuple[object, list[bytes]]]) -> Iterator[tuple[int, int, int]]:
+    """(item, first word, end) of each passage; hits: (item, word, place in the item), in order."""
     hits.sort()
     at = 0
     while at < len(hits):
@@ -99,9 +96,9 @@ def _passages(words: list[bytes], hits: list[tuple[int, int, int, int]], items:
         while at + 1 < len(hits) and hits[at + 1][0] == k and hits[at + 1][1] - hits[at][1] <= size + margin:
             at += 1
         part = hits[first : at + 1]
-        begin = max(0, min(p - q for _, p, q, _ in part) - margin)
-        end = min(len(words), max(p - q for _, p, q, _ in part) + size + margin)
-        yield k, begin, end, sorted({s for *_, s in part})
+        begin = max(0, min(p - q for _, p, q in part) - margin)
+        end = min(len(words), max(p - q for _, p, q in part) + size + margin)
+        yield k, begin, end
         at += 1
 
 
@@ -126,15 +123,14 @@ def _matches_of(docs: DataFrame, items: list[tuple[object, list[bytes]]], text:
         n = min(N, len(words))
         for q in range(len(words) - n + 1):
             places.setdefault(tuple(words[q : q + n]), []).append((k, q))
-    seeds = {g: s for s, g in enumerate(places)}
-    sent = docs.sparkSession.sparkContext.broadcast((items, seeds, list(places.values()), sorted({len(g) for g in seeds})))
-    schema = "id " + kind + ", item int, first long, passage binary, seeds array<int>"
+    sent = docs.sparkSession.sparkContext.broadcast((items, places, sorted({len(g) for g in places})))
+    schema = "id " + kind + ", item int, first long, passage binary"
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, seeds, places, sizes = sent.value
-        known = frozenset(seeds)
+        items, places, sizes = sent.value
+        known = frozenset(places)
         for b in batches:
-            row, item, first, passage, held = [], [], [], [], []
+            row, item, first, passage = [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 words = words_of(t)
                 hits = []
@@ -144,33 +140,29 @@ def _matches_of(docs: DataFrame, items: list[tuple[object, list[bytes]]], text:
                         continue
                     for p, g in enumerate(zip(*grams)):
                         if g in known:
-                            s = seeds[g]
-                            hits += [(k, p, q, s) for k, q in places[s]]
-                for k, begin, end, own in _passages(words, hits, items):
+                            hits += [(k, p, q) for k, q in places[g]]
+                for k, begin, end in _passages(words, hits, items):
                     row.append(i)
                     item.append(k)
                     first.append(begin)
                     passage.append(b" ".join(words[begin:end]))
-                    held.append(own)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int32()), pa.array(first, pa.int64()), pa.array(passage, pa.binary()), pa.array(held, pa.list_(pa.int32()))], ["id", "item", "first", "passage", "seeds"])
-
-    passages = checkpoint(docs.select(docs[id], docs[text]).mapInArrow(seek, schema))
-    # at most one count for each seed of the slice reaches the driver
-    counted = dict(passages.select("id", F.explode("seeds").alias("s")).distinct().groupBy("s").count().toLocalIterator())
-    of: dict[int, list[int]] = {}
-    for g, s in seeds.items():
-        for k, _ in places[g]:
-            of.setdefault(k, []).append(counted.get(s, 0))
-    usual = {k: max(OFTEN, 2 * median(x)) for k, x in of.items()}
-    shared = docs.sparkSession.sparkContext.broadcast((items, counted, usual))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int32()), pa.array(first, pa.int64()), pa.array(passage, pa.binary())], ["id", "item", "first", "passage"])
 
+    passages = docs.select(docs[id], docs[text]).mapInArrow(seek, schema)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, counted, usual = shared.value
+        items = sent.value[0]
+        bags: dict[int, Counter] = {}
         for b in batches:
             row, item, value, start, end = [], [], [], [], []
-            for i, (k, first, passage, own) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 5)))):
-                if min(counted[s] for s in own) <= usual[k]:
-                    v, a, z = align(passage.split(), items[k][1])
+            aligned: dict[tuple[int, bytes], tuple[float, int, int]] = {}
+            for i, (k, first, passage) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 4)))):
+                words, whole = passage.split(), items[k][1]
+                if k not in bags:
+                    bags[k] = Counter(whole)
+                if sum((Counter(words) & bags[k]).values()) >= least * len(whole):
+                    if (k, passage) not in aligned:
+                        aligned[k, passage] = align(words, whole)
+                    v, a, z = aligned[k, passage]
                     if v >= least:
                         row.append(i)
                         item.append(items[k][0])

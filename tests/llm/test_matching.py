@@ -158,6 +158,20 @@ def test_copies_are_found_and_clean_texts_are_not(spark):
     assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == list(range(131, len(texts)))
 
 
+def test_edited_and_partial_copies_are_found_in_many_rows(spark):
+    r = random.Random(6)
+    words = ["w%d" % i for i in range(400)]
+    items = [" ".join(r.sample(words, 38)) for _ in range(2)]
+    filler = lambda n: " ".join("f%d" % r.randrange(2000) for _ in range(n))
+    edited = " ".join("changed" if k % 6 == 5 else w for k, w in enumerate(items[0].split()))
+    half = " ".join(items[1].split()[:19])
+    texts = [f"{filler(20)} {edited} {filler(20)}" for _ in range(40)] + [f"{filler(20)} {half} {filler(20)}" for _ in range(40)]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in D.matches(frame(spark, texts), table).collect()}
+    assert set(got) == {(i, i // 40) for i in range(80)}
+    assert all(v == (58 / 76 if k == 0 else 0.5) for (_, k), v in got.items())
+
+
 def test_slices_of_items_give_the_same(spark, monkeypatch):
     r = random.Random(5)
     items, _ = benchmark(r)
