@@ -14,9 +14,13 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+KEY_TYPE = "struct<a:bigint,b:bigint>"
+
+
 def row_key(df: DataFrame, *columns: str) -> Column:
-    """Hash of some columns; rows that agree in them are the same row to whatever uses the key."""
-    return F.xxhash64(*[df[c] for c in columns])
+    """128 bits of hashes over some columns and over which of them are null; rows that agree in them are the same row to whatever uses the key."""
+    parts = [x for c in columns for x in (df[c], df[c].isNull())]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
 
 
 def without(docs: DataFrame, bad: DataFrame, *columns: str) -> DataFrame:
