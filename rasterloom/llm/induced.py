@@ -1,67 +1,148 @@
 """External induced suffix sorting with common-prefix values.
 
 A text's suffixes are sorted by induction from its leftmost S-suffixes: a pass in ascending order of characters finds the
-L-suffixes, a pass in descending order the S-suffixes. Which leftmost S-suffix comes first follows from their
-substrings, sorted by the same two passes and named, and by recursion on the string of names. Each pass works through a
-bucket priority queue whose items, tuples of a suffix and the common prefix with its neighbour, are kept in blocks; above its
-memory bound the queue writes blocks to disk and reads a bucket's blocks back when its turn comes. Whole buckets are
-handled at once, in waves, so a pass is a few vector operations for each bucket and run length.
-
-The common prefix of two neighbours in a bucket is one more than the least value between the suffixes that they were induced
-from; it is carried along with the suffixes, up to a cap. Suffixes come out in descending order, block by block.
-The text and the types of its suffixes lie in arrays that may be mapped files.
+L-suffixes, a pass in descending order the S-suffixes. Which leftmost S-suffix comes first follows from their substrings,
+sorted by the same two passes and named, and by recursion on the string of names. Each pass works through a bucket
+priority queue whose items, tuples of a suffix and its common prefix with the suffix before, are kept in blocks; above its memory
+bound the queue writes them to disk as a run sorted by bucket. Buckets are asked for in order, so runs are read once, from
+front to back. A bucket comes out block by block, and a block's predecessors are found by a few vector operations.
+
+Common prefixes are carried through all passes and levels:
+
+- Two neighbours in a bucket share one character more than the least value between the suffixes that they were induced from.
+- In the pass that sorts substrings the seeds of a bucket count as equal (``EQUAL``), and what is induced from equal ones is
+  equal, so the values also say which substrings get the same name.
+- Two leftmost S-suffixes share the substrings whose names they share, as the level below says, and after these as much as the
+  next two names do, which is the least value between these names (:class:`RangeMin`).
+
+The recursion ends where all names differ, or where the string of names can be sorted within the memory bound (``INNER`` bytes a
+name). Texts, types, orders, names and values are mapped files that are read and written in blocks; what is held in memory
+follows the bound and not the text. Suffixes come out in descending order, block by block.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-#: Names above this number are completed by prefix doubling instead of bucket by bucket.
-MANY_NAMES = 1 << 14
+#: Value of neighbours that the sort of substrings cannot tell apart.
+EQUAL = 1 << 30
+#: Bytes for each name of a string of names that is sorted in memory.
+INNER = 96
 
+Block = tuple[np.ndarray, np.ndarray]
 
-class BucketQueue:
-    """First in, first out within a bucket; blocks of a bucket beyond ``memory`` bytes in all are on disk."""
+
+class Store:
+    """Arrays in mapped files of a folder; a file goes with the last view of its array."""
 
     def __init__(self, folder: str, memory: int) -> None:
-        self.folder, self.memory, self.held = folder, memory, 0
-        self.blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        self.files: dict[int, list[str]] = {}
-        self.count = 0
+        self.folder, self.memory, self.count = folder, memory, 0
+        #: Items that are handled at once.
+        self.step = max(1 << 10, memory // 256)
+
+    def name(self) -> str:
+        self.count += 1
+        return os.path.join(self.folder, f"{self.count}")
+
+    def array(self, dtype: type, size: int) -> np.ndarray:
+        if not size:
+            return np.empty(0, dtype)
+        name = self.name()
+        out = np.asarray(np.memmap(name, dtype, "w+", shape=(size,)))
+        os.unlink(name)
+        return out
+
+    def blocks(self, size: int) -> Iterator[tuple[int, int]]:
+        for a in range(0, size, self.step):
+            yield a, min(size, a + self.step)
+
+
+class Run:
+    """Items sorted by bucket in a file, read from front to back."""
+
+    def __init__(self, store: Store, buckets: np.ndarray, suffixes: np.ndarray, common: np.ndarray, sign: int) -> None:
+        self.sign, self.size, self.at, self.step = sign, len(buckets), 0, max(256, store.step // 16)
+        self.columns = [store.array(x.dtype, len(x)) for x in (buckets, suffixes, common)]
+        for to, x in zip(self.columns, (buckets, suffixes, common)):
+            to[:] = x
+        self._read()
+
+    def _read(self) -> None:
+        self.held = tuple(np.array(x[self.at : self.at + self.step]) for x in self.columns)
+        self.at += len(self.held[0])
+        self.used = 0
+        self.head = self.sign * int(self.held[0][0]) if len(self.held[0]) else None
+
+    def take(self, bucket: int, most: int) -> Iterator[Block]:
+        """At most about ``most`` items of the bucket, if they are next."""
+        key = self.sign * bucket
+        while self.head == key and most > 0:
+            end = self.used + int(np.searchsorted(self.sign * self.held[0][self.used :], key, "right"))
+            yield self.held[1][self.used : end], self.held[2][self.used : end]
+            most -= end - self.used
+            self.used = end
+            if end < len(self.held[0]):
+                self.head = self.sign * int(self.held[0][end])
+            else:
+                self._read()
+
+
+class BucketQueue:
+    """First in, first out within a bucket; buckets are asked for in ascending (or descending) order. Items beyond ``memory`` bytes are in sorted runs on disk."""
+
+    def __init__(self, store: Store, memory: int, dtype: type, descending: bool = False) -> None:
+        self.store, self.memory, self.dtype, self.sign, self.held = store, memory, dtype, -1 if descending else 1, 0
+        self.blocks: dict[int, deque[Block]] = {}
+        self.runs: list[Run] = []
 
     def push(self, bucket: int, suffixes: np.ndarray, common: np.ndarray) -> None:
-        self.blocks.setdefault(bucket, []).append((suffixes, common))
-        self.held += suffixes.nbytes + common.nbytes
+        own = self.blocks.get(bucket)
+        if own is None:
+            own = self.blocks[bucket] = deque()
+        own.append((suffixes, common))
+        self.held += suffixes.nbytes + common.nbytes + 256  # with the objects' own size
         if self.held > self.memory:
             self._spill()
 
     def _spill(self) -> None:
-        for bucket, parts in self.blocks.items():
-            name = os.path.join(self.folder, f"{id(self)}-{self.count}")
-            self.count += 1
-            with open(name, "wb") as f:
-                for i in (0, 1):
-                    np.save(f, np.concatenate([p[i] for p in parts]))
-            self.files.setdefault(bucket, []).append(name)
+        order = sorted(self.blocks, key=lambda b: self.sign * b)
+        parts = [x for b in order for x in self.blocks[b]]
+        sizes = [sum(len(p) for p, _ in self.blocks[b]) for b in order]
+        self.runs.append(Run(self.store, np.repeat(np.array(order, np.int64), sizes), np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]).astype(self.dtype), self.sign))
         self.blocks, self.held = {}, 0
 
-    def pop(self, bucket: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """All items of the bucket, in the order in which they came; None: it is empty."""
-        parts = []
-        for name in self.files.pop(bucket, []):
-            with open(name, "rb") as f:
-                parts.append((np.load(f), np.load(f)))
-            os.unlink(name)
-        own = self.blocks.pop(bucket, [])
-        self.held -= sum(a.nbytes + b.nbytes for a, b in own)
-        parts += own
+    def pop(self, bucket: int) -> Block | None:
+        """The next items of the bucket, in the order in which they came; None: it is empty."""
+        parts, size, step = [], 0, self.store.step
+        if self.runs:
+            key = self.sign * bucket
+            for run in self.runs:
+                if run.head == key and size < step:
+                    for x in run.take(bucket, step - size):
+                        parts.append(x)
+                        size += len(x[0])
+            if any(run.head is None for run in self.runs):
+                self.runs = [run for run in self.runs if run.head is not None]
+            if size >= step or any(run.head == key for run in self.runs):
+                return np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts])
+        own = self.blocks.get(bucket)
+        while own and size < step:
+            x = own.popleft()
+            self.held -= x[0].nbytes + x[1].nbytes + 256
+            parts.append(x)
+            size += len(x[0])
+        if own is not None and not own:
+            del self.blocks[bucket]
         if not parts:
             return None
-        return parts[0] if len(parts) == 1 else (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        return np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]).astype(self.dtype)
 
 
 def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -76,227 +157,388 @@ def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
     return out
 
 
-def _dispatch(queue: BucketQueue, carry: np.ndarray | None, chars: np.ndarray, suffixes: np.ndarray, chosen: np.ndarray, common: np.ndarray, cap: int) -> None:
-    """Push the predecessors ``suffixes`` (with first characters ``chars``) of the chosen ones of a wave.
+class RangeMin:
+    """Least values of ranges of a mapped array: mapped tables for ranges up to two blocks, minima of whole blocks beyond."""
 
-    ``common`` has the common prefix of each suffix of the wave with the one before; ``carry`` the least such value
-    since each bucket's last item.
-    """
-    order = np.argsort(chars, kind="stable")
-    sorted_chars = chars[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_chars[1:] != sorted_chars[:-1]))) if len(order) else np.empty(0, np.int64)
-    values = np.zeros(len(order), np.uint16)
-    if carry is not None and len(common):
-        if len(order):
-            at = chosen[order]
-            low = np.empty(len(order), np.int64)
+    LEVELS = 10
+
+    def __init__(self, values: np.ndarray, store: Store) -> None:
+        self.tables, n = [values], len(values)
+        for k in range(1, self.LEVELS + 1):
+            half, below = 1 << (k - 1), self.tables[-1]
+            if n < 1 << k:
+                break
+            table = store.array(values.dtype, n - (1 << k) + 1)
+            for a, b in store.blocks(len(table)):
+                np.minimum(below[a:b], below[a + half : b + half], out=table[a:b])
+            self.tables.append(table)
+        whole = n >> self.LEVELS
+        self.minima = np.array(self.tables[-1][: whole << self.LEVELS : 1 << self.LEVELS]) if len(self.tables) > self.LEVELS else values[:0]
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Least value of ``low..high``, both ends included, for each pair."""
+        out = np.empty(len(low), self.tables[0].dtype)
+        level = np.minimum(np.frexp((high - low + 1).astype(np.float64))[1] - 1, self.LEVELS)
+        for k, table in enumerate(self.tables):
+            at = np.flatnonzero(level == k)
+            out[at] = np.minimum(table[low[at]], table[high[at] - (1 << k) + 1])
+        far = np.flatnonzero(high - low + 1 > 2 << self.LEVELS)
+        if len(far):
+            first, end = -(-low[far] >> self.LEVELS), (high[far] + 1) >> self.LEVELS
+            out[far] = np.minimum(out[far], _range_min(self.minima, first, end - 1))
+        return out
+
+
+class Since:
+    """Least common prefix since the last item of each bucket, over the waves of a pass."""
+
+    def __init__(self, store: Store, width: int, cap: int, dtype: type) -> None:
+        self.cap, self.dtype, self.wave = cap, dtype, 0
+        self.last, self.rest = store.array(np.int64, width), store.array(np.uint32, width)
+        # later waves with their least values; a value that a later one undercuts goes, so that values rise
+        self.waves: list[int] = []
+        self.values: list[int] = []
+
+    def dispatch(self, queue: BucketQueue, chars: np.ndarray, suffixes: np.ndarray, chosen: np.ndarray, common: np.ndarray) -> None:
+        """Push the predecessors ``suffixes`` (with first characters ``chars``) of the chosen ones of a wave.
+
+        ``common`` has the common prefix of each suffix of the wave with the one before.
+        """
+        self.wave += 1
+        if len(chars):
+            order = np.argsort(chars, kind="stable")
+            chars, suffixes, at = chars[order], suffixes[order], chosen[order]
+            first = np.flatnonzero(np.concatenate(([True], chars[1:] != chars[:-1])))
+            heads = chars[first].astype(np.int64)
+            low = np.empty(len(at), np.int64)
             low[1:] = at[:-1] + 1
             low[first] = 0
-            values = _range_min(common, low, at)
-            heads = sorted_chars[first]
-            values[first] = np.minimum(values[first], carry[heads])
-            values = np.minimum(values + 1, cap).astype(np.uint16)
-            last = at[np.concatenate((first[1:], [len(at)])) - 1]
-        carry[:] = np.minimum(carry, common.min())
-        if len(order):
-            rest = np.full(len(heads), cap, np.uint16)
-            more = last + 1 < len(common)
-            rest[more] = _range_min(common, last[more] + 1, np.full(int(more.sum()), len(common) - 1))
-            carry[heads] = rest
-    ends = np.append(first[1:], len(order))
-    placed = suffixes[order]
-    for a, b in zip(first.tolist(), ends.tolist()):
-        queue.push(int(sorted_chars[a]), placed[a:b], values[a:b])
+            values = _range_min(common, low, at).astype(np.int64)
+            carried = []
+            for t, rest in zip(self.last[heads].tolist(), self.rest[heads].tolist()):
+                k = bisect_right(self.waves, t)
+                carried.append(min(rest, self.values[k]) if k < len(self.values) else rest)
+            values[first] = np.minimum(values[first], carried)  # of a bucket's first item: not used
+            values = np.minimum(values + 1, self.cap).astype(self.dtype)
+            ends = np.append(first[1:], len(at))
+            last = at[ends - 1]
+            self.last[heads] = self.wave
+            rest = np.full(len(heads), self.cap, np.uint32)
+            more = np.flatnonzero(last + 1 < len(common))
+            if len(more):
+                rest[more] = _range_min(common, last[more] + 1, np.full(len(more), len(common) - 1))
+            self.rest[heads] = rest
+            for c, a, b in zip(heads.tolist(), first.tolist(), ends.tolist()):
+                queue.push(c, suffixes[a:b], values[a:b])
+        least = int(common.min())
+        while self.values and self.values[-1] >= least:
+            self.values.pop()
+            self.waves.pop()
+        self.values.append(least)
+        self.waves.append(self.wave)
+
+
+def picked(blocks: Iterator[Block], choose: Callable[[np.ndarray], np.ndarray], cap: int) -> Iterator[Block]:
+    """The chosen suffixes, each with its common prefix with the chosen one before it."""
+    least = cap
+    for p, common in blocks:
+        at = np.flatnonzero(choose(p))
+        if not len(at):
+            least = min(least, int(common.min()))
+            continue
+        between = np.minimum.reduceat(common[: at[-1] + 1], np.concatenate(([0], at[:-1] + 1)))
+        between[0] = min(int(between[0]), least)
+        yield p[at], between
+        rest = common[at[-1] + 1 :]
+        least = int(rest.min()) if len(rest) else cap
 
 
 class Sorter:
-    """Sorts the suffixes of ``text`` (non-negative integers, the last one the least and unique)."""
-
-    def __init__(self, text: np.ndarray, folder: str, memory: int, cap: int = 0) -> None:
-        text = np.asarray(text)  # a plain view, also of a mapped file
-        self.text, self.folder, self.memory, self.cap = text, folder, memory, cap
-        change = np.flatnonzero(text[1:] != text[:-1])
-        rising = np.append(text[change] < text[change + 1], True)
-        self.s = np.repeat(rising, np.diff(np.concatenate(([-1], change, [len(text) - 1]))))
-        self.lms = np.flatnonzero(self.s[1:] & ~self.s[:-1]) + 1
-        self.chars = np.unique(text)
-
-    def _common(self, a: int, b: int) -> int:
-        """Common prefix of two suffixes, up to the cap."""
-        n = min(self.cap, len(self.text) - max(a, b))
-        differ = np.flatnonzero(self.text[a : a + n] != self.text[b : b + n])
-        return int(differ[0]) if len(differ) else n
-
-    def _by_char(self, ordered: np.ndarray, common: np.ndarray | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Suffixes in order, cut by their first characters (stable)."""
-        if not len(ordered):
-            return {}
-        c = self.text[ordered]
-        by = np.argsort(c, kind="stable")
-        c, ordered = c[by], ordered[by]
-        common = np.zeros(len(ordered), np.uint16) if common is None else common[by]
-        cut = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-        return {int(c[a]): (ordered[a:b], common[a:b]) for a, b in zip(cut.tolist(), np.append(cut[1:], len(c)).tolist())}
-
-    def induce(self, seeds: np.ndarray, common: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All suffixes in descending order, in blocks, from the leftmost S-suffixes in order; with common prefixes if those are given.
+    """Sorts the suffixes of ``text`` (integers from zero below ``width``, the last one the least and unique); common prefixes up to ``cap``."""
+
+    def __init__(self, text: np.ndarray, width: int, store: Store, cap: int) -> None:
+        self.text, self.width, self.store, self.cap = np.asarray(text), width, store, cap
+        self._types()
+
+    def _types(self) -> None:
+        """Which suffixes are S-suffixes, and where the leftmost ones are."""
+        text, n = self.text, len(self.text)
+        self.s = s = self.store.array(np.bool_, n)
+        s[n - 1] = after = True
+        for a, b in reversed(list(self.store.blocks(n - 1))):
+            x = text[a : b + 1]
+            rises, falls = x[:-1] < x[1:], x[:-1] > x[1:]
+            change = np.where(rises | falls, np.arange(b - a), b - a)
+            s[a:b] = np.append(rises, after)[np.minimum.accumulate(change[::-1])[::-1]]
+            after = s[a]
+        size = sum(int(np.count_nonzero(s[a + 1 : b + 1] & ~s[a:b])) for a, b in self.store.blocks(n - 1))
+        self.lms, at = self.store.array(np.int64, size), 0
+        for a, b in self.store.blocks(n - 1):
+            found = np.flatnonzero(s[a + 1 : b + 1] & ~s[a:b]) + a + 1
+            self.lms[at : at + len(found)] = found
+            at += len(found)
+
+    def _common(self, a: int, b: int, cap: int) -> int:
+        """Common prefix of two suffixes that differ soon, up to the cap."""
+        text, k, more, end = self.text, 0, 64, min(cap, len(self.text) - max(a, b))
+        while k < end:
+            upto = min(end, k + more)
+            differ = np.flatnonzero(text[a + k : a + upto] != text[b + k : b + upto])
+            if len(differ):
+                return k + int(differ[0])
+            k, more = upto, more * 2
+        return end
+
+    def induce(self, seeds: Callable[[int], Iterator[Block]], cap: int, dtype: type) -> Iterator[Block]:
+        """All suffixes in descending order with common prefixes, from the leftmost S-suffixes, as ``seeds`` has them for each character.
 
         The value of each suffix is the common prefix with the one that came out before it.
         """
-        text, s, cap = self.text, self.s, self.cap
-        width = int(self.chars[-1]) + 1
-        queue, ls = BucketQueue(self.folder, self.memory), BucketQueue(self.folder, self.memory)
-        by = self._by_char(seeds, common)
-        carry = None if common is None else np.zeros(width, np.uint16)
-
-        def wave(found: tuple[np.ndarray, np.ndarray], kind: bool) -> None:
-            at = np.flatnonzero(found[0] > 0)
-            before = found[0][at] - 1
+        text, s, store = self.text, self.s, self.store
+        share = store.memory // 4
+        queue, since = BucketQueue(store, share, dtype), Since(store, self.width, cap, dtype)
+        n = len(text)
+        ls, l_common = store.array(np.int64, n - self.n_s), store.array(dtype, n - self.n_s)
+        ends, at = store.array(np.int64, self.width), 0
+
+        def wave(suffixes: np.ndarray, common: np.ndarray, kind: bool) -> None:
+            chosen = np.flatnonzero(suffixes > 0)
+            before = suffixes[chosen] - 1
             own = s[before] == kind
             before = before[own]
-            _dispatch(queue, carry, text[before], before, at[own], found[1], cap)
+            since.dispatch(queue, text[before], before, chosen[own], common)
 
-        for c in self.chars.tolist():
+        for c in range(self.width):
             last = None
             while (found := queue.pop(c)) is not None:
                 if last is None:
                     found[1][0] = 0
                 last = int(found[0][-1])
-                ls.push(c, *found)
-                wave(found, False)
-            if c in by:
-                found = by[c]
-                if carry is not None:
-                    found[1][0] = 0 if last is None else self._common(last, int(found[0][0]))
-                wave(found, False)
-        if carry is not None:
-            carry[:] = 0
-        for c in self.chars[::-1].tolist():
+                ls[at : at + len(found[0])], l_common[at : at + len(found[0])] = found
+                at += len(found[0])
+                wave(*found, False)
+            ends[c] = at
+            fresh = True
+            for found in seeds(c):
+                if fresh:
+                    # how long a run of this character goes on after a substring's end is not part of the substring
+                    found[1][0] = 0 if last is None else 1 if cap == EQUAL else self._common(last, int(found[0][0]), cap)
+                    fresh = False
+                wave(*found, False)
+        queue, since = BucketQueue(store, share, dtype, descending=True), Since(store, self.width, cap, dtype)
+        for c in range(self.width - 1, -1, -1):
             last = None
             while (found := queue.pop(c)) is not None:
                 if last is None:
                     found[1][0] = 0
                 last = int(found[0][-1])
                 yield found
-                wave(found, True)
-            if (found := ls.pop(c)) is not None:
-                down = found[0][::-1]
-                values = np.concatenate(([0], found[1][:0:-1])).astype(np.uint16)
-                if carry is not None and last is not None:
-                    values[0] = self._common(last, int(down[0]))
+                wave(*found, True)
+            begin, end = int(ends[c - 1]) if c else 0, int(ends[c])
+            after = 0  # common prefix of the block's greatest suffix with what came out before
+            if end > begin and last is not None:
+                after = self._common(last, int(ls[end - 1]), cap)
+            while end > begin:
+                a = max(begin, end - store.step)
+                down, values = ls[a:end][::-1].copy(), np.empty(end - a, dtype)
+                values[0] = after
+                values[1:] = l_common[a + 1 : end][::-1]
+                after, end = l_common[a], a
                 yield down, values
-                wave((down, values), True)
-        yield np.array([len(text) - 1]), np.zeros(1, np.uint16)
-
-    def seeds(self) -> np.ndarray:
-        """The leftmost S-suffixes in order."""
-        lms, text = self.lms, self.text
-        if len(lms) < 2:
-            return lms
-        is_lms = np.zeros(len(text), bool)
-        is_lms[lms] = True
-        # in descending order of their substrings; the end comes last
-        down = np.concatenate([p[is_lms[p]] for p, _ in self.induce(lms, None)])
-        down = down[np.sort(np.unique(down, return_index=True)[1])]
-        up = down[::-1]
-        size = np.empty(len(text), np.int64)
-        size[lms] = np.append(np.diff(lms) + 1, 1)
-        new = np.ones(len(up), bool)
-        a, b = up[:-1], up[1:]
-        same = np.flatnonzero(size[a] == size[b])
-        k = 0
-        live = same
-        while len(live):  # substrings of the same length, character by character
-            equal = text[a[live] + k] == text[b[live] + k]
-            live = live[equal]
-            k += 1
-            done = size[a[live]] == k
-            new[live[done] + 1] = False
-            live = live[~done]
-        names = np.empty(len(text), np.int64)
-        names[up] = np.cumsum(new) - 1
-        reduced = names[lms]
-        if int(reduced.max()) + 1 == len(reduced):
-            return up
-        if int(reduced.max()) >= MANY_NAMES:
-            return lms[_doubled(reduced)]
-        inner = Sorter(reduced, self.folder, self.memory)
-        order = np.concatenate([p for p, _ in inner.induce(inner.seeds(), None)])[::-1]
-        return lms[order]
-
-    def sorted(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                wave(down, values, True)
+        yield np.array([n - 1]), np.zeros(1, dtype)
+
+    @property
+    def n_s(self) -> int:
+        """Number of S-suffixes."""
+        if not hasattr(self, "_n_s"):
+            self._n_s = sum(int(np.count_nonzero(self.s[a:b])) for a, b in self.store.blocks(len(self.s)))
+        return self._n_s
+
+    def _is_lms(self, p: np.ndarray) -> np.ndarray:
+        return self.s[p] & (p > 0) & ~self.s[p - 1]
+
+    def _named(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """Leftmost S-suffixes in descending order of their substrings, the common prefix of each with the one before, and the number of different ones."""
+        store, lms, text = self.store, self.lms, self.text
+        queue = BucketQueue(store, store.memory // 4, np.uint32)
+        for a, b in store.blocks(len(lms)):
+            own = np.array(lms[a:b])
+            c = text[own]
+            by = np.argsort(c, kind="stable")
+            c, own = c[by], own[by]
+            cut = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+            for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(c)]):
+                queue.push(int(c[x]), own[x:y], np.full(y - x, EQUAL, np.uint32))
+
+        def seeds(c: int) -> Iterator[Block]:
+            while (found := queue.pop(c)) is not None:
+                yield found
+
+        order, common, at, kinds = store.array(np.int64, len(lms)), store.array(np.uint32, len(lms)), 0, 0
+        for p, least in picked(self.induce(seeds, EQUAL, np.uint32), self._is_lms, EQUAL):
+            order[at : at + len(p)], common[at : at + len(p)] = p, least
+            at += len(p)
+            kinds += int(np.count_nonzero(least < EQUAL))
+        return order, common, kinds
+
+    def seeds(self) -> Block:
+        """The leftmost S-suffixes in ascending order, with the common prefix of each with the one before, up to the cap."""
+        store, lms, m, cap = self.store, self.lms, len(self.lms), self.cap
+        order, common, kinds = self._named()
+        up, values = store.array(np.int64, m), store.array(np.uint16, m)
+        if kinds == m:
+            at, last = m, order[:1]
+            for a, b in store.blocks(m):
+                p = np.array(order[a:b])
+                at = self._turned(up, values, at, p, np.concatenate((last, p[:-1])), common[a:b].astype(np.int64))
+                last = p[-1:]
+            return up, values
+        # leftmost S-suffixes are never next to each other, so that half their place is theirs alone
+        names, between, at = store.array(np.int64, len(self.text) // 2 + 1), store.array(np.uint16, kinds), kinds
+        for a, b in store.blocks(m):
+            new = common[a:b] < EQUAL
+            names[order[a:b] >> 1] = at - np.cumsum(new)
+            below = at - np.cumsum(new)[new]
+            kept = below + 1 < kinds
+            between[below[kept] + 1] = np.minimum(common[a:b][new][kept], cap)
+            at = int(at - np.count_nonzero(new))
+        reduced = store.array(np.int64, m)
+        for a, b in store.blocks(m):
+            reduced[a:b] = names[lms[a:b] >> 1]
+        del names, order, common
+        ranges, most = RangeMin(between, store), cap // 2 + 2
+        below = _doubled(reduced, most, store.step) if INNER * m <= store.memory else Sorter(reduced, kinds, store, most).sorted()
+        at, last = m, None
+        for p, shared in below:
+            before = np.concatenate((p[:1] if last is None else last, p[:-1]))
+            last, q = p[-1:], np.minimum(shared, most).astype(np.int64)
+            value = np.full(len(p), cap, np.int64)
+            some = np.flatnonzero((q < most) & (p != before))
+            q, x, y = q[some], p[some], before[some]
+            one, two = reduced[x + q], reduced[y + q]
+            value[some] = lms[x + q] - lms[x] + ranges.least(np.minimum(one, two) + 1, np.maximum(one, two))
+            at = self._turned(up, values, at, lms[p], lms[before], value)
+        return up, values
+
+    def _turned(self, up: np.ndarray, values: np.ndarray, at: int, p: np.ndarray, before: np.ndarray, least: np.ndarray) -> int:
+        """Put suffixes that come in descending order, with what they share at least with the ones before, before place ``at`` in ascending order.
+
+        Where a substring ends in a run of characters, more may be shared.
+        """
+        text, live = self.text, np.flatnonzero((least < self.cap) & (p != before))
+        while len(live):
+            live = live[text[p[live] + least[live]] == text[before[live] + least[live]]]
+            least[live] += 1
+            live = live[least[live] < self.cap]
+        begin = at - len(p)
+        up[begin:at] = p[::-1]
+        # in ascending order a value belongs to the greater one of its pair
+        shared = np.minimum(least, self.cap)[::-1]
+        values[begin + 1 : at + 1] = shared[: min(at + 1, len(values)) - begin - 1]
+        values[0] = 0
+        return begin
+
+    def sorted(self) -> Iterator[Block]:
         """All suffixes in descending order with the common prefix with the one before, up to the cap."""
-        seeds = self.seeds()
-        return self.induce(seeds, self._neighbours(seeds))
-
-    def _neighbours(self, order: np.ndarray) -> np.ndarray:
-        """Common prefix of each suffix with the one before it in ``order``, up to the cap; four characters of two bytes at a time."""
-        text, n, cap = self.text, len(self.text), self.cap
-        out = np.zeros(len(order), np.uint16)
-        live = np.arange(1, len(order))
-        words = np.ndarray((max(0, n - 3),), np.uint64, text, strides=(2,)) if text.dtype == np.uint16 else None
-        a, b = order[:-1], order[1:]
-        for k in range(0, cap, 4):
-            late = np.maximum(a, b) > n - 4 if words is not None else np.ones(len(live), bool)
-            if late.any():  # the last few places of the text
-                for i, x, y in zip(live[late].tolist(), a[late].tolist(), b[late].tolist()):
-                    out[i] = min(cap, k + self._common(x, y))
-                live, a, b = live[~late], a[~late], b[~late]
-            if not len(live):
-                break
-            differ = words[a] ^ words[b]
-            some = differ != 0
-            low = differ[some]
-            out[live[some]] = np.minimum(k + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 4), cap)
-            live, a, b = live[~some], a[~some] + 4, b[~some] + 4
-        out[live] = cap
-        return out
+        up, values = self.seeds()
+        counts = self.store.array(np.int64, self.width)
+        for a, b in self.store.blocks(len(up)):
+            c, n = np.unique(self.text[up[a:b]], return_counts=True)
+            counts[c] += n
+        at = 0
+
+        def seeds(c: int) -> Iterator[Block]:
+            nonlocal at
+            end = at + int(counts[c])
+            while at < end:
+                b = min(end, at + self.store.step)
+                yield np.array(up[at:b]), np.array(values[at:b])
+                at = b
+
+        return self.induce(seeds, self.cap, np.uint16)
 
 
-def _doubled(text: np.ndarray) -> np.ndarray:
-    """Order of all suffixes, by doubling the length of the prefixes that are ranked."""
-    rank, k = text.astype(np.int64), 1
+def _doubled(text: np.ndarray, cap: int, step: int) -> Iterator[Block]:
+    """The same as :meth:`Sorter.sorted` in memory, by doubling the length of the prefixes that are ranked.
+
+    Two suffixes share the sum of those powers of two for which what is left of them has equal ranks.
+    """
+    rank, k, ranks = np.array(text, np.int32), 1, []
     while True:
-        after = np.concatenate((rank[k:] + 1, np.zeros(min(k, len(rank)), np.int64)))[: len(rank)]
-        key = rank * (int(rank.max()) + 2) + after
+        if 2 * k <= 2 * cap:
+            ranks.append(rank)
+        after = np.zeros(len(rank), np.int64)
+        after[: max(0, len(rank) - k)] = rank[k:].astype(np.int64) + 1
+        key = rank.astype(np.int64) * (int(rank.max()) + 2) + after
         order = np.argsort(key, kind="stable")
         new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-        rank = np.empty(len(text), np.int64)
+        del key, after
+        rank = np.empty(len(text), np.int32)
         rank[order] = np.cumsum(new) - 1
         if new.all():
-            return order
+            break
         k *= 2
+    order = order[::-1]
+    for a in range(0, len(order), step):
+        p = order[a : a + step]
+        before = np.concatenate((order[a - 1 : a] if a else p[:1], p[:-1]))
+        shared = np.zeros(len(p), np.int64)
+        for j in range(len(ranks) - 1, -1, -1):
+            x, y = p + shared, before + shared
+            inside = np.maximum(x, y) < len(text)
+            same = np.zeros(len(p), bool)
+            same[inside] = ranks[j][x[inside]] == ranks[j][y[inside]]
+            shared[same] += 1 << j
+        if a == 0:
+            shared[0] = 0
+        yield p, np.minimum(shared, cap)
+
+
+class Shard:
+    """Strings, written to a mapped text as they come; then the starts among each one's first ones whose bytes start elsewhere too."""
+
+    def __init__(self, length: int, memory: int) -> None:
+        self.length, self.memory = length, memory
+        self.folder = tempfile.TemporaryDirectory(prefix="induced-")
+        self.file = open(os.path.join(self.folder.name, "text"), "w+b")
+        self.begin, self.windows, self.size = array("q"), array("q"), 0
+
+    def __len__(self) -> int:
+        return len(self.begin)
+
+    def add(self, string: bytes, windows: int) -> None:
+        codes = np.ones(len(string) + 1, np.uint16)  # one ends a string
+        codes[:-1] = np.frombuffer(string, np.uint8)
+        codes[:-1] += 2
+        self.file.write(codes.tobytes())
+        self.begin.append(self.size)
+        self.windows.append(windows)
+        self.size += len(codes)
+
+    def repeated(self) -> Iterator[np.ndarray]:
+        """For each string the starts, among its first ``windows`` ones, whose ``length`` bytes start at another such place too."""
+        with self.folder, self.file:
+            self.file.write(np.zeros(1, np.uint16).tobytes())
+            self.file.flush()
+            text = np.asarray(np.memmap(self.file.name, np.uint16, "r"))
+            store, length = Store(self.folder.name, self.memory), self.length
+            own, hit, last = store.array(np.bool_, len(text)), store.array(np.bool_, len(text)), -1
+            for a, n in zip(self.begin, self.windows):
+                own[a : a + n] = True
+            for p, common in picked(Sorter(text, 258, store, length).sorted(), lambda p: own[p], length):
+                before = np.concatenate(([last], p[:-1]))
+                match = (common >= length) & (before >= 0)
+                hit[p[match]] = True
+                hit[before[match]] = True
+                last = int(p[-1])
+            for a, n in zip(self.begin, self.windows):
+                yield np.flatnonzero(hit[a : a + n])
 
 
 def repeated_starts(strings: list[bytes], windows: list[int], length: int, memory: int) -> list[np.ndarray]:
-    """For each string the starts, among its first ``windows`` ones, whose ``length`` bytes start at another such place too."""
-    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    begin = np.concatenate(([0], np.cumsum(sizes + 1)))
-    with tempfile.TemporaryDirectory(prefix="induced-") as folder:
-        text = np.memmap(os.path.join(folder, "text"), np.uint16, "w+", shape=(int(begin[-1]) + 1,))
-        own = np.zeros(len(text), bool)
-        for at, x, n in zip(begin.tolist(), strings, windows):
-            text[at : at + len(x)] = np.frombuffer(x, np.uint8).astype(np.uint16) + 2
-            text[at + len(x)] = 1  # ends a string
-            own[at : at + n] = True
-        text[-1] = 0
-        hit = np.zeros(len(text), bool)
-        least, last = length, None
-        for p, common in Sorter(text, folder, memory, length).sorted():
-            at = np.flatnonzero(own[p])
-            if not len(at):
-                least = min(least, int(common.min()))
-                continue
-            # least common prefix from each start to the one before it
-            between = np.minimum.reduceat(common[: at[-1] + 1], np.concatenate(([0], at[:-1] + 1)))
-            between[0] = min(int(between[0]), least)
-            q = p[at]
-            before = np.concatenate(([-1 if last is None else last], q[:-1]))
-            match = (between >= length) & (before >= 0)
-            hit[q[match]] = True
-            hit[before[match]] = True
-            last = int(q[-1])
-            least = int(common[at[-1] + 1 :].min()) if at[-1] + 1 < len(common) else length
-        out = [np.flatnonzero(hit[a : a + n]) for a, n in zip(begin.tolist(), windows)]
-        del text
-    return out
+    """:meth:`Shard.repeated` of a list of strings."""
+    shard = Shard(length, memory)
+    for x, n in zip(strings, windows):
+        shard.add(x, n)
+    return list(shard.repeated())

@@ -8,10 +8,11 @@ Strings are sorted in shards that fit the way of a suffix array, and every two e
    repeated, what alone has its anchor is not.
 2. The rest, different contexts of one anchor, are cut by the distance to the anchor into parts of ``PART`` starts. The
    bytes that all strings of a part share are its core. Parts with a core of their own hold nothing repeated, equal
-   parts are repeated.
+   parts are repeated. Of a core with more than ``HOT`` different parts these are cut into finer parts of the next of ``FINER``
+   sizes, whose cores are longer and therefore rarer, so no core is gathered in one task; a part of one start is its core.
 3. What is left goes, one of each different part, to shards by core. There the suffixes are sorted by external induced
-   sorting, and starts with a common prefix of ``LENGTH`` bytes with a neighbour are repeated. The sorter's queues are on
-   disk beyond ``MEMORY``, and so is its text, so that a shard with a very frequent core only takes longer.
+   sorting, and starts with a common prefix of ``LENGTH`` bytes with a neighbour are repeated. A shard's text is written to
+   disk as it comes, and the sorter keeps to ``MEMORY``, however large the shard.
 
 Texts are UTF-8 bytes, null counts as empty. Strings never cross rows; repeated rows repeat each other. Rows are told apart by
 96 bits of their text's hashes, as equal texts have equal results.
@@ -20,6 +21,7 @@ Texts are UTF-8 bytes, null counts as empty. Strings never cross rows; repeated
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,16 +31,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.induced import repeated_starts
+from rasterloom.llm.induced import Shard
 from rasterloom.runtime import checkpoint, staged
 
 LENGTH, GRAM, PART = 400, 32, 64
-#: Bytes of a text whose grams are hashed at once, and bytes that a shard's queues keep in memory.
-CHUNK, MEMORY = 1 << 19, 24 << 20
+#: Different parts of a core that are sorted together at most, and the sizes of finer parts.
+HOT, FINER = 1024, (8, 1)
+#: Bytes of a text whose grams are hashed at once, and bytes that the sorter of a shard keeps in memory.
+CHUNK, MEMORY = 1 << 19, 96 << 20
 #: Rows whose texts are held as Python objects at once.
 ROWS = 512
-#: Bytes of parts that one call of the sorter takes; a single core with more is still sorted in one call.
-SHARD = 3 << 20
+#: Bytes of parts that one call of the sorter takes; the parts of a core stay together.
+SHARD = 2 << 20
 
 _PLACE = np.uint64((1 << 20) - 1)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -132,34 +136,67 @@ def _flagged(rows: DataFrame, group: str, place: list[str]) -> DataFrame:
     return contents.join(groups, group).where("times > 1 or kinds > 1")
 
 
+PARTS = "k1 long, k2 int, core long, content long, start int, n int, place int, body binary"
+
+
+def _cut(place: int, n: int, size: int, length: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Parts of ``size`` distances of ``n`` starts, the first of them at the distance ``place`` before the anchor.
+
+    Distances are cut at multiples of ``size``, so that equal strings are in equal parts. Of each part: its number, its first start and
+    number of starts, and from where to where its core goes: the bytes that all strings of a whole part have, whichever are here.
+    """
+    for k in range((place - n + 1) // size, place // size + 1):
+        first, last = max(0, place - (k + 1) * size + 1), min(n - 1, place - k * size)
+        yield k, first, last - first + 1, place - k * size, place - (k + 1) * size + 1 + length
+
+
 def _parts(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """Parts of the wanted contexts. texts: ``k1, k2, text, wanted`` (array of start, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for b in _pieces(batches):
-            row, core, content, start, number, held = [], [], [], [], [], []
+            row, core, content, start, number, place, held = [], [], [], [], [], [], []
             for i, (t, wanted) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
                 raw, wanted = (t or "").encode(), {w["start"]: w["n"] for w in wanted}
                 for a, p, s, n in zip(*(x.tolist() for x in anchors(raw, length, gram))):
                     if wanted.get(s) != n:
                         continue
-                    # distances to the anchor are cut at multiples of PART, so that equal strings are in equal parts
-                    for k in range((p - s - n + 1) // PART, (p - s) // PART + 1):
-                        first, last = max(s, p - (k + 1) * PART + 1), min(s + n - 1, p - k * PART)
-                        # the bytes that all strings of the part have, whichever of its starts are here
-                        left, right = p - k * PART, p - (k + 1) * PART + 1 + length
+                    for k, first, m, left, right in _cut(p - s, n, PART, length):
                         row.append(i)
-                        core.append(digest(raw[left:right], seed=(a ^ k) & ((1 << 64) - 1)))
-                        body = raw[first : last + length]
-                        content.append(digest(body, seed=p - first))
-                        start.append(first)
-                        number.append(last - first + 1)
+                        core.append(digest(raw[s + left : s + right], seed=(a ^ k) & ((1 << 64) - 1)))
+                        body = raw[s + first : s + first + m - 1 + length]
+                        content.append(digest(body, seed=p - s - first))
+                        start.append(s + first)
+                        number.append(m)
+                        place.append(p - s - first)
                         held.append(body)
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), _signed(core), _signed(content), pa.array(start, pa.int32()), pa.array(number, pa.int32()), pa.array(held, pa.binary())], ["k1", "k2", "core", "content", "start", "n", "body"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), _signed(core), _signed(content), *(pa.array(x, pa.int32()) for x in (start, number, place)), pa.array(held, pa.binary())], ["k1", "k2", "core", "content", "start", "n", "place", "body"])
+
+    return texts.mapInArrow(run, PARTS)
 
-    return texts.mapInArrow(run, "k1 long, k2 int, core long, content long, start int, n int, body binary")
+
+def _finer(parts: DataFrame, size: int, length: int) -> DataFrame:
+    """The same parts, cut into finer ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for b in _pieces(batches):
+            row, core, content, start, number, place, held = [], [], [], [], [], [], []
+            for i, (c, s, n, p, body) in enumerate(zip(*(b.column(k).to_pylist() for k in (2, 4, 5, 6, 7)))):
+                for k, first, m, left, right in _cut(p, n, size, length):
+                    row.append(i)
+                    core.append(digest(body[left:right], seed=(c ^ k) & ((1 << 64) - 1)))
+                    held.append(body[first : first + m - 1 + length])
+                    content.append(digest(held[-1], seed=p - first))
+                    start.append(s + first)
+                    number.append(m)
+                    place.append(p - first)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), _signed(core), _signed(content), *(pa.array(x, pa.int32()) for x in (start, number, place)), pa.array(held, pa.binary())], ["k1", "k2", "core", "content", "start", "n", "place", "body"])
+
+    return parts.select("k1", "k2", "core", "content", "start", "n", "place", "body").mapInArrow(run, PARTS)
 
 
 def _sorted_shards(parts: DataFrame, length: int, memory: int, shard: int) -> DataFrame:
@@ -167,57 +204,64 @@ def _sorted_shards(parts: DataFrame, length: int, memory: int, shard: int) -> Da
     keyed = parts.select("core", "k1", "k2", "start", "n", "body").repartition("core").sortWithinPartitions("core")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+        held, rows, before = Shard(length, memory), tuple(array("q") for _ in range(3)), None
+
+        def found() -> Iterator[pa.RecordBatch]:
+            out: list[tuple[int, int, int, int]] = []
+
+            def batch() -> pa.RecordBatch:
+                k1, k2, a, b = zip(*out) if out else ((), (), (), ())
+                return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), *(pa.array(x, pa.int32()) for x in (k2, a, b))], ["k1", "k2", "a", "b"])
 
-        def found() -> pa.RecordBatch:
-            k1, k2, first, end = [], [], [], []
-            hits = repeated_starts([r[5] for r in held], [r[4] for r in held], length, memory)
-            for (_, a, b, start, _, _), at in zip(held, hits):
+            for k1, k2, start, at in zip(*rows, held.repeated()):
                 if len(at):
                     cut = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
-                    for x, y in zip(at[cut].tolist(), at[np.append(cut[1:], len(at)) - 1].tolist()):
-                        k1.append(a)
-                        k2.append(b)
-                        first.append(start + x)
-                        end.append(start + y + length)
-            return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int32()), pa.array(first, pa.int32()), pa.array(end, pa.int32())], ["k1", "k2", "a", "b"])
+                    out += [(k1, k2, start + x, start + y + length) for x, y in zip(at[cut].tolist(), at[np.append(cut[1:], len(at)) - 1].tolist())]
+                if len(out) >= 1 << 14:
+                    yield batch()
+                    out.clear()
+            yield batch()
 
         for batch in _pieces(batches):
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= shard and held[-1][0] != row[0]:
-                    yield found()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[5])
-        if held:
-            yield found()
+            for core, k1, k2, start, n, body in zip(*(c.to_pylist() for c in batch.columns)):
+                if held.size >= shard and core != before:
+                    yield from found()
+                    held, rows = Shard(length, memory), tuple(array("q") for _ in range(3))
+                before = core
+                held.add(body, n)
+                for to, x in zip(rows, (k1, k2, start)):
+                    to.append(x)
+        if len(held):
+            yield from found()
 
     return keyed.mapInArrow(run, "k1 long, k2 int, a int, b int")
 
 
-def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, memory: int = MEMORY, shard: int = SHARD) -> DataFrame:
+def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, memory: int = MEMORY, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """``k1, k2, spans``: spans of bytes to remove (may touch and overlap) of each different text that has any."""
+    bytes_of = lambda df: df.select("k1", "k2", F.col("start").alias("a"), (F.col("start") + F.col("n") + length - 1).alias("b"))
     contexts = staged(_contexts(docs, text, length, gram))
     flagged = staged(_flagged(contexts, "anchor", ["k1", "k2", "start", "n"]))
-    whole = contexts.join(flagged.where("times > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
-    whole = whole.select("k1", "k2", F.col("start").alias("a"), (F.col("start") + F.col("n") + length - 1).alias("b"))
+    every = bytes_of(contexts.join(flagged.where("times > 1").select("anchor", "content"), ["anchor", "content"], "left_semi"))
     # contexts that differ from others of their anchor, one of each
     wanted = flagged.where("kinds > 1").select("one.*").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
     texts = docs.select(*_key(docs[text]), docs[text].alias("text")).where(F.octet_length("text") >= length).groupBy("k1", "k2").agg(F.first("text").alias("text"))
     parts = staged(_parts(texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted"), length, gram))
-    mixed = staged(_flagged(parts, "core", ["k1", "k2", "start", "n"]))
-    again = parts.join(mixed.where("times > 1").select("core", "content"), ["core", "content"], "left_semi")
-    again = again.select("k1", "k2", F.col("start").alias("a"), (F.col("start") + F.col("n") + length - 1).alias("b"))
-    one = mixed.where("kinds > 1").select("core", "content", "one.*")
-    left = parts.join(one, ["core", "content", "k1", "k2", "start", "n"], "left_semi")
-    found = _sorted_shards(left, length, memory, shard)
-    every = whole.union(again).union(found)
+    for size in (*FINER, None):
+        mixed = staged(_flagged(parts, "core", ["k1", "k2", "start", "n"]))
+        every = every.union(bytes_of(parts.join(mixed.where("times > 1").select("core", "content"), ["core", "content"], "left_semi")))
+        some = lambda kinds, parts=parts, mixed=mixed: parts.join(mixed.where(kinds).select("core", "content", "one.*"), ["core", "content", "k1", "k2", "start", "n"], "left_semi")
+        few = "kinds > 1" if size is None else f"kinds > 1 and kinds <= {hot}"
+        every = every.union(_sorted_shards(some(few), length, memory, shard))
+        many = mixed.where(F.col("kinds") > hot)
+        if size is None or many.isEmpty():
+            break
+        parts = staged(_finer(some(f"kinds > {hot}"), size, length))
     return checkpoint(every.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
 
 
-def _with_spans(docs: DataFrame, text: str, id: str, length: int, gram: int, memory: int, shard: int) -> DataFrame:
-    removed = spans(docs, text, length, gram, memory, shard)
+def _with_spans(docs: DataFrame, text: str, id: str, length: int, gram: int, memory: int, shard: int, hot: int) -> DataFrame:
+    removed = spans(docs, text, length, gram, memory, shard, hot)
     keyed = docs.select(*_key(docs[text]), docs[id].alias("id"), docs[text].alias("text"))
     return keyed.join(removed, ["k1", "k2"], "left").select("id", "text", "spans")
 
@@ -245,7 +289,7 @@ def _rows_kept(b: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, int]]:
         yield raw, *_kept(raw, first[at[i] : at[i + 1]], end[at[i] : at[i + 1]])
 
 
-def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, memory: int = MEMORY, shard: int = SHARD) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, memory: int = MEMORY, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """``id, kept`` (binary: cuts may fall inside a character) of each row."""
     kind = docs.schema[id].dataType.simpleString()
 
@@ -254,10 +298,10 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", length
             kept = [x for _, x, _ in _rows_kept(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary())], ["id", "kept"])
 
-    return _with_spans(docs, text, id, length, gram, memory, shard).mapInArrow(run, f"id {kind}, kept binary").withColumnRenamed("id", id)
+    return _with_spans(docs, text, id, length, gram, memory, shard, hot).mapInArrow(run, f"id {kind}, kept binary").withColumnRenamed("id", id)
 
 
-def digest(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, memory: int = MEMORY, shard: int = SHARD) -> DataFrame:
+def digest(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, memory: int = MEMORY, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """``id, n_bytes, n_removed, n_spans, kept_sha256`` of each row."""
     kind = docs.schema[id].dataType.simpleString()
 
@@ -272,4 +316,4 @@ def digest(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _with_spans(docs, text, id, length, gram, memory, shard).mapInArrow(run, schema).withColumnRenamed("id", id)
+    return _with_spans(docs, text, id, length, gram, memory, shard, hot).mapInArrow(run, schema).withColumnRenamed("id", id)

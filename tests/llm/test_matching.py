@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -19,14 +20,18 @@ def frame(spark, texts, ids=None):
 # -- external induced sorting ---------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("many", [2, 1 << 14])
-def test_induced_order_and_common_prefixes(tmp_path, monkeypatch, many):
-    monkeypatch.setattr(induced, "MANY_NAMES", many)
-    r = random.Random(1)
-    for _ in range(600):
+@pytest.mark.parametrize("memory", [0, 200, 3000, 1 << 30])
+def test_induced_order_and_common_prefixes(tmp_path, memory):
+    r = random.Random(memory)
+    for _ in range(150):
         n, a, cap = r.randint(1, 70), r.choice([1, 2, 3, 8]), r.choice([3, 8, 10, 100])
         t = [r.randint(1, a) for _ in range(n)] + [0]
-        blocks = list(induced.Sorter(np.array(t, np.uint16), str(tmp_path), r.choice([0, 200, 1 << 30]), cap).sorted())
+        if r.random() < 0.3:
+            t = (t[:5] * 20)[: n // 2] + t
+            t = [max(1, x) for x in t[:-1]] + [0]
+        store = induced.Store(str(tmp_path), memory)
+        store.step = r.choice([1, 2, 7, 1024])
+        blocks = list(induced.Sorter(np.array(t, np.uint16), a + 1, store, cap).sorted())
         got, common = np.concatenate([p for p, _ in blocks]).tolist(), np.concatenate([c for _, c in blocks]).tolist()
         want = sorted(range(len(t)), key=lambda i: t[i:], reverse=True)
         assert got == want
@@ -51,6 +56,38 @@ def test_repeated_starts_equal_brute_force():
         assert [q.tolist() for q in induced.repeated_starts(xs, ws, size, r.choice([100, 1 << 28]))] == [[i for i in range(w) if n[x[i : i + size]] > 1] for x, w in zip(xs, ws)]
 
 
+def test_least_values_of_ranges(tmp_path):
+    r = np.random.default_rng(3)
+    for n in (1, 5, 1023, 1024, 1025, 9000):
+        x = r.integers(0, 400, n).astype(np.uint16)
+        a, b = np.sort(r.integers(0, n, (2, 3000)), axis=0)
+        got = induced.RangeMin(x, induced.Store(str(tmp_path), 1 << 20)).least(a, b)
+        assert got.tolist() == [int(x[i : j + 1].min()) for i, j in zip(a.tolist(), b.tolist())]
+
+
+def test_a_shard_many_times_larger_than_memory():
+    """The sorter's arrays and queues are on disk: memory that is not mapped files stays near the bound, and the result is the same."""
+    r, letters = random.Random(4), "etaoin shrdlu"
+    base = "".join(r.choice(letters) for _ in range(20_000))
+    strings, windows = [], []
+    for _ in range(700):
+        i = r.randrange(len(base) - 200)
+        strings.append((base[i : i + 100] + r.choice(letters) + base[i + 100 : i + 200]).encode())
+        windows.append(len(strings[-1]) - 119)
+    counts = Counter(x[i : i + 120] for x, w in zip(strings, windows) for i in range(w))
+    want = [[i for i in range(w) if counts[x[i : i + 120]] > 1] for x, w in zip(strings, windows)]
+    memory, shard = 60_000, induced.Shard(120, 60_000)
+    for x, w in zip(strings, windows):
+        shard.add(x, w)
+    assert 8 * 8 * shard.size > 100 * memory  # a few arrays of eight bytes a suffix
+    tracemalloc.start()
+    got = [x.tolist() for x in shard.repeated()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and any(want)
+    assert peak < 1_500_000, peak
+
+
 # -- suffix-array deduplication -----------------------------------------------------------------------------------------------------
 
 
@@ -80,12 +117,12 @@ def copied_texts(seed):
     return out
 
 
-@pytest.mark.parametrize("seed,shard,memory", [(4, 2000, 5000), (5, 8 << 20, 64 << 20)])
-def test_dedup_equals_brute_force(spark, seed, shard, memory):
+@pytest.mark.parametrize("seed,shard,memory,hot", [(4, 2000, 5000, 1024), (5, 8 << 20, 64 << 20, 1), (6, 8 << 20, 64 << 20, 3)])
+def test_dedup_equals_brute_force(spark, seed, shard, memory, hot):
     texts = [*copied_texts(seed), None, "", None, "x" * 300, "short"]
     want = plain_dedup(texts, 80)
     docs = frame(spark, texts, [i if i % 7 else None for i in range(len(texts))])
-    got = suffix_dedup.digest(docs, length=80, gram=16, shard=shard, memory=memory).collect()
+    got = suffix_dedup.digest(docs, length=80, gram=16, shard=shard, memory=memory, hot=hot).collect()
     assert Counter(tuple(r)[1:] for r in got) == Counter(want)
     assert all(tuple(r)[1:] == want[r.doc_id] for r in got if r.doc_id is not None)
     kept = suffix_dedup.deduplicated(docs, length=80, gram=16).collect()
