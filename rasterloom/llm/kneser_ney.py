@@ -5,11 +5,11 @@ It learns
 from all rows with at most a tenth as many of ``SYMBOLS`` as words: a row with more is judged like any other, but does not
 teach the model that such text is usual. Workers add up packed 4-grams of their rows, Spark sums them up, and continuation counts, the
 counts of counts and the three discounts of each order follow by grouping. Probabilities and back-off weights are
-stored in sorted hash arrays, found through a directory over the leading bits of the hash. N-grams that occur once in these
-rows are counted but not stored: to the only row that has them they say nothing of the language, and without them a row
-of random characters cannot explain itself.
+stored in sorted hash arrays, found through a directory over the leading bits of the hash. A row's own counts are held out
+when it is judged: an n-gram or context that no other place than this row has counts as unseen, so that a row
+of random characters cannot explain itself. For this the arrays hold how often each n-gram and context occurs.
 
-The arrays are broadcast in shards of about ``SLOTS`` entries (64 MB each); no n-gram is left out. What is asked to score a
+The arrays are broadcast in shards of about ``SLOTS`` entries (50 MB each); every n-gram that was counted is stored. What is asked to score a
 4-gram hangs on its third unit: a probability has it last but one, a back-off weight has it last. The shard of that unit
 therefore scores the 4-gram alone, and a row's surprise is the sum over the shards, which a worker reads one after the
 other. Probabilities of single units are in every shard.
@@ -40,15 +40,15 @@ from rasterloom.runtime import checkpoint
 
 ORDER = 4
 #: Entries of a shard of the model, about: a shard has all entries of its units.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 #: Units that are handled at once by a worker.
 CHUNK = 1 << 20
 #: Distinct 4-grams of a language that a worker adds up before it hands them on.
 HELD = 1 << 21
 #: Reach of the band below and above the quartiles, in distances between them, and the least distance.
-REACH_LOW, REACH_HIGH, LEAST_SPREAD = 6.0, 8.0, 0.05
+REACH_LOW, REACH_HIGH, LEAST_SPREAD = 4.0, 14.0, 0.05
 #: What the band is wider for n units, times the square root of n.
-SHORT = 3.0
+SHORT = 2.0
 #: Surprise is counted in bins of this width.
 BIN = 0.005
 
@@ -128,7 +128,7 @@ def _units(g: Column, k: int) -> Column:
 
 
 def model_table(counts: DataFrame) -> DataFrame:
-    """``lang, k, g, times, logp, back``: interpolated log-probabilities and back-off weights of all n-grams, and how often they occur.
+    """``lang, k, g, logp, back, times, before``: interpolated log-probabilities and back-off weights of all n-grams, and how often they occur at all and before another unit.
 
     The highest order has the counts themselves, the lower ones the numbers of different units before the gram.
     """
@@ -153,17 +153,17 @@ def model_table(counts: DataFrame) -> DataFrame:
             t = t.withColumn("p", F.expr("(n - d) / total + mass / total / types")).withColumn("suffix", F.lit(0))
         else:
             context = F.shiftrightunsigned("g", 16).alias("h")
-            sums = t.groupBy("lang", context).agg(F.sum("n").alias("total"), F.sum("d").alias("mass"))
+            sums = t.groupBy("lang", context).agg(F.sum("n").alias("total"), F.sum("d").alias("mass"), F.sum("times").alias("before"))
             own = sums.select(F.col("lang").alias("sl"), F.col("h").alias("sh"), "total", "mass")
             t = t.withColumn("h", context).join(own, F.col("lang").eqNullSafe(F.col("sl")) & (F.col("h") == F.col("sh")))
             low = lower.select(F.col("lang").alias("ll"), F.col("g").alias("lg"), F.col("p").alias("lp"))
             t = t.join(low, F.col("lang").eqNullSafe(F.col("ll")) & (_units(F.col("g"), k - 1) == F.col("lg")))
             t = t.withColumn("p", F.expr("(n - d) / total + mass / total * lp"))
             # the weight of a context belongs to the gram of the order below
-            back = sums.select(F.col("lang").alias("bl"), F.col("h").alias("bh"), F.expr("cast(ln(mass / total) as float)").alias("weight"))
-            out[-1] = out[-1].join(back, F.col("lang").eqNullSafe(F.col("bl")) & (F.col("g") == F.col("bh")), "left").select("lang", "k", "g", "times", "logp", F.coalesce("weight", "back").alias("back"))
+            back = sums.select(F.col("lang").alias("bl"), F.col("h").alias("bh"), F.expr("cast(ln(mass / total) as float)").alias("weight"), F.col("before").alias("seen"))
+            out[-1] = out[-1].join(back, F.col("lang").eqNullSafe(F.col("bl")) & (F.col("g") == F.col("bh")), "left").select("lang", "k", "g", "logp", F.coalesce("weight", "back").alias("back"), "times", F.coalesce("seen", "before").alias("before"))
         lower = checkpoint(t.select("lang", "g", "times", "p"))
-        out.append(lower.select("lang", F.lit(k).alias("k"), "g", "times", F.expr("cast(ln(p) as float)").alias("logp"), F.lit(0.0).cast("float").alias("back")))
+        out.append(lower.select("lang", F.lit(k).alias("k"), "g", F.expr("cast(ln(p) as float)").alias("logp"), F.lit(0.0).cast("float").alias("back"), "times", F.lit(0).cast("long").alias("before")))
     whole = out[0]
     for x in out[1:]:
         whole = whole.union(x)
@@ -173,17 +173,16 @@ def model_table(counts: DataFrame) -> DataFrame:
 class Scorer:
     """Looks up log-probabilities in sorted hash arrays; units that are in none have the log-probability ``worst``."""
 
-    def __init__(self, lang: list[str | None], k: np.ndarray, g: np.ndarray, logp: np.ndarray, back: np.ndarray, worst: float) -> None:
+    def __init__(self, names: list[str | None], lang: np.ndarray, k: np.ndarray, g: np.ndarray, logp: np.ndarray, back: np.ndarray, times: np.ndarray, before: np.ndarray, worst: float) -> None:
+        """``lang`` holds indexes of ``names``; the other columns are those of :func:`model_table`."""
         h = np.empty(len(k), np.uint64)
-        names = np.array([-1 if x is None else 0 for x in lang]) if len(lang) else np.empty(0, int)
-        known = {x: i for i, x in enumerate(dict.fromkeys(lang))}
-        names = np.fromiter((known[x] for x in lang), np.int64, len(lang))
-        for x, i in known.items():
+        for i, x in enumerate(names):
             for order in range(1, ORDER + 1):
-                at = (names == i) & (k == order)
+                at = (lang == i) & (k == order)
                 h[at] = self.hashed(g[at].view(np.uint64), x, order)
         by = np.argsort(h)
         self.keys, self.logp, self.back = h[by], logp[by].astype(np.float32), back[by].astype(np.float32)
+        self.times, self.before = (np.minimum(x[by], np.iinfo(np.uint32).max).astype(np.uint32) for x in (times, before))
         self.bits = max(1, int(len(h)).bit_length())
         self.start = np.searchsorted(self.keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.worst = float(worst)
@@ -213,19 +212,32 @@ class Scorer:
             open_ = open_[i[open_] < end[open_]]
         return at
 
-    def surprise(self, grams: np.ndarray, lang: str | None) -> np.ndarray:
-        """-log p of the last unit of each packed 4-gram."""
+    @staticmethod
+    def _elsewhere(at: np.ndarray, times: np.ndarray, owner: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """Which of the entries ``at`` occur in other places than the row ``owner`` that asks. units: how many each row has.
+
+        It is enough to count among those that ask: where a row found a longer n-gram with this end elsewhere, so is the end.
+        """
+        out = at >= 0
+        rare = np.flatnonzero(out)
+        rare = rare[times[at[rare]] <= units[owner[rare]]]
+        _, which, own = np.unique(owner[rare] * len(times) + at[rare], return_inverse=True, return_counts=True)
+        out[rare] = times[at[rare]] > own[which]
+        return out
+
+    def surprise(self, grams: np.ndarray, lang: str | None, owner: np.ndarray) -> np.ndarray:
+        """-log p of the last unit of each packed 4-gram, with the counts of its row ``owner`` held out."""
         out = np.zeros(len(grams))
-        left = np.arange(len(grams))
+        left, units = np.arange(len(grams)), np.bincount(owner)
         for order in range(ORDER, 0, -1):
             g = grams[left] if order == ORDER else grams[left] & np.uint64((1 << 16 * order) - 1)
             at = self.find(self.hashed(g, lang, order))
-            seen = at >= 0
+            seen = self._elsewhere(at, self.times, owner[left], units)
             out[left[seen]] -= self.logp[at[seen]]
             left, g = left[~seen], g[~seen]
             if order > 1 and len(left):
                 back = self.find(self.hashed(g >> np.uint64(16), lang, order - 1))
-                found = back >= 0
+                found = self._elsewhere(back, self.before, owner[left], units)
                 out[left[found]] -= self.back[back[found]]
         out[left] -= self.worst
         return out
@@ -247,17 +259,18 @@ class Model:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int = SLOTS) -> Model:
     """The model of all rows, in shards of about ``slots`` entries."""
-    table = checkpoint(model_table(count_grams(docs, text, lang)).where("times > 1"))
+    table = checkpoint(model_table(count_grams(docs, text, lang)))
     size, worst = table.agg(F.count("*"), F.min("logp")).first()
     n = 1 if size <= slots else -(-2 * size // slots)
     last = F.col("g").bitwiseAND(F.lit((1 << 16) - 1).cast("long"))
     before = F.shiftrightunsigned("g", 16).bitwiseAND(F.lit((1 << 16) - 1).cast("long"))
+    names = [r["lang"] for r in table.where("k = 1").select("lang").distinct().orderBy("lang").collect()]  # a few languages
+    number = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in names if x is not None]), F.col("lang")) - 1 + int(None in names), F.lit(0)).cast("int") if names else F.lit(0)
     shards = []
     for i in range(n):
         own = table if n == 1 else table.where((F.col("k") == 1) | (last % n == i) | (before % n == i))
-        t = own.select("lang", "k", "g", "logp", "back").toArrow()
-        column = lambda c, t=t: t.column(c).to_numpy()
-        shards.append(docs.sparkSession.sparkContext.broadcast(Scorer(t.column("lang").to_pylist(), column("k"), column("g"), column("logp"), column("back"), worst or 0.0)))
+        t = own.select(number.alias("lang"), "k", "g", "logp", "back", "times", "before").toArrow()
+        shards.append(docs.sparkSession.sparkContext.broadcast(Scorer(names, *(t.column(c).to_numpy() for c in t.column_names), worst or 0.0)))
         shards[-1].__dict__.pop("_value", None)
     return Model(shards)
 
@@ -314,7 +327,7 @@ def measure(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
                         if n > 1:
                             here = (grams >> np.uint64(16) & np.uint64(0xFFFF)) % np.uint64(n) == shard
                             grams, owner = grams[here], owner[here]
-                        total[own] += np.bincount(owner, scorer.surprise(grams, name), len(own))
+                        total[own] += np.bincount(owner, scorer.surprise(grams, name, owner), len(own))
                         units[own] += np.bincount(owner, minlength=len(own))
             counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
             mean = pa.array(total / np.maximum(units, 1), pa.float64(), mask=units == 0)
@@ -341,20 +354,20 @@ def bands(measured: DataFrame) -> DataFrame:
 
 
 def verdicts(docs: DataFrame, text: str, lang: str, id: str) -> DataFrame:
-    """Measures of each row with its band, ``base_failed`` and ``kept``."""
+    """Measures of each row with its band, ``base_failed``, ``reason`` and ``kept``."""
     rows = measure(docs, train(docs.where(teaches(docs[text])), text, lang), text, lang, id)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = checkpoint(rows.withColumn("base_failed", failed))
     band = bands(rows).withColumnRenamed("lang", "_lang")
     wider = SHORT / F.sqrt(F.greatest(F.col("n_units"), F.lit(1)))
-    inside = (F.col("surprise") >= F.col("low") - wider) & (F.col("surprise") <= F.col("high") + wider)
     joined = rows.join(band, rows.lang.eqNullSafe(band["_lang"]), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
+    reason = F.when(F.col("base_failed"), "base rules").when(F.col("surprise") < F.col("low") - wider, "too predictable").when(F.col("surprise") > F.col("high") + wider, "too surprising")
+    return joined.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id") -> DataFrame:
-    """``id``, base counts, base_failed, kept, surprise, and the band of each row."""
-    return verdicts(docs, text, lang, id).select(id, *COUNTS, "base_failed", "kept", "surprise", "low", "high")
+    """``id``, base counts, base_failed, kept, surprise, the band of each row, and why it is rejected (null: kept)."""
+    return verdicts(docs, text, lang, id).select(id, *COUNTS, "base_failed", "kept", "surprise", "low", "high", "reason")
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id") -> DataFrame:

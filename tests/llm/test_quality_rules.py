@@ -76,21 +76,30 @@ def plain_model(rows):
             return (tables[1][g] - cut(1, tables[1][g])) / sums[1][()] + mass[1][()] / sums[1][()] / len(tables[1])
         return (tables[k][g] - cut(k, tables[k][g])) / sums[k][h] + mass[k][h] / sums[k][h] * p(g[1:])
 
-    stored = {g for k in times for g, n in times[k].items() if n > 1}
-    worst = min(math.log(p(g)) for g in stored)
-
-    def logp(g):
-        """Stored probabilities, else the weight of the context (if that is stored) and a unit less."""
-        if g in stored:
-            return math.log(p(g))
-        if len(g) == 1:
-            return worst
-        h = g[:-1]
-        return (math.log(mass[len(g)][h] / sums[len(g)][h]) if h in stored and sums[len(g)][h] else 0.0) + logp(g[1:])
+    before = {k: Counter() for k in times}
+    for k, t in times.items():
+        for g, n in t.items():
+            before[k][g[:-1]] += n
+    worst = min(math.log(p(g)) for t in times.values() for g in t)
 
     def surprise(t):
+        """Probabilities of what other places have too, else the weight of the context (if other places have it) and a unit less."""
         u = units(t)
-        return -sum(logp(tuple(u[i : i + 4])) for i in range(len(u) - 3)) / max(len(u) - 3, 1)
+        places = [tuple(u[i : i + 4]) for i in range(len(u) - 3)]
+        own = {k: Counter(g[-k:] for g in places) for k in times}
+        contexts = {k: Counter(g[-k:-1] for g in places) for k in times}
+        total = 0.0
+        for place in places:
+            for k in (4, 3, 2, 1):
+                g, h = place[-k:], place[-k:-1]
+                if times[k][g] > own[k][g]:
+                    total += math.log(p(g))
+                    break
+                if k == 1:
+                    total += worst
+                elif h in times[k - 1] and before[k][h] > contexts[k][h]:
+                    total += math.log(mass[k][h] / sums[k][h])
+        return -total / max(len(places), 1)
 
     return surprise
 
@@ -98,7 +107,7 @@ def plain_model(rows):
 def test_surprise_equals_a_plain_model(spark):
     rows = corpus()
     docs = frame(spark, rows)
-    model = K.train(docs, slots=1 << 45)  # so many that no two n-grams share a slot
+    model = K.train(docs)
     got = {r.doc_id: r for r in K.measure(docs, model).collect()}
     for lang in ("en", "de", None):
         own = [(i, t) for i, t, g in rows if g == lang]
@@ -144,6 +153,43 @@ def test_junk_does_not_teach_the_model_that_it_is_usual(spark):
     assert sum(not got[i].base_failed for i, *_ in stuck + piped) > 40
 
 
+def test_both_ends_of_the_band_reject_in_each_language(spark):
+    r = random.Random(9)
+    syllables = {"en": ["an", "the", "in", "er", "on", "re", "st", "ou", "ha", "ing", "ly", "ed"], "de": ["sch", "ein", "ü", "ch", "ge", "ung", "ber", "den", "keit", "ß", "ver", "tz"], None: ["ción", "ñ", "os", "la", "que", "ar", "mente", "es", "bo", "ga", "ra", "do"]}
+    word = lambda g: "".join(r.choice(syllables[g]) for _ in range(r.randint(1, 3)))
+    rows = [(i, " ".join(word(g) for _ in range(r.randint(60, 120))), g) for i in range(240) for g in [["en", "de", None][i % 3]]]
+    few = {g: [a, b, a + b] for g, x in syllables.items() for a, b in [sorted(x, key=len)[-2:]]}
+
+    def varied(words):
+        """Few words, but hardly any run of five twice."""
+        out = [words[0]] * 4
+        seen = set()
+        while len(out) < 110:
+            fresh = [w for w in words if (*out[-4:], w) not in seen]
+            out.append(r.choice(fresh or words))
+            seen.add(tuple(out[-5:]))
+        return " ".join(out)
+
+    dull = [(300 + i, varied(few[g]), g) for i, g in enumerate(few)]
+    odd = [(310 + i, " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(80)), g) for i, g in enumerate(few)]
+    got = {x.doc_id: x for x in K.judge(frame(spark, rows + dull + odd)).collect()}
+    assert all(got[i].kept and got[i].reason is None for i, *_ in rows)
+    assert not any(got[i].base_failed for i, *_ in dull + odd)
+    assert {got[i].reason for i, *_ in odd} == {"too surprising"}
+    assert {got[i].reason for i, *_ in dull} == {"too predictable"}, [got[i] for i, *_ in dull]
+    assert not any(got[i].kept for i, *_ in dull + odd)
+    # kept is what the band says, row by row
+    for x in got.values():
+        wider = K.SHORT / math.sqrt(sum(len(t) - 3 for i, t, _ in rows + dull + odd if i == x.doc_id))
+        assert x.kept == (not x.base_failed and x.low - wider <= x.surprise <= x.high + wider)
+
+
+def test_own_counts_are_held_out(spark):
+    docs = frame(spark, [*corpus(n=60), (900, "qzxv jkwq " * 1 + "".join(chr(0x4E00 + k) for k in range(400)), "en")])
+    got = {x.doc_id: x for x in K.measure(docs, K.train(docs)).collect()}
+    assert got[900].surprise > 5 * max(got[i].surprise for i in range(0, 60, 3))
+
+
 def test_rules_on_an_empty_table(spark):
     assert K.judge(frame(spark, [])).collect() == [] and K.keep_good(frame(spark, [])).collect() == []
 
