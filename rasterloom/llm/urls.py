@@ -1,24 +1,28 @@
-"""URL filter: host and path rules, and a Bloom filter cascade over all hosts of the corpus.
+"""URL filter: host and path rules, and a Bloom filter cascade over all domains of the corpus.
 
-The cascade's first filter encodes the listed hosts. The second encodes those unlisted hosts of the corpus that the first
-one lets through by mistake, the third the listed ones that the second one holds by mistake, and so on until a filter
-makes no mistakes. As the key universe is complete, membership is exact for every host of the corpus: walking the filters, the
-first that lacks a host decides. Filters are built in Spark (words of bits are or-ed by position) and sent to the
-workers; the pages are not joined with anything.
+The list is a table of domains, of any size; a listed domain blocks its host and all subdomains. Keys are domains: those of two
+labels and more that a host lies in, itself included (a host of one label is its own only key). The cascade's first filter
+encodes the listed keys. The second encodes those unlisted keys of the corpus that the first one lets through by mistake, the
+third the listed ones that the second one holds by mistake, and so on until a filter makes no mistakes. As the key universe is
+complete, membership is exact for every host of the corpus: walking the filters, the first that lacks a key decides. Filters
+are built in Spark (words of bits are or-ed by position) and sent to the workers; the pages are not joined with anything.
+Keys are known by 126 bits of hashes, so that the universe travels as pairs of numbers.
 
-Filters take ``BITS`` bits a key. A cascade of over ``MAX_BITS`` is split: hosts are dealt to shards by their hash, and one
-cascade after the other, each within the bound, judges the pages of its shard.
+Filters take ``BITS`` bits a key. A cascade of over ``MAX_BITS`` is split by hash into shards within the bound, which a worker asks
+one after the other in a single pass over the pages.
 
 Null urls and urls without ``://`` have the empty host and path; the empty host is a key like any other. Repeated rows
-stay; rows are judged one by one.
+stay; rows are judged one by one. Null and repeated domains in the list change nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +42,9 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-#: Names of sites that are listed, on whatever domain: a host is listed if one of its labels is such a name.
-LISTED = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: The default list has each of these names under each of these domains.
+NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+UNDER = ("com", "net", "org", "info", "example.com", "example.net", "example.org")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,15 +66,35 @@ def ruled(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, Col
     return name, verdict
 
 
-def listed_hosts(hosts: DataFrame, names: tuple = LISTED) -> DataFrame:
-    """Those rows whose ``host`` has a listed label."""
-    return hosts.where(F.arrays_overlap(F.split("host", "\\."), F.array(*[F.lit(n) for n in names])))
+def default_list() -> list[str]:
+    return [f"{name}.{domain}" for name in NAMES for domain in UNDER]
 
 
-def _hashes(keys: DataFrame) -> DataFrame:
-    """``a, b``: two non-negative hashes of each host."""
-    positive = lambda c: F.shiftrightunsigned(c, 1)
-    return keys.select(positive(F.xxhash64("host")).alias("a"), positive(F.xxhash64(F.lit(1), "host")).alias("b"))
+def keys_of(host: str) -> list[tuple[int, int]]:
+    """Two non-negative hashes of each key of a host."""
+    out, at, end = [], 0, host.rfind(".")
+    while True:
+        out.append(_hashes(host[at:]))
+        at = host.find(".", at) + 1
+        if not 0 < at <= end:
+            return out
+
+
+def _hashes(key: str) -> tuple[int, int]:
+    both = xxhash.xxh3_128_intdigest(key.encode("utf-8", "surrogatepass"))
+    return both >> 65, both & (1 << 63) - 1
+
+
+def _hashed(df: DataFrame, keys: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
+    """``a, b``: the distinct keys of the texts in the only column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            found = list({k for text in set(x.column(0).to_pylist()) if text is not None for k in keys(text)})
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return df.mapInArrow(run, "a long, b long").distinct()
 
 
 class Cascade:
@@ -130,46 +155,73 @@ def build_cascade(listed: DataFrame, others: DataFrame) -> Cascade:
     return cascade
 
 
-def judge(pages: DataFrame, url: str = "url", id: str = "page_id", rules: tuple = RULES, names: tuple = LISTED) -> DataFrame:
-    """``id, host, path, rule, verdict`` of each row: the rule's verdict, else block if the host is listed, else allow."""
+def build(hosts: DataFrame, domains: DataFrame, max_bits: int = MAX_BITS) -> list[Broadcast]:
+    """Cascades over all keys of the column of hosts, those in the column of listed domains being listed; dealt by ``a``."""
+    universe = checkpoint(_hashed(hosts, keys_of))
+    listed = checkpoint(universe.join(_hashed(domains, lambda d: [_hashes(d)]), ["a", "b"], "left_semi"))
+    shards = -(-max(listed.count(), 1) * BITS // max_bits)
+    out = []
+    for k in range(shards):
+        own = lambda df, k=k: df.where(F.col("a") % shards == k) if shards > 1 else df
+        out.append(hosts.sparkSession.sparkContext.broadcast(build_cascade(own(listed), own(universe).join(listed, ["a", "b"], "left_anti"))))
+        out[-1].__dict__.pop("_value", None)
+    return out
+
+
+def asked(shards: list[Broadcast], hosts: list[str]) -> dict[str, bool]:
+    """Whether each host is listed; hosts have to be in the universe."""
+    keys, owner = [], []
+    for i, host in enumerate(hosts):
+        own = keys_of(host)
+        keys += own
+        owner += [i] * len(own)
+    (a, b), owner, held = np.array(keys, np.int64).reshape(-1, 2).T, np.array(owner, np.int64), np.zeros(len(hosts), bool)
+    for k, x in enumerate(shards):
+        here = a % len(shards) == k
+        held[owner[here][x.value.listed(a[here], b[here])]] = True
+        if len(shards) > 1 and getattr(x, "_path", None):
+            x.__dict__.pop("_value", None)
+    return dict(zip(hosts, held.tolist()))
+
+
+def judge(pages: DataFrame, url: str = "url", id: str = "page_id", rules: tuple = RULES, domains: DataFrame | None = None, max_bits: int = MAX_BITS) -> DataFrame:
+    """``id, host, path, rule, verdict`` of each row: the rule's verdict, else block if the host is listed, else allow.
+
+    domains: a table whose only column has the listed domains in lower case; default: :func:`default_list`.
+    """
     kind = pages.schema[id].dataType.simpleString()
-    parts = pages.select(pages[id].alias("id"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
-    universe = checkpoint(parts.select("host").distinct())
-    listed = checkpoint(listed_hosts(universe, names))
-    n = listed.count()
-    shards = -(-max(n, 1) * BITS // MAX_BITS)
-    shard = F.pmod(F.xxhash64(F.lit(2), "host"), F.lit(shards))
+    if domains is None:
+        domains = pages.sparkSession.createDataFrame([(d,) for d in default_list()], "domain string")
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    out = None
-    for k in range(shards):
-        own = lambda df, k=k: df.where(shard == k) if shards > 1 else df
-        others = own(universe).join(own(listed), "host", "left_anti")
-        sent = pages.sparkSession.sparkContext.broadcast(build_cascade(_hashes(own(listed)), _hashes(others)))
+    parts = pages.select(pages[id].alias("id"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
+    shards = build(parts.select("host").distinct(), domains, max_bits)
 
-        def blocked(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for x in batches:
-                held = sent.value.listed(x.column("a").to_numpy(), x.column("b").to_numpy())
-                yield pa.RecordBatch.from_arrays([*x.columns[:5], pa.array(held)], ["id", "host", "path", "rule", "said", "listed"])
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            hosts = x.column(1).to_pylist()
+            held = asked(shards, list(set(hosts)))
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array([held[h] for h in hosts], pa.bool_())], ["id", "host", "path", "rule", "said", "listed"])
 
-        keyed = own(parts).select("id", "host", "path", rule.alias("rule"), verdict.alias("said"), *[F.shiftrightunsigned(F.xxhash64(*c), 1).alias(x) for x, c in (("a", ["host"]), ("b", [F.lit(1), "host"]))])
-        one = keyed.mapInArrow(blocked, f"id {kind}, host string, path string, rule string, said string, listed boolean")
-        out = one if out is None else out.union(one)
+    keyed = parts.select("id", "host", "path", rule.alias("rule"), verdict.alias("said"))
+    out = keyed.mapInArrow(blocked, f"id {kind}, host string, path string, rule string, said string, listed boolean")
     return out.select(F.col("id").alias(id), "host", "path", "rule", F.coalesce("said", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
-def oracle(rules: tuple = RULES, names: tuple = LISTED) -> str:
-    """The same result in DuckDB SQL."""
+def oracle(rules: tuple = RULES) -> str:
+    """The same result in DuckDB SQL, with the default list."""
     by_length = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     fits = lambda d, p: f"((host = '{d}' or ends_with(host, '.{d}')) and starts_with(path, '{p}'))"
     rule = " ".join(f"when {fits(d, p)} then '{d}{p}'" for _, d, p in by_length)
     said = " ".join(f"when {fits(d, p)} then '{v}'" for v, d, p in by_length)
-    listed = ", ".join(f"'{n}'" for n in names)
+    listed = ", ".join(f"('{d}')" for d in default_list())
     return f"""
 with parts as (
   select page_id,
     translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') as host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path
-  from pages)
+  from pages),
+listed as (select * from (values {listed}) t(domain)),
+blocked as (select distinct host from parts, listed where host = domain or ends_with(host, '.' || domain))
 select page_id, host, path, case {rule} end as rule,
-  case {said} when list_has_any(string_split(host, '.'), [{listed}]) then 'block' else 'allow' end as verdict
+  case {said} when host in (select host from blocked) then 'block' else 'allow' end as verdict
 from parts"""

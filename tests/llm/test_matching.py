@@ -223,7 +223,7 @@ def test_slices_of_items_give_the_same(spark, monkeypatch):
 # -- URLs -----------------------------------------------------------------------------------------------------------------------------
 
 
-def plain_url(u):
+def plain_url(u, domains=tuple(urls.default_list())):
     host = path = ""
     if u and "://" in u:
         rest = u.split("://", 1)[1]
@@ -231,7 +231,7 @@ def plain_url(u):
         host, rest = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut]), rest[cut:]
         path = rest[: min([i for i in (rest.find(c) for c in "?#") if i >= 0], default=len(rest))]
     fits = [(len(d + p), d + p, v) for v, d, p in urls.RULES if (host == d or host.endswith("." + d)) and path.startswith(p)]
-    rule, verdict = max(fits)[1:] if fits else (None, "block" if set(host.split(".")) & set(urls.LISTED) else "allow")
+    rule, verdict = max(fits)[1:] if fits else (None, "block" if any(host == d or host.endswith("." + d) for d in domains) else "allow")
     return host, path, rule, verdict
 
 
@@ -246,17 +246,31 @@ def test_urls_equal_brute_force(spark):
     assert urls.judge(docs.limit(0)).collect() == []
 
 
-def test_cascade_is_exact_for_its_universe(spark, monkeypatch):
-    hosts = spark.range(6000).select(F.concat(F.lit("h"), F.col("id")).alias("host"))
-    listed, others = hosts.where("cast(substr(host, 2) as int) % 3 = 0"), hosts.where("cast(substr(host, 2) as int) % 3 <> 0")
-    cascade = urls.build_cascade(urls._hashes(listed), urls._hashes(others))
-    assert len(cascade.levels) > 2
-    for keys, want in ((listed, True), (others, False)):
-        t = urls._hashes(keys).toPandas()
-        assert (cascade.listed(t["a"].to_numpy(), t["b"].to_numpy()) == want).all()
-    pages = spark.createDataFrame([(i, f"http://{'free-bets' if i % 3 == 0 else 'ok'}.h{i}.com/") for i in range(300)], "page_id long, url string")
-    monkeypatch.setattr(urls, "MAX_BITS", 200)  # several shards
-    assert all((r.verdict == "block") == (r.page_id % 3 == 0) for r in urls.judge(pages).collect())
+@pytest.mark.parametrize("max_bits", [urls.MAX_BITS, 2000])
+def test_hundreds_of_listed_domains_equal_brute_force(spark, max_bits):
+    r = random.Random(7)
+    hosts = [".".join(r.choice("abcdefghij") for _ in range(r.randint(1, 5))) for _ in range(3000)] + ["", "com", ".", "a..b", "x" * 200 + ".y"]
+    domains = [h for h in r.sample(hosts, 700) if h.count(".") > 0] + ["com", "never.seen", None, "a.b", "a.b"]
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id long, url string")
+    listed = spark.createDataFrame([(d,) for d in domains], "domain string")
+    got = {x.page_id: x.verdict for x in urls.judge(pages, domains=listed, max_bits=max_bits, rules=()).collect()}
+    known = {d for d in domains if d}
+
+    def blocked(h):
+        parts = h.split(".")
+        return h in known or any(".".join(parts[i:]) in known for i in range(1, len(parts) - 1))
+
+    assert got == {i: "block" if blocked(h) else "allow" for i, h in enumerate(hosts)}
+    assert 0.2 < sum(v == "block" for v in got.values()) / len(hosts) < 0.95
+    assert set(x.verdict for x in urls.judge(pages, domains=listed.limit(0), rules=()).collect()) == {"allow"}
+
+
+def test_cascade_is_exact_for_its_universe(spark):
+    hosts = [f"h{i}.com" for i in range(6000)]
+    table = spark.createDataFrame([(h,) for h in hosts], "host string")
+    (cascade,) = urls.build(table, table.where("cast(replace(substr(host, 2), '.com', '') as int) % 3 = 0"))
+    assert len(cascade.value.levels) > 2
+    assert urls.asked([cascade], hosts) == {h: i % 3 == 0 for i, h in enumerate(hosts)}
 
 
 # -- licenses ---------------------------------------------------------------------------------------------------------------------------
