@@ -1,13 +1,16 @@
 """Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 Words are lower-cased and cut at white space and ASCII punctuation. A seed is a run of ``N`` words of a test item (all
-words of a shorter item). Seeds that stand in a text join the text to the item. Each passage with a seed, with a margin
+words of a shorter item). Seeds are rare: a run that stands in more than ``RARE`` places of the items is made longer word by
+word until it does not, or is left out where its item ends before that. Items with the same text are one. Seeds that stand in a
+text join the text to the item. Each passage with a seed, with a margin
 around its seeds, is aligned with the item word by word (local alignment with gaps), however many rows hold its seeds; the
 score is the alignment's share of a perfect one. A passage that has too few of the item's words for the least score, in
 whatever order, is not aligned: each word of the item matches once at most.
 
 The items travel to the workers in slices of at most ``SLICE`` words, which bounds what is broadcast; each slice takes one
-pass over the texts. A longer item than that is a slice of its own and refused, as it is no test item.
+pass over the texts. An item of more than ``PART`` words is cut into parts of that length, every half of it, and has the
+score of its best part: a copy of a part of a book is one, though a small share of the book.
 
 Null or empty texts and items match nothing. Rows that share an id, and items that share an item id, give one row with
 their best alignment.
@@ -22,14 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType
 
 from rasterloom.llm.rows import row_key, without
 
 N = 4
 #: Words of all items that are broadcast at once.
 SLICE = 2_000_000
+#: Places of the items that a seed stands in at most, and words of an item that are aligned as a whole.
+RARE, PART = 64, 4096
 #: Least share of a perfect alignment, and what a match, a mismatch and a gap add to an alignment.
 LEAST = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -68,23 +71,50 @@ def align(passage: list[bytes], item: list[bytes]) -> tuple[float, int, int]:
     return best[0] / (MATCH * len(item)), best[1], best[2]
 
 
-def _slices(items: DataFrame, text: str, id: str) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """Items in slices of at most ``SLICE`` words, as the driver reads them one after the other."""
+def _parts(words: list[bytes]) -> list[list[bytes]]:
+    """The item itself, or its overlapping parts if it is long."""
+    if len(words) <= PART:
+        return [words] if words else []
+    return [words[a : a + PART] for a in range(0, len(words) - PART // 2, PART // 2)]
+
+
+def _slices(items: DataFrame, text: str) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Different texts of items with their digests, in slices of at most ``SLICE`` words, as the driver reads them one after the other."""
     held, size = [], 0
-    for row in items.select(items[id].alias("id"), items[text].alias("text")).distinct().orderBy("id", "text").toLocalIterator():
-        words = words_of(row["text"])
-        if len(words) > SLICE:
-            raise ValueError(f"item {row['id']} has over {SLICE} words")
-        if held and size + len(words) > SLICE:
-            yield held
-            held, size = [], 0
-        if words:
-            held.append((row["id"], words))
+    for row in items.select(items[text].alias("text")).where(F.col("text").isNotNull()).distinct().select(F.md5("text").alias("key"), "text").orderBy("key").toLocalIterator():
+        for words in _parts(words_of(row["text"])):
+            if held and size + len(words) > SLICE:
+                yield held
+                held, size = [], 0
+            held.append((row["key"], words))
             size += len(words)
     if held:
         yield held
 
 
+def seeds(items: list[list[bytes]], rare: int = RARE) -> dict[tuple[bytes, ...], list[tuple[int, int]]]:
+    """Item and place of each run of words that is a seed."""
+    out: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
+    new: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
+    for k, words in enumerate(items):
+        n = min(N, len(words))
+        for q in range(len(words) - n + 1):
+            new.setdefault(tuple(words[q : q + n]), []).append((k, q))
+    while new:
+        longer: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
+        for run, places in new.items():
+            if len(places) <= rare:
+                out[run] = places
+                continue
+            for k, q in places:
+                if q + len(run) < len(items[k]):
+                    longer.setdefault((*run, items[k][q + len(run)]), []).append((k, q))
+                elif q == 0:
+                    out.setdefault(run, []).append((k, q))  # the whole item
+        new = longer
+    return out
+
+
 def _passages(words: list[bytes], hits: list[tuple[int, int, int]], items: list[tuple[object, list[bytes]]]) -> Iterator[tuple[int, int, int]]:
     """(item, first word, end) of each passage; hits: (item, word, place in the item), in order."""
     hits.sort()
@@ -105,24 +135,21 @@ def _passages(words: list[bytes], hits: list[tuple[int, int, int]], items: list[
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", least: float = LEAST) -> DataFrame:
     """``id, item_id, score, start, end`` for each row and item that align at ``least``; offsets count words, end exclusive."""
     spark = docs.sparkSession
-    kind, item_kind = docs.schema[id].dataType, items.schema[item_id].dataType
+    kind, item_kind = docs.schema[id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     found = None
-    for part in _slices(items, item_text, item_id):
-        one = _matches_of(docs, part, text, id, kind.simpleString(), item_kind, least)
+    for part in _slices(items, item_text):
+        one = _matches_of(docs, part, text, id, kind, least)
         found = one if found is None else found.union(one)
     if found is None:
-        found = spark.createDataFrame([], f"id {kind.simpleString()}, item_id {item_kind.simpleString()}, score double, start long, end long")
-    best = found.groupBy("id", "item_id").agg(F.max(F.struct(F.col("score"), (-F.col("start")).alias("start"), F.col("end"))).alias("b"))
+        return spark.createDataFrame([], f"id {kind}, item_id {item_kind}, score double, start long, end long").withColumnsRenamed({"id": id, "item_id": item_id})
+    best = found.groupBy("id", "key").agg(F.max(F.struct(F.col("score"), (-F.col("start")).alias("start"), F.col("end"))).alias("b"))
+    named = items.select(items[item_id].alias("item_id"), F.md5(items[item_text]).alias("key"))
+    best = best.join(named, "key").groupBy("id", "item_id").agg(F.max("b").alias("b"))
     return best.select(F.col("id").alias(id), F.col("item_id").alias(item_id), "b.score", (-F.col("b.start")).alias("start"), "b.end")
 
 
-def _matches_of(docs: DataFrame, items: list[tuple[object, list[bytes]]], text: str, id: str, kind: str, item_spark: DataType, least: float) -> DataFrame:
-    item_kind = item_spark.simpleString()
-    places: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
-    for k, (_, words) in enumerate(items):
-        n = min(N, len(words))
-        for q in range(len(words) - n + 1):
-            places.setdefault(tuple(words[q : q + n]), []).append((k, q))
+def _matches_of(docs: DataFrame, items: list[tuple[str, list[bytes]]], text: str, id: str, kind: str, least: float) -> DataFrame:
+    places = seeds([words for _, words in items])
     sent = docs.sparkSession.sparkContext.broadcast((items, places, sorted({len(g) for g in places})))
     schema = "id " + kind + ", item int, first long, passage binary"
 
@@ -149,6 +176,7 @@ def _matches_of(docs: DataFrame, items: list[tuple[object, list[bytes]]], text:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int32()), pa.array(first, pa.int64()), pa.array(passage, pa.binary())], ["id", "item", "first", "passage"])
 
     passages = docs.select(docs[id], docs[text]).mapInArrow(seek, schema)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = sent.value[0]
         bags: dict[int, Counter] = {}
@@ -169,10 +197,9 @@ def _matches_of(docs: DataFrame, items: list[tuple[object, list[bytes]]], text:
                         value.append(v)
                         start.append(first + a)
                         end.append(first + z)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(item, item_type), pa.array(value, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["id", "item_id", "score", "start", "end"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.string()), pa.array(value, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["id", "key", "score", "start", "end"])
 
-    item_type = to_arrow_type(item_spark)
-    return passages.mapInArrow(score, f"id {kind}, item_id {item_kind}, score double, start long, end long")
+    return passages.mapInArrow(score, f"id {kind}, key string, score double, start long, end long")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
