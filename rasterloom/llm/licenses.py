@@ -15,13 +15,14 @@ Templates of under five words are refused.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH, LEAST, BANDS = 5, 0.8, 24
-#: Bounds what the plans carry as literals.
-MAX_TEMPLATE_WORDS = 20_000
+#: Words of templates that a plan carries as literals at once; more of them take several passes over the texts.
+SLICE = 20_000
 
 # Notices of common licenses as their authors publish them, and usual one-line notices.
 TEMPLATES = {
@@ -67,11 +68,22 @@ def shingles(hashes: Column) -> Column:
     return F.when(n > 0, run).otherwise(F.array().cast("array<bigint>"))
 
 
-def _templates(spark: SparkSession, templates: dict[str, list[str]]) -> list[tuple[str, int, list[int]]]:
+def _slices(templates: dict[str, list[str]]) -> Iterator[list[tuple[str, list[str]]]]:
+    """(license, words) of the templates, about ``SLICE`` words at a time."""
+    held, size = [], 0
+    for name, texts in templates.items():
+        for t in texts:
+            words = template_words(t)
+            if held and size + len(words) > SLICE:
+                yield held
+                held, size = [], 0
+            held.append((name, words))
+            size += len(words)
+    yield held
+
+
+def _templates(spark: SparkSession, rows: list[tuple[str, list[str]]]) -> list[tuple[str, int, list[int]]]:
     """(license, w, distinct shingle hashes) of each template, hashed by the same function as the texts."""
-    rows = [(name, template_words(t)) for name, texts in templates.items() for t in texts]
-    if sum(len(w) for _, w in rows) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates have over {MAX_TEMPLATE_WORDS} words")
     if any(len(w) < WIDTH for _, w in rows):
         raise ValueError(f"a template has fewer than {WIDTH} words")
     one = spark.range(1)
@@ -93,8 +105,15 @@ def _windows(starts: Column, w: int, width: int, hashes: list[int]) -> Column:
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, text: str = "text", id: str = "doc_id", least: float = LEAST) -> DataFrame:
     """``id, license, containment`` for each row and license that is found in it."""
+    found = None
+    for part in _slices(templates or TEMPLATES):
+        one = _found(docs, _templates(docs.sparkSession, part), text, id, least)
+        found = one if found is None else found.union(one)
+    return found.groupBy("id", "license").agg(F.max("containment").alias("containment")).withColumnRenamed("id", id)
+
+
+def _found(docs: DataFrame, known: list[tuple[str, int, list[int]]], text: str, id: str, least: float) -> DataFrame:
     spark = docs.sparkSession
-    known = _templates(spark, templates or TEMPLATES)
     every = sorted({h for *_, hs in known for h in hs})
     # explode() of a single value keeps the optimizer from writing the whole expression into every use of its result
     cut = docs.select(docs[id].alias("id"), F.explode(F.array(words(docs[text]))).alias("words"))
@@ -114,5 +133,4 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, text: s
     parts = near.select("id", F.inline(F.concat(*windows))).select("id", "w", "window", F.posexplode(_signature(F.col("window"))).alias("band", "least"))
     met = parts.join(F.broadcast(bands), ["w", "band", "least"])
     share = F.size(F.array_intersect("template", "window")) / F.size("template")
-    found = met.select("id", "license", share.alias("containment")).where(F.col("containment") >= least)
-    return found.groupBy("id", "license").agg(F.max("containment").alias("containment")).withColumnRenamed("id", id)
+    return met.select("id", "license", share.alias("containment")).where(F.col("containment") >= least)

@@ -220,6 +220,24 @@ def test_slices_of_items_give_the_same(spark, monkeypatch):
     assert D.matches(frame(spark, []), table).collect() == [] and D.matches(docs, table.limit(0)).collect() == []
 
 
+def test_common_runs_are_made_longer_and_long_items_cut(spark, monkeypatch):
+    r = random.Random(8)
+    monkeypatch.setattr(D, "RARE", 3)
+    monkeypatch.setattr(D, "PART", 60)
+    head = "which of the following is true about"
+    items = [f"{head} k{i} " + " ".join("z%d" % r.randrange(5000) for _ in range(6)) for i in range(20)] + [head]
+    book = ["b%d" % i for i in range(500)]
+    table = spark.createDataFrame([*enumerate(items), (50, " ".join(book)), (51, items[3])], "item_id int, text string")
+    places = D.seeds([D.words_of(t) for t in items], 3)
+    assert max(map(len, places.values())) <= 3 and tuple(head.encode().split()) in places
+    filler = " ".join("f%d" % i for i in range(30))
+    texts = [f"{filler} {t} {filler}" for t in items] + [f"{filler} {' '.join(book[200:260])} {filler}", f"{filler} {' '.join(book[210:230])} {filler}"]
+    got = {(x.doc_id, x.item_id): x.score for x in D.matches(frame(spark, texts), table).collect()}
+    assert all(got[i, i] == 1 for i in range(21)) and got[3, 51] == 1
+    assert got[21, 50] > 0.7 and (22, 50) not in got
+    assert all(i == k or k in (20, 51) or got[i, k] < 1 for i, k in got)
+
+
 # -- URLs -----------------------------------------------------------------------------------------------------------------------------
 
 
@@ -316,6 +334,20 @@ def test_licenses_equal_brute_force(spark):
     assert len(again) == 2 and licenses.scan(frame(spark, [])).collect() == []
 
 
+def test_slices_of_hundreds_of_templates_equal_brute_force(spark, monkeypatch):
+    r = random.Random(9)
+    words = ["t%d" % i for i in range(900)]
+    templates = {f"L{i}": [" ".join(r.choice(words) for _ in range(r.randint(5, 40)))] for i in range(200)}
+    monkeypatch.setattr(licenses, "TEMPLATES", templates)
+    monkeypatch.setattr(licenses, "SLICE", 1500)
+    filler = lambda: " ".join("f%d" % r.randrange(500) for _ in range(r.randint(0, 30)))
+    texts = [f"{filler()} {templates[f'L{r.randrange(200)}'][0]} {filler()} {' '.join(templates[f'L{r.randrange(200)}'][0].split()[:-1])}" for _ in range(60)]
+    got = {}
+    for x in licenses.scan(frame(spark, texts)).collect():
+        got.setdefault(x.doc_id, {})[x.license] = x.containment
+    assert got == {i: x for i, t in enumerate(texts) if (x := plain_licenses(t))}
+
+
 def test_no_python_in_the_native_license_scan(spark):
     plan = licenses.scan(frame(spark, ["a"]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
