@@ -7,13 +7,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom import crs, geometry, render, session
+from rasterloom import crs, geometry, render, session, slippy
 from rasterloom.celltype import names as cell_type_names
 from rasterloom.functions import aggregate as A
 from rasterloom.functions import local_aggregate as L
@@ -27,6 +29,8 @@ from rasterloom.operators.raster import to_raster, with_tile_subdivisions
 from rasterloom.plans.pruning import join_points, where_contains, where_covers, where_intersects
 from rasterloom.runtime import shared_folder
 from rasterloom.sources import layers
+from rasterloom.sources.geotiff import read_files, read_geotiff, write_geotiff
+from rasterloom.sources.tiff import local_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -229,7 +233,9 @@ def cell_types(spark, sf_dir):
     return spark.range(1).select(F.explode(S.cell_types()).alias("kind"))
 
 
-@query()
+@query(f"""with {CELLS}, r as (select *, min(x::double) over w as lo, max(x::double) over w as hi from cells window w as (partition by vec_id)),
+g as (select vec_id, i, case when x is null then '?' else substr('{S.ASCII_RAMP}', 1 + case when hi > lo then least({len(S.ASCII_RAMP) - 1}, floor((x::double - lo) / (hi - lo) * {len(S.ASCII_RAMP)})::int) else 0 end, 1) end as c from r)
+select vec_id, string_agg(c || case when i % 8 = 7 then chr(10) else '' end, '' order by i) as art from g group by vec_id""")
 def render_ascii(spark, sf_dir):
     return tiles(spark, sf_dir).select("vec_id", S.render_ascii("tile").alias("art"))
 
@@ -470,10 +476,10 @@ def spatial_join_leftanti(spark, sf_dir):
     return Y.spatial_join(customers(spark, sf_dir), suppliers(spark, sf_dir), "left_anti").select("spatial_key.*")
 
 
-@query(f"with {EVENTS}, k as (select col, \"row\", instant, sum(v) as v from ev group by all) select count(*) as n, round(sum(a.v), 2) as v from k a join k b using (col, \"row\", instant) where b.col < 5")
+@query(f"with {EVENTS}, k as (select col, \"row\", instant, sum(v) as v from ev group by all) select count(*) as n, round(sum(a.v), 2) as v from k a join k b using (col, \"row\", instant)")
 def spatial_join_temporal(spark, sf_dir):
     d = days(spark, sf_dir)
-    other = Y.with_column_renamed(d.drop("timestamp"), "tile", "other").where("spatial_key.col < 5")
+    other = Y.with_column_renamed(d.drop("timestamp"), "tile", "other")
     return Y.spatial_join(d, other).agg(F.count("*").alias("n"), F.round(F.sum(S.tile_sum("tile")), 2).alias("v"))
 
 
@@ -487,11 +493,14 @@ def add_joined_bands(spark, sf_dir):
 # -- layers, sources, rasters ------------------------------------------------------------------------------------------------------------
 
 
-@query(f"with {GRIDS}, c as (select * from cust where col in (1, 2) and \"row\" >= 3) select min(col) as c0, min(\"row\") as r0, max(col) as c1, max(\"row\") as r1 from c")
+@query(f"with {GRIDS} select \"row\" >= 3 as low, min(col) as c0, min(\"row\") as r0, max(col) as c1, max(\"row\") as r1 from cust group by 1")
 def clip_layer_extent(spark, sf_dir):
-    df = Y.clip_layer_extent(customers(spark, sf_dir).where("spatial_key.col in (1, 2) and spatial_key.row >= 3"))
-    b = Y.tile_layer_metadata(df).bounds
-    return spark.createDataFrame([(b.col_min, b.row_min, b.col_max, b.row_max)], "c0 int, r0 int, c1 int, r1 int")
+    """Key bounds of the upper and of the lower part of a layer after clipping."""
+    out = []
+    for low in (False, True):
+        b = Y.tile_layer_metadata(Y.clip_layer_extent(customers(spark, sf_dir).where((F.col("spatial_key.row") >= 3) == low))).bounds
+        out.append((low, b.col_min, b.row_min, b.col_max, b.row_max))
+    return spark.createDataFrame(out, "low boolean, c0 int, r0 int, c1 int, r1 int")
 
 
 @query(f"with {GRIDS} select col * 2 + (pos % 4) // 2 as col, \"row\" * 2 + (pos // 4) // 2 as \"row\", count(v) as n, round(sum(v), 2) as v from cust group by 1, 2")
@@ -500,11 +509,11 @@ def tile_subdivisions(spark, sf_dir):
     return df.select("spatial_key.*", S.data_cells("tile").alias("n"), F.round(S.tile_sum("tile"), 2).alias("v"))
 
 
-@query(f"with {GRIDS} select col, \"row\", count(v) as n, round(sum(v), 2) as v from cust where col between 1 and 3 group by all")
+@query(f"with {GRIDS} select col, \"row\", count(v) as n, round(sum(v), 2) as v from cust group by all")
 def layer_files(spark, sf_dir):
     at = layers.Layer(shared_folder(spark, "layers"), "customers", 0)
     layers.write_layer(customers(spark, sf_dir), at)
-    df = layers.read_layer(spark, at, bounds=False).where("spatial_key.col between 1 and 3")
+    df = layers.read_layer(spark, at, bounds=False)
     return df.select("spatial_key.*", S.data_cells("tile").alias("n"), F.round(S.tile_sum("tile"), 2).alias("v"))
 
 
@@ -576,18 +585,194 @@ def ranked_labels(spark, sf_dir):
 def sql_functions(spark, sf_dir):
     session.init(spark, methods=False)
     tiles(spark, sf_dir).createOrReplaceTempView("_tiles")
-    return spark.sql("select label, rf_aggDataCells(tile) as n, round(rf_aggMean(tile), 6) as mean from _tiles group by label")
+    return session.sql(spark, "select label, rf_aggDataCells(tile) as n, round(rf_aggMean(tile), 6) as mean from _tiles group by label")
 
 
-@query()
+_LEVELS = ", ".join(f"trunc(255 * pow(trunc(({b} - min({b}) over w) / (max({b}) over w - min({b}) over w) * 255) / 255, 1 / 1.4)) as {b}" for b in ("lo", "me", "hi"))
+
+
+@query(f"""with {CELLS}, m as (select label, i, min(x::double) as lo, avg(x::double) as me, max(x::double) as hi from cells group by label, i),
+v as (select label, {_LEVELS} from m window w as (partition by label))
+select label, 8 as n_rows, 8 as n_cols, sum(lo)::bigint as red, sum(me)::bigint as green, sum(hi)::bigint as blue, count(lo) * 255 as alpha from v group by label""")
 def rgb_composites(spark, sf_dir):
-    """A PNG for each label, of the cell-wise minima, means and maxima."""
+    """A PNG for each label, of the cell-wise minima, means and maxima; sums of its channels."""
     t = L.local_agg_by(tiles(spark, sf_dir), ["label"], "tile", {"lo": "min", "me": "mean", "hi": "max"})
 
-    @F.udf("binary")
-    def picture(*bands):
+    def pictures(batches):
         from rasterloom.tile import Tile
 
-        return bytearray(render.rgb_composite([Tile.from_row(b) for b in bands], render.NAIP_NATURAL_COLOR))
+        for b in batches:
+            files = [render.rgb_composite([Tile.from_row(band) for band in bands], render.NAIP_NATURAL_COLOR) for bands in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
+            seen = [render.pixels(f) for f in files]
+            sums = [pa.array([int(x[..., k].sum()) for x in seen], pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x.shape[k] for x in seen], pa.int32()) for k in (0, 1)), *sums], ["label", "n_rows", "n_cols", "red", "green", "blue", "alpha"])
+
+    return t.mapInArrow(pictures, "label int, n_rows int, n_cols int, red long, green long, blue long, alpha long")
+
+
+@query(f"with {CELLS} select label, (i % 8)::int as column_index, (i // 8)::int as row_index, count(x)::double as n, (count(*) - count(x))::double as missing, round(avg(x::double), 6) as mean, case when count(x) = count(*) then round(min(x::double), 6) end as lo, case when count(x) = count(*) then round(max(x::double), 6) end as hi, round(var_pop(x::double), 6) as variance from cells group by label, i")
+def local_agg_columns(spark, sf_dir):
+    """Cell-wise aggregates as columns."""
+    g = tiles(spark, sf_dir).groupBy("label").agg(L.local_agg_data_cells("tile").alias("n"), L.local_agg_no_data_cells("tile").alias("missing"), L.local_agg_mean("tile").alias("mean"), L.local_agg_min("tile").alias("lo"), L.local_agg_max("tile").alias("hi"), L.local_agg_stats("tile").alias("s"))
+    return _local_cells(g.select("label", "n", "missing", "mean", "lo", "hi", F.col("s.variance").alias("variance")))
+
+
+def _local_cells(df: DataFrame) -> DataFrame:
+    names = [c for c in df.columns if c != "label"]
+    return explode_tiles(df, *names).select("label", "column_index", "row_index", *[F.when(~F.isnan(c), r6(F.col(c))).alias(c) for c in names])
+
+
+@query(f"with {CELLS} select label, trunc(w * 10)::double as value, count(*) as n from cells group by all")
+def agg_histogram_column(spark, sf_dir):
+    h = _tens(spark, sf_dir).groupBy("label").agg(A.agg_histogram("t").alias("h"))
+    return h.select("label", F.explode("h.bins").alias("b")).select("label", F.col("b.value").alias("value"), F.col("b.count").alias("n"))
+
+
+def _tens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("label", S.array_to_tile(F.transform("embedding", lambda x: (x * F.lit(10).cast("float")).cast("int")), 8, 8).alias("t"))
+
+
+# -- SQL names -----------------------------------------------------------------------------------------------------------------------
+
+
+def _views(spark: SparkSession, sf_dir: str) -> None:
+    session.init(spark, methods=False)
+    tiles(spark, sf_dir).createOrReplaceTempView("_tiles")
+
+
+@query(f"""with {CELLS} select vec_id, round(avg(x::double), 6) as mean, round(sum(x::double), 6) as total, min(x::double) as lo, max(x::double) as hi, count(x) as n, count(*) - count(x) as missing,
+  round(var_pop(x::double), 6) as variance, 'float32raw' as kind, 8::smallint as cols, 8::smallint as n_rows, count(x) as binned, round(sum(case when x is null then -2147483648.0 else trunc(x)::double end), 6) as ints,
+  round(sum(w::double), 6) as doubles, 72 as drawn, 64.0::double as ones, 15 as kinds from cells group by vec_id""")
+def sql_tile_functions(spark, sf_dir):
+    _views(spark, sf_dir)
+    return session.sql(spark, """select vec_id, round(rf_tileMean(tile), 6) as mean, round(rf_tileSum(tile), 6) as total, rf_tileMin(tile) as lo, rf_tileMax(tile) as hi, rf_dataCells(tile) as n, rf_noDataCells(tile) as missing,
+      round(rf_tileStats(tile).variance, 6) as variance, rf_cellType(tile) as kind, rf_tileDimensions(tile).cols as cols, rf_tileDimensions(tile).rows as n_rows,
+      aggregate(rf_tileHistogram(tile).bins, 0L, (a, b) -> a + b.count) as binned, round(aggregate(rf_tileToArrayInt(tile), 0D, (a, x) -> a + x), 6) as ints,
+      round(aggregate(rf_tileToArrayDouble(whole), 0D, (a, x) -> a + x), 6) as doubles, length(rf_renderAscii(tile)) as drawn, rf_tileSum(rf_makeConstantTile(1, 8, 8, 'int8')) as ones, size(rf_cellTypes()) as kinds from _tiles""")
+
+
+@query(f"""with {CELLS} select vec_id, round(sum((x + w)::float::double), 5) as added, round(sum((x - w)::float::double), 5) as less, round(sum((x * w)::float::double), 5) as times, round(sum((w / w)::float::double), 5) as one,
+  round(sum((case when x is null then null else 0 end)::double), 5) as difference, sum(trunc(w * 100::float)::double) as whole, count(*) - count(case when trunc(w * 10) <> 2 then 1 end) as missing, 3.0::double as made, round(sum(coalesce(x, w)::double), 5) as merged from cells group by vec_id""")
+def sql_tile_algebra(spark, sf_dir):
+    _views(spark, sf_dir)
+    e = table(spark, sf_dir, "embeddings")
+    times = lambda k: F.transform("embedding", lambda x: x * F.lit(k).cast("float"))
+    e.select("vec_id", S.array_to_tile(times(100), 8, 8).alias("h"), S.array_to_tile(F.transform(times(10), lambda x: x.cast("int")), 8, 8).alias("t")).createOrReplaceTempView("_scaled")
+    return session.sql(spark, """select vec_id, round(rf_tileSum(rf_localAdd(tile, whole)), 5) as added, round(rf_tileSum(rf_localSubtract(tile, whole)), 5) as less, round(rf_tileSum(rf_localMultiply(tile, whole)), 5) as times,
+      round(rf_tileSum(rf_localDivide(whole, whole)), 5) as one, round(rf_tileSum(rf_normalizedDifference(tile, tile)), 5) as difference, rf_tileSum(rf_convertCellType(h, 'int16')) as whole, rf_noDataCells(rf_withNoData(t, 2)) as missing,
+      rf_tileSum(rf_arrayToTile(array(1D, 2D), 2, 1)) as made, round(rf_tileSum(rf_merge(tile, whole)), 5) as merged from _tiles join _scaled using (vec_id)""")
+
+
+@query(f"with {CELLS} select label, count(x) as n, count(*) - count(x) as missing, round(avg(x::double), 6) as mean, min(x::double) as lo, max(x::double) as hi, round(var_pop(x::double), 6) as variance, count(x) as binned from cells group by label")
+def sql_aggregates(spark, sf_dir):
+    """Tile aggregates in SQL; what is shuffled is numbers and bins."""
+    _views(spark, sf_dir)
+    return session.sql(spark, """select label, rf_aggDataCells(tile) as n, rf_aggNoDataCells(tile) as missing, round(rf_aggMean(tile), 6) as mean, rf_aggStats(tile).min as lo, rf_aggStats(tile).max as hi, round(rf_aggStats(tile).variance, 6) as variance,
+      aggregate(rf_aggHistogram(tile).bins, 0L, (a, b) -> a + b.count) as binned from _tiles group by label""")
+
+
+@query(f"with {CELLS} select label, (i % 8)::int as column_index, (i // 8)::int as row_index, count(x)::double as n, count(x)::double as again, (count(*) - count(x))::double as missing, round(avg(x::double), 6) as mean, case when count(x) = count(*) then round(min(x::double), 6) end as lo, case when count(x) = count(*) then round(max(x::double), 6) end as hi, round(var_pop(x::double), 6) as variance from cells group by label, i")
+def sql_local_aggregates(spark, sf_dir):
+    _views(spark, sf_dir)
+    g = session.sql(spark, """select label, rf_localAggCount(tile) as n, rf_localAggDataCells(tile) as again, rf_localAggNoDataCells(tile) as missing, rf_localAggMean(tile) as mean, rf_localAggMin(tile) as lo, rf_localAggMax(tile) as hi, rf_localAggStats(tile).variance as variance
+      from _tiles group by label""")
+    return _local_cells(g)
+
+
+@query(f"with {CELLS} select vec_id, count(x) as n, round(sum(x::double), 6) as total, count(*) as pairs from cells group by vec_id")
+def sql_explode_and_assemble(spark, sf_dir):
+    _views(spark, sf_dir)
+    return session.sql(spark, """with c as (select vec_id, e.* from _tiles, lateral rf_explodeTiles(tile) e),
+      t as (select vec_id, rf_assembleTile(column_index, row_index, cell, 8, 8, 'float64') as t from c group by vec_id),
+      two as (select vec_id, count(*) as pairs from _tiles, lateral rf_explodeTiles2(tile, whole) e where cell_1 is not null group by vec_id)
+      select vec_id, rf_dataCells(t) as n, round(rf_tileSum(t), 6) as total, pairs from t join two using (vec_id)""")
+
+
+@query("select n_nationkey, (n_nationkey between 5 and 15) as meets, n_nationkey = 10 as holds, abs(n_nationkey - 10)::double as away from nation")
+def sql_geometry(spark, sf_dir):
+    session.init(spark, methods=False)
+    table(spark, sf_dir, "nation").createOrReplaceTempView("_nation")
+    return session.sql(spark, """select n_nationkey, st_intersects(st_point(double(n_nationkey), 0D), st_geomFromWKT('LINESTRING (5 0, 15 0)')) as meets,
+      st_contains(st_geomFromWKT('POLYGON ((9.5 -1, 10.5 -1, 10.5 1, 9.5 1, 9.5 -1))'), st_point(double(n_nationkey), 0D)) as holds, st_distance(st_point(double(n_nationkey), 0D), st_point(10D, 0D)) as away from _nation""")
+
+
+# -- image files ---------------------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    path = local_path(shared_folder(spark, name))
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+def _pixels(df: DataFrame, *keep: str) -> DataFrame:
+    """Cells with data of a read image, by their place in it."""
+    c = explode_tiles(df.select(*keep, "spatial_key", "tile"), "tile").where(~F.isnan("tile"))
+    return c.select(*keep, (F.col("spatial_key.col") * 256 + F.col("column_index")).alias("x"), (F.col("spatial_key.row") * 256 + F.col("row_index")).alias("y"), r6(F.col("tile")).alias("v"))
+
+
+@query(f"with {GRIDS} select (c.col * 4 + pos % 4)::int as x, (c.row * 4 + pos // 4)::int as y, round(v, 6) as v from cust c")
+def geotiff_write_and_read(spark, sf_dir):
+    path = f"{_folder(spark, 'geotiff')}/customers.tif"
+    write_geotiff(customers(spark, sf_dir), path)
+    return _pixels(read_geotiff(spark, path))
+
+
+@query(f"with {GRIDS}, every as (select 'customers' as name, * from cust union all select 'suppliers', * from supp) select name, count(v) as n, round(sum(v), 2) as v, 'float64' as kind from every group by name")
+def geotiff_files(spark, sf_dir):
+    folder = _folder(spark, "geotiffs")
+    write_geotiff(customers(spark, sf_dir), f"{folder}/customers.tif")
+    write_geotiff(suppliers(spark, sf_dir), f"{folder}/suppliers.tif")
+    f = read_files(spark, f"{folder}/*.tif").withColumn("name", F.regexp_extract("path", r"(\w+)\.tif$", 1))
+    s = f.groupBy("name").agg(A.agg_stats("tile").alias("s"), F.first(F.get_json_object("context", "$.cellType")).alias("kind"))
+    return s.select("name", F.col("s.dataCells").alias("n"), F.round(F.col("s.mean") * F.col("s.dataCells"), 2).alias("v"), "kind")
+
+
+def _world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen keys over the world in web Mercator, with the sum of their nations' numbers in all cells."""
+    n, world = table(spark, sf_dir, "nation"), crs.WORLD
+    at = (F.col("n_nationkey") % 16).cast("int")
+    made = n.groupBy(F.struct((at % 4).alias("col"), F.floor(at / 4).cast("int").alias("row")).alias("spatial_key")).agg(F.sum("n_nationkey").cast("double").alias("v"))
+    extent = Extent(-world, -world, world, world)
+    md = LayerMetadata("float64", Layout(extent, TileLayout(4, 4, 16, 16)), extent, crs.WEB_MERCATOR, KeyBounds(0, 0, 3, 3))
+    return Y.as_rf(made.select("spatial_key", S.array_to_tile(F.array_repeat("v", 256), 16, 16).alias("tile")), "spatial_key", md)
+
+
+_WORLD = """keys as (select (n_nationkey % 16 % 4)::int as x, (n_nationkey % 16 // 4)::int as y, sum(n_nationkey)::double as v from nation group by all),
+levels as (select 2 as z, x, y, v from keys union all select 1, x // 2, y // 2, avg(v) from keys group by all union all select 0, 0, 0, avg(v) from keys)"""
+
+
+@query(f"with {_WORLD} select z::int as z, x::int as x, y::int as y, 65536 as n, round(v, 6) as mean from levels")
+def slippy_pyramid(spark, sf_dir):
+    def means(batches):
+        for b in batches:
+            cells = [np.frombuffer(x[0], np.float64) for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([int((~np.isnan(c)).sum()) for c in cells], pa.int32()), pa.array([float(np.nanmean(c)) for c in cells])], ["z", "x", "y", "n", "mean"])
+
+    return slippy.pyramid(_world(spark, sf_dir), 2).mapInArrow(means, "z int, x int, y int, n int, mean double").withColumn("mean", r6(F.col("mean")))
+
+
+def _address(path: Column, suffix: str) -> list[Column]:
+    return [F.regexp_extract(path, rf"/(\d+)/(\d+)/(\d+)\.{suffix}$", k).cast("int").alias(c) for k, c in enumerate("zxy", 1)]
+
+
+@query(f"with {_WORLD} select z::int as z, x::int as x, y::int as y, 65536 as n, round(v, 6) as mean from levels where z = 2")
+def slippy_geotiffs(spark, sf_dir):
+    folder = _folder(spark, "slippy-geotiffs")
+    slippy.export_geotiff(_world(spark, sf_dir), folder, 2)
+    s = read_files(spark, f"{folder}/*/*/*.tiff").select(*_address(F.col("path"), "tiff"), "tile").groupBy("z", "x", "y").agg(A.agg_stats("tile").alias("s"))
+    return s.select("z", "x", "y", F.col("s.dataCells").cast("int").alias("n"), r6(F.col("s.mean")).alias("mean"))
+
+
+@query(f"with {_WORLD} select z::int as z, x::int as x, y::int as y, 256 as n_rows, 256 as n_cols, 16711680::bigint as alpha from levels")
+def slippy_pngs(spark, sf_dir):
+    folder = _folder(spark, "slippy-pngs")
+    slippy.export_png(_world(spark, sf_dir), folder, 2)
+
+    def shapes(batches):
+        for b in batches:
+            seen = [render.pixels(f) for f in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array([x.shape[k] for x in seen], pa.int32()) for k in (0, 1)), pa.array([int(x[..., 3].sum(dtype=np.int64)) for x in seen], pa.int64())], ["z", "x", "y", "n_rows", "n_cols", "alpha"])
 
-    return t.select("label", picture("lo", "me", "hi").alias("png"))
+    files = spark.read.format("binaryFile").load(f"{folder}/*/*/*.png").select(*_address(F.col("path"), "png"), "content")
+    return files.mapInArrow(shapes, "z int, x int, y int, n_rows int, n_cols int, alpha long")

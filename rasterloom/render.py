@@ -67,6 +67,18 @@ def png(rgba: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
+def pixels(file: bytes) -> np.ndarray:
+    """(rows, cols, channels) of a file that :func:`png` wrote."""
+    at, parts = 8, {}
+    while at < len(file):
+        size, name = struct.unpack(">I4s", file[at : at + 8])
+        parts[name] = file[at + 8 : at + 8 + size]
+        at += size + 12
+    cols, rows, _, kind, *_ = struct.unpack(">IIBBBBB", parts[b"IHDR"])
+    channels = 4 if kind == 6 else 3
+    return np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(rows, cols * channels + 1)[:, 1:].reshape(rows, cols, channels)
+
+
 def _with_alpha(channels: list[np.ndarray]) -> np.ndarray:
     missing = np.any([np.isnan(c) for c in channels], axis=0)
     colours = [np.where(np.isnan(c), 0, c) for c in channels]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -149,7 +150,7 @@ def _assembled():
 
 
 def register_functions(spark: SparkSession) -> None:
-    """All SQL functions. Aggregates are grouped ones here; the DataFrame functions of the same names are composed of partial sums."""
+    """All SQL functions. Aggregates are grouped ones here; :func:`sql` and the DataFrame functions compose them of partial sums."""
     u = spark.udf.register
     for name, f in {
         "rf_tileMean": scalar.UDF_MEAN, "rf_tileSum": scalar.UDF_SUM, "rf_tileMin": scalar.UDF_MIN, "rf_tileMax": scalar.UDF_MAX,
@@ -157,6 +158,7 @@ def register_functions(spark: SparkSession) -> None:
         "rf_localAdd": scalar.UDF_ALGEBRA["Add"], "rf_localSubtract": scalar.UDF_ALGEBRA["Subtract"], "rf_localMultiply": scalar.UDF_ALGEBRA["Multiply"], "rf_localDivide": scalar.UDF_ALGEBRA["Divide"],
         "rf_normalizedDifference": scalar.UDF_NORMALIZED, "rf_renderAscii": scalar.UDF_ASCII, "rf_tileToArrayInt": scalar.UDF_TO_ARRAY["int"], "rf_tileToArrayDouble": scalar.UDF_TO_ARRAY["double"],
         "rf_makeConstantTile": _constant, "rf_convertCellType": _convert, "rf_withNoData": _with_nodata, "rf_arrayToTile": _array_to_tile, "rf_merge": payload.UDF_MERGE,
+        "rf_tilePartial": aggregate.UDF_PARTIAL, "rf_tileBins": aggregate.UDF_BINNED, "rf_mergeBins": aggregate.UDF_MERGE_BINNED,
         "rf_box2D": geometry.UDF_BOX, "st_geomFromWKT": geometry.UDF_FROM_WKT, "st_point": geometry.UDF_POINT, "st_distance": geometry.UDF_DISTANCE,
     }.items():
         u(name, f)
@@ -205,12 +207,68 @@ def _exploder(n: int):
     return F.udtf(Explode, returnType="column_index int, row_index int, " + ", ".join(f"{x} double" for x in names))
 
 
+#: Aggregates by partial results of each tile: what a call becomes, with ``{0}`` for the tile. Spark's own aggregates stand above them.
+COMPOSED = {
+    "rf_aggstats": "named_struct('dataCells', coalesce(sum({p}.n), 0L), 'min', min({p}.min), 'max', max({p}.max), 'mean', coalesce(try_divide(sum({p}.sum), sum({p}.n)), double('NaN')),"
+    " 'variance', if(sum({p}.n) > 0, greatest(sum({p}.squares) / sum({p}.n) - power(sum({p}.sum) / sum({p}.n), 2), 0.0D), double('NaN')))",
+    "rf_aggmean": "try_divide(sum({p}.sum), sum({p}.n))",
+    "rf_aggdatacells": "coalesce(sum({p}.n), 0L)",
+    "rf_aggnodatacells": "coalesce(sum({p}.cells - {p}.n), 0L)",
+    "rf_agghistogram": "rf_mergeBins(collect_list(rf_tileBins({0})))",
+}
+#: Text that is no code: strings, quoted names, comments; else a name before a parenthesis, or any character.
+_TOKEN = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|[A-Za-z_]\w*(?=\s*\()|\w+|.""", re.S)
+
+
+def composed(text: str) -> str:
+    """SQL text with calls of tile aggregates written out over partial results, so that they shuffle numbers or bins and not tiles.
+
+    Calls that are distinct, filtered or over windows stay what they are.
+    """
+    tokens = _TOKEN.findall(text)
+
+    def closing(i: int) -> int | None:
+        depth = 0
+        for k in range(i, len(tokens)):
+            depth += (tokens[k] == "(") - (tokens[k] == ")")
+            if tokens[k] == ")" and not depth:
+                return k
+        return None
+
+    def written(start: int, end: int) -> str:
+        out, i = [], start
+        while i < end:
+            name, at = tokens[i].lower(), i + 1
+            if name in COMPOSED:
+                while tokens[at].isspace():
+                    at += 1
+                close = closing(at)
+                after = [t.lower() for t in tokens[(close or 0) + 1 :] if not t.isspace() and not t.startswith(("--", "/*"))][:1]
+                if close is not None and close < end and after not in (["filter"], ["over"]):
+                    tile = written(at + 1, close).strip()
+                    if not re.match(r"distinct\b", tile, re.I):
+                        out.append("(" + COMPOSED[name].format(tile, p=f"rf_tilePartial({tile})") + ")")
+                        i = close + 1
+                        continue
+            out.append(tokens[i])
+            i += 1
+        return "".join(out)
+
+    return written(0, len(tokens))
+
+
+def sql(spark: SparkSession, text: str) -> DataFrame:
+    """``spark.sql`` with tile aggregates composed of partial results (see :func:`composed`)."""
+    return spark.sql(composed(text))
+
+
 def init(spark: SparkSession, methods: bool = True) -> SparkSession:
     """Register everything; with ``methods``, also ``spark.read.geotiff`` and the like and ``df.asRF``."""
     ship(spark)
     register_functions(spark)
     spark.dataSource.register(GeoTiffSource)
     if methods:
+        SparkSession.rasterSql = sql
         SparkSession.withRasters = lambda self: init(self)
         DataFrame.asRF = lambda self, spatial_key=None, metadata=None, temporal_key=None: layer.as_rf(self, spatial_key, metadata, temporal_key)
         DataFrame.tileColumns = layer.tile_columns

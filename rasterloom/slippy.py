@@ -23,7 +23,7 @@ from rasterloom.operators.metadata import Extent
 from rasterloom.operators.raster import BILINEAR, sample
 from rasterloom.render import png, ramp_png
 from rasterloom.runtime import staged
-from rasterloom.sources.tiff import encode
+from rasterloom.sources.tiff import encode, local_path
 from rasterloom.celltype import parse
 from rasterloom.tile import groups
 
@@ -192,7 +192,7 @@ def export_png(df: DataFrame, to: str, zoom: int | None = None) -> int:
     z = finest_zoom(df) if zoom is None else zoom
     stats = df.agg(*[agg_stats(n).alias(n) for n in names[:3]]).first()
     ranges = [(stats[n]["min"] or 0.0, stats[n]["max"] or 1.0) for n in names[:3]]
-    to = to.removeprefix("file://")
+    to = local_path(to)
 
     def render(bands: list[np.ndarray], *_) -> bytes:
         if len(bands) < 3:
@@ -216,5 +216,5 @@ def export_geotiff(df: DataFrame, to: str, zoom: int | None = None) -> int:
     def render(bands: list[np.ndarray], z: int, x: int, y: int) -> bytes:
         return encode(np.stack(bands[:3] if len(bands) >= 3 else bands[:1]), parse("float64"), web_extent(z, x, y), projections.WEB_MERCATOR)
 
-    _write(web_tiles(df, z), to.removeprefix("file://"), "tiff", render)
+    _write(web_tiles(df, z), local_path(to), "tiff", render)
     return z

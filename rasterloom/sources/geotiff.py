@@ -21,7 +21,7 @@ from rasterloom.geometry import box
 from rasterloom.operators import layer
 from rasterloom.operators.metadata import KeyBounds, LayerMetadata, Layout
 from rasterloom.operators.raster import to_multiband_raster
-from rasterloom.sources.tiff import Tiff, encode
+from rasterloom.sources.tiff import Tiff, encode, local_path
 from rasterloom.tile import TILE_TYPE, Tile
 
 LARGEST = 256
@@ -165,5 +165,5 @@ def write_geotiff(df: DataFrame, path: str, image_width: int | None = None, imag
     width = image_width or round(md.extent.width / layout.tile_width * layout.tiles.tile_cols)
     height = image_height or round(md.extent.height / layout.tile_height * layout.tiles.tile_rows)
     raster = to_multiband_raster(df, tiles or layer.tile_columns(df), width, height)
-    with open(path.removeprefix("file://"), "wb") as f:
+    with open(local_path(path), "wb") as f:
         f.write(encode(np.stack([t.cells for t in raster.tiles]), raster.tiles[0].cell_type, raster.extent, raster.crs, tile=256))

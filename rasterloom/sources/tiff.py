@@ -71,6 +71,11 @@ def _packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
+def local_path(path: str) -> str:
+    """A path that ``open`` takes, from one that may be a ``file:`` URI."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:/") else path
+
+
 @dataclass
 class Tiff:
     """The first image of a file: its tags, and access to its blocks."""
@@ -81,7 +86,7 @@ class Tiff:
 
     @staticmethod
     def open(source: str | bytes | BinaryIO) -> Tiff:
-        f = open(source.removeprefix("file://") if source.startswith("file://") else source.removeprefix("file:"), "rb") if isinstance(source, str) else io.BytesIO(source) if isinstance(source, bytes) else source
+        f = open(local_path(source), "rb") if isinstance(source, str) else io.BytesIO(source) if isinstance(source, bytes) else source
         t = Tiff(f)
         head = f.read(16)
         t.order = {b"II": "<", b"MM": ">"}.get(head[:2], "")

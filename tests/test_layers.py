@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import re
 import warnings
 
 import numpy as np
@@ -425,6 +426,50 @@ def test_sql_names(spark):
     assert spark.sql("select st_intersects(st_geomFromWKT('POINT (1 1)'), st_geomFromWKT('POLYGON ((0 0, 0 2, 2 2, 2 0, 0 0))'))").first()[0]
 
 
+def test_composed_sql(spark):
+    c = session.composed
+    for text in ("select 'rf_aggMean(tile)', \"rf_aggMean(a)\", `rf_aggMean(b)` -- rf_aggMean(c)\n/* rf_aggMean(d) */ from t", "select rf_aggMean(a) filter (where b) from t", "select rf_aggMean(a) over (partition by k) from t", "select rf_aggMean(distinct a) from t", "select rf_aggMean from t", "select rf_aggMean(a", "it's"):
+        assert c(text) == text
+    assert c("select RF_AGGMEAN ( f(a, ')') ) m") == "select (try_divide(sum(rf_tilePartial(f(a, ')')).sum), sum(rf_tilePartial(f(a, ')')).n))) m"
+    assert c("rf_aggDataCells(rf_merge(a, b)) + rf_aggNoDataCells(a)").count("rf_tilePartial") == 3
+    session.init(spark)
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("a", TILE_TYPE)])
+    rows = [(1, Tile.of(np.array([[1, 2], [0, 4]]), "uint8").row()), (1, None), (2, None), (3, Tile.of(np.zeros((2, 2)), "uint8").row())]
+    spark.createDataFrame(rows, schema).createOrReplaceTempView("few")
+    text = "select k, rf_aggStats(a) s, rf_aggMean(a) m, rf_aggDataCells(a) n, rf_aggNoDataCells(a) x, rf_aggHistogram(a) h from few group by k order by k"
+    one, two = session.sql(spark, text), spark.sql(text)
+    assert str(one.collect()) == str(two.collect())
+    exchanged = re.findall(r"Exchange hashpartitioning.*", one._jdf.queryExecution().toString())
+    assert "partial_sum" in one._jdf.queryExecution().toString() and exchanged
+
+
+def test_vegetation_index(spark):
+    red, near = np.array([[1.0, 2.0], [np.nan, 4.0]]), np.array([[3.0, 2.0], [5.0, 12.0]])
+    df = Y.from_raster(spark, [red, near], Extent(0, 0, 1, 1))
+    got = Tile.from_row(df.select(S.normalized_difference("tile_2", "tile_1").alias("t")).first().t).doubles()
+    assert np.array_equal(got, [[0.5, 0.0], [np.nan, 0.5]], equal_nan=True)
+
+
+def test_decision_tree_on_cells(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    y, x = np.mgrid[0:12, 0:12]
+    label = ((x > 5) ^ (y > 7)).astype(float)
+    df = Y.from_raster(spark, [x.astype(float), y.astype(float), label], Extent(0, 0, 1, 1), tile_cols=6, tile_rows=6)
+    stages = [TileExploder(), NoDataFilter(inputCols=["tile_1", "tile_2"]), VectorAssembler(inputCols=["tile_1", "tile_2"], outputCol="features"), DecisionTreeClassifier(labelCol="tile_3", maxDepth=4)]
+    out = Pipeline(stages=stages).fit(df).transform(df)
+    assert out.count() == 144 and out.where("prediction <> tile_3").count() == 0
+
+
+def test_pictures_read_back():
+    r = np.random.default_rng(1)
+    for channels in (3, 4):
+        x = r.integers(0, 256, (5, 7, channels)).astype(np.uint8)
+        assert np.array_equal(render.pixels(render.png(x)), x)
+
+
 def test_streams(spark, tmp_path):
     schema = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("k", T.LongType()), T.StructField("tile", TILE_TYPE)])
     rows = [(dt.datetime(2024, 1, 1, 0, m), m % 2, Tile.of(np.full((2, 2), m + 1), "int32").row()) for m in range(10)]
