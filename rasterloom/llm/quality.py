@@ -180,8 +180,10 @@ def train(stats: DataFrame, labels: DataFrame, id: str = "doc_id", label: str =
     """Fit on at most ``SAMPLE`` labelled rows of the training part."""
     own = labels.select(labels[id].alias("_id"), labels[label].cast("double").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out(F.col("_id")))
     sample = own.orderBy(F.xxhash64("_id"), "_id", "_label").limit(SAMPLE)
-    t = stats.join(F.broadcast(sample), stats.id == F.col("_id")).select("_id", "_label", *STATISTICS).limit(2 * SAMPLE).toPandas()
-    t = t.sort_values(["_id", "_label", *STATISTICS]).drop_duplicates()
+    # rows that share an id count once, with the least statistics, so that there are no more rows than labels
+    least = F.min(F.struct(*STATISTICS)).alias("s")
+    t = stats.join(F.broadcast(sample), stats.id == F.col("_id")).groupBy("_id", "_label").agg(least).select("_id", "_label", "s.*").toPandas()
+    t = t.sort_values(["_id", "_label"])
     return fit(t[list(STATISTICS)].to_numpy(np.float64).reshape(-1, len(STATISTICS)), t["_label"].to_numpy(np.float64))
 
 
