@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,10 +30,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def _folder(spark: SparkSession) -> str:
-    """The folder of reliable checkpoints; one of our own only where neither session nor context has one (tests on one machine)."""
+    """The folder of reliable checkpoints; one of our own only on one machine, and only where neither session nor context has one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors reach")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rasterloom-checkpoint-"))
     return sc.getCheckpointDir()
 
