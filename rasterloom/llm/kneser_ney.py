@@ -26,7 +26,7 @@ without a band are judged by the base rules alone. Repeated rows are counted and
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +38,15 @@ from pyspark.sql import functions as F
 from rasterloom.llm.rows import row_key, without
 from rasterloom.runtime import checkpoint
 
+SPACE = " \t\n\r\x0b\x0c"
+SYMBOLS = "#*$%&|<>"
 ORDER = 4
 #: Entries of a shard of the model, about: a shard has all entries of its units.
 SLOTS = 1 << 21
 #: Units that are handled at once by a worker.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Distinct 4-grams of a language that a worker adds up before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Reach of the band below and above the quartiles, in distances between them, and the least distance.
 REACH_LOW, REACH_HIGH, LEAST_SPREAD = 4.0, 14.0, 0.05
 #: What the band is wider for n units, times the square root of n.
@@ -87,8 +89,14 @@ def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], np.add.reduceat(c, first)
 
 
-def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``lang, g, n``: packed 4-grams of all rows, with their counts."""
+def teaches(text: str) -> bool:
+    """Whether the model learns from a row: it has at most a tenth as many symbols as words."""
+    symbols = sum(map(text.count, SYMBOLS))
+    return not symbols or 10 * symbols <= len(text.encode("utf-8", "surrogatepass").split())
+
+
+def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang", chosen: Callable[[str], bool] | None = None) -> DataFrame:
+    """``lang, g, n``: packed 4-grams of all rows (or of those whose text is chosen), with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -100,7 +108,8 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
         for b in batches:
             by: dict[str | None, list[str]] = {}
             for t, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by.setdefault(name, []).append(t or "")
+                if chosen is None or chosen(t or ""):
+                    by.setdefault(name, []).append(t or "")
             for name, texts in by.items():
                 for at in _chunks(texts):
                     k, c = np.unique(_packed([texts[i] for i in at])[0], return_counts=True)
@@ -257,9 +266,9 @@ class Model:
                 x.__dict__.pop("_value", None)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int = SLOTS) -> Model:
-    """The model of all rows, in shards of about ``slots`` entries."""
-    table = checkpoint(model_table(count_grams(docs, text, lang)))
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int = SLOTS, chosen: Callable[[str], bool] | None = None) -> Model:
+    """The model of all rows (or of those whose text is chosen), in shards of about ``slots`` entries."""
+    table = checkpoint(model_table(count_grams(docs, text, lang, chosen)))
     size, worst = table.agg(F.count("*"), F.min("logp")).first()
     n = 1 if size <= slots else -(-2 * size // slots)
     last = F.col("g").bitwiseAND(F.lit((1 << 16) - 1).cast("long"))
@@ -275,17 +284,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int =
     return Model(shards)
 
 
-SPACE = " \t\n\r\x0b\x0c"
-SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 
-def teaches(text: Column) -> Column:
-    """Whether the model learns from a row: it has at most a tenth as many symbols as words."""
-    symbols = F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))
-    return 10 * symbols <= F.regexp_count(text, F.lit(r"[^ \t\n\r\x0B\f]+"))
-
-
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     words = text.encode("utf-8", "surrogatepass").split()
@@ -355,7 +356,7 @@ def bands(measured: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame, text: str, lang: str, id: str) -> DataFrame:
     """Measures of each row with its band, ``base_failed``, ``reason`` and ``kept``."""
-    rows = measure(docs, train(docs.where(teaches(docs[text])), text, lang), text, lang, id)
+    rows = measure(docs, train(docs, text, lang, chosen=teaches), text, lang, id)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = checkpoint(rows.withColumn("base_failed", failed))
     band = bands(rows).withColumnRenamed("lang", "_lang")
