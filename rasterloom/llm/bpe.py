@@ -23,6 +23,8 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from rasterloom.llm.rows import pieces
+
 #: Pieces kept by each worker's memo, and compatible or incompatible token pairs; both are emptied when full.
 MEMO_PIECES, MEMO_PAIRS = 300_000, 1_000_000
 
@@ -188,7 +190,7 @@ def digest_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sha = _encoder(data.value, key, pattern), hashlib.sha256
-        for b in batches:
+        for b in pieces(batches):
             n, of_ids, of_text = [], [], []
             for t in b.column(1).to_pylist():
                 ids = enc.encode(t or "")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.rows import row_key, without
+from rasterloom.llm.rows import pieces, row_key, without
 
 N = 4
 #: Words of all items that are broadcast at once.
@@ -151,12 +151,11 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "do
 def _matches_of(docs: DataFrame, items: list[tuple[str, list[bytes]]], text: str, id: str, kind: str, least: float) -> DataFrame:
     places = seeds([words for _, words in items])
     sent = docs.sparkSession.sparkContext.broadcast((items, places, sorted({len(g) for g in places})))
-    schema = "id " + kind + ", item int, first long, passage binary"
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, places, sizes = sent.value
         known = frozenset(places)
-        for b in batches:
+        for b in pieces(batches):
             row, item, first, passage = [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 words = words_of(t)
@@ -175,8 +174,6 @@ def _matches_of(docs: DataFrame, items: list[tuple[str, list[bytes]]], text: str
                     passage.append(b" ".join(words[begin:end]))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int32()), pa.array(first, pa.int64()), pa.array(passage, pa.binary())], ["id", "item", "first", "passage"])
 
-    passages = docs.select(docs[id], docs[text]).mapInArrow(seek, schema)
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = sent.value[0]
         bags: dict[int, Counter] = {}
@@ -199,7 +196,8 @@ def _matches_of(docs: DataFrame, items: list[tuple[str, list[bytes]]], text: str
                         end.append(first + z)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.string()), pa.array(value, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["id", "key", "score", "start", "end"])
 
-    return passages.mapInArrow(score, f"id {kind}, key string, score double, start long, end long")
+    run = lambda batches: score(seek(batches))
+    return docs.select(docs[id], docs[text]).mapInArrow(run, f"id {kind}, key string, score double, start long, end long")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.rows import row_key, without
+from rasterloom.llm.rows import pieces, row_key, without
 from rasterloom.runtime import checkpoint
 
 SPACE = " \t\n\r\x0b\x0c"
@@ -44,9 +44,9 @@ ORDER = 4
 #: Entries of a shard of the model, about: a shard has all entries of its units.
 SLOTS = 1 << 21
 #: Units that are handled at once by a worker.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 #: Distinct 4-grams of a language that a worker adds up before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Reach of the band below and above the quartiles, in distances between them, and the least distance.
 REACH_LOW, REACH_HIGH, LEAST_SPREAD = 4.0, 14.0, 0.05
 #: What the band is wider for n units, times the square root of n.
@@ -105,7 +105,7 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang", chosen:
         def out(name: str | None, k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([name], pa.string()).take(pa.array(np.zeros(len(k), np.int32))), pa.array(k.view(np.int64)), pa.array(c)], ["lang", "g", "n"])
 
-        for b in batches:
+        for b in pieces(batches):
             by: dict[str | None, list[str]] = {}
             for t, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if chosen is None or chosen(t or ""):
@@ -314,7 +314,7 @@ def measure(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(model.shards)
-        for b in batches:
+        for b in batches if n > 1 else pieces(batches):  # every batch reads all shards
             texts, langs = [t or "" for t in b.column(1).to_pylist()], b.column(2).to_pylist()
             total, units = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             by: dict[str | None, list[int]] = {}

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows whose texts a worker holds as Python objects at once.
+ROWS = 512
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that no worker holds more than these as Python objects; memory of the last ones goes back."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+            pa.default_memory_pool().release_unused()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that the table does not have, in whatever case."""
     own = {c.lower() for c in df.columns}

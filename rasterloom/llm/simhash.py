@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.graph import components
-from rasterloom.llm.rows import row_key, unused
+from rasterloom.llm.rows import pieces, row_key, unused
 from rasterloom.runtime import checkpoint
 
 SEED, WIDTH = 42, 3
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Dat
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t) for t in b.column(1).to_pylist()], pa.int64())], ["id", "fp"])
 
     return docs.select(docs[id], docs[text]).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id)

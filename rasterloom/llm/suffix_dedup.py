@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.induced import Shard
+from rasterloom.llm.rows import pieces
 from rasterloom.runtime import checkpoint, staged
 
 LENGTH, GRAM, PART = 400, 32, 64
@@ -39,8 +40,6 @@ LENGTH, GRAM, PART = 400, 32, 64
 HOT, FINER = 1024, (8, 1)
 #: Bytes of a text whose grams are hashed at once, and bytes that the sorter of a shard keeps in memory.
 CHUNK, MEMORY = 1 << 19, 96 << 20
-#: Rows whose texts are held as Python objects at once.
-ROWS = 512
 #: Bytes of parts that one call of the sorter takes; the parts of a core stay together.
 SHARD = 2 << 20
 
@@ -99,20 +98,12 @@ def _key(text: Column) -> list[Column]:
     return [F.xxhash64(whole).alias("k1"), F.hash(whole).alias("k2")]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows, so that no worker holds more than these as Python objects; memory of the last ones goes back."""
-    for b in batches:
-        for at in range(0, b.num_rows, ROWS):
-            yield b.slice(at, ROWS)
-            pa.default_memory_pool().release_unused()
-
-
 def _contexts(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
     """``k1, k2, anchor, content, start, n`` of each anchor of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for b in _pieces(batches):
+        for b in pieces(batches):
             row, anchor, content, start, number = [], [], [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):
                 raw = (t or "").encode()
@@ -155,7 +146,7 @@ def _parts(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for b in _pieces(batches):
+        for b in pieces(batches):
             row, core, content, start, number, place, held = [], [], [], [], [], [], []
             for i, (t, wanted) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
                 raw, wanted = (t or "").encode(), {w["start"]: w["n"] for w in wanted}
@@ -182,7 +173,7 @@ def _finer(parts: DataFrame, size: int, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for b in _pieces(batches):
+        for b in pieces(batches):
             row, core, content, start, number, place, held = [], [], [], [], [], [], []
             for i, (c, s, n, p, body) in enumerate(zip(*(b.column(k).to_pylist() for k in (2, 4, 5, 6, 7)))):
                 for k, first, m, left, right in _cut(p, n, size, length):
@@ -222,7 +213,7 @@ def _sorted_shards(parts: DataFrame, length: int, memory: int, shard: int) -> Da
                     out.clear()
             yield batch()
 
-        for batch in _pieces(batches):
+        for batch in pieces(batches):
             for core, k1, k2, start, n, body in zip(*(c.to_pylist() for c in batch.columns)):
                 if held.size >= shard and core != before:
                     yield from found()
@@ -294,7 +285,7 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", length
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches):
+        for b in pieces(batches):
             kept = [x for _, x, _ in _rows_kept(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary())], ["id", "kept"])
 
@@ -306,7 +297,7 @@ def digest(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches):
+        for b in pieces(batches):
             size, gone, runs, sha = [], [], [], []
             for raw, kept, n in _rows_kept(b):
                 size.append(len(raw))
