@@ -3,8 +3,8 @@
 Texts are cut into lower-case words of letters and digits and into shingles of five words. Texts without any shingle of a
 template can collide with none and are left out first, by the same shingle hashes. The others are cut into windows:
 templates are grouped by the power of two ``w`` at or above their number of shingles, and windows of ``5 w / 4`` shingles start
-at every ``w / 4``, so each place where a template may stand lies inside a window. A window that holds 0.8 of a template has a
-Jaccard similarity of 0.29 at least with it; ``BANDS`` bands of one MinHash each miss it with a probability of at most
+at every ``w / 4`` (of ``w + 1`` at every shingle for the shortest), so each place where a template may stand lies inside
+a window. A window that holds 0.8 of a template has a Jaccard similarity of 0.29 at least with it; ``BANDS`` bands of one MinHash each miss it with a probability of at most
 0.71 ** 24, less than one in three thousand. What the bands retrieve is verified: the exact share of the template's shingles that
 stand in the window has to be ``LEAST`` or more.
 
@@ -82,6 +82,17 @@ def _slices(templates: dict[str, list[str]]) -> Iterator[list[tuple[str, list[st
     yield held
 
 
+def window_shape(w: int) -> tuple[int, int]:
+    """Step and length of the windows for templates of ``w`` shingles at most."""
+    step = max(1, w // 4)
+    return step, w + step
+
+
+def size_class(shingles: int) -> int:
+    """The power of two at or above a number of shingles."""
+    return 1 << (shingles - 1).bit_length()
+
+
 def _templates(spark: SparkSession, rows: list[tuple[str, list[str]]]) -> list[tuple[str, int, list[int]]]:
     """(license, w, distinct shingle hashes) of each template, hashed by the same function as the texts."""
     if any(len(w) < WIDTH for _, w in rows):
@@ -89,7 +100,7 @@ def _templates(spark: SparkSession, rows: list[tuple[str, list[str]]]) -> list[t
     one = spark.range(1)
     hashes = one.select(*[word_hashes(F.array(*[F.lit(x) for x in w])).alias(f"t{k}") for k, (_, w) in enumerate(rows)])
     hashed = hashes.select(*[F.array_distinct(shingles(F.col(f"t{k}"))).alias(f"t{k}") for k in range(len(rows))]).first()
-    return [(name, max(4, 1 << (len(h) - 1).bit_length()), list(h)) for (name, _), h in zip(rows, hashed)]
+    return [(name, size_class(len(h)), list(h)) for (name, _), h in zip(rows, hashed)]
 
 
 def _signature(window: Column) -> Column:
@@ -122,7 +133,7 @@ def _found(docs: DataFrame, known: list[tuple[str, int, list[int]]], text: str,
     windows, bands = [], None
     for w in sorted({w for _, w, _ in known}):
         own = [(name, hs) for name, size, hs in known if size == w]
-        step, width = max(1, w // 4), w + max(1, w // 4)
+        step, width = window_shape(w)
         hashes = sorted({h for _, hs in own for h in hs})
         starts = F.sequence(F.lit(0), F.size("h") - 1, F.lit(step))
         windows.append(_windows(starts, w, width, hashes))

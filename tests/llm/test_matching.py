@@ -334,6 +334,16 @@ def test_licenses_equal_brute_force(spark):
     assert len(again) == 2 and licenses.scan(frame(spark, [])).collect() == []
 
 
+def test_bands_meet_the_stated_probability_for_templates_of_every_size():
+    for n in range(1, 3000):
+        w = licenses.size_class(n)
+        step, width = licenses.window_shape(w)
+        assert n <= w and width >= n + step - 1  # a template lies inside a window wherever it begins
+        shared = -(-n * 4 // 5)
+        alike = shared / (max(width, shared) + n - shared)
+        assert (1 - alike) ** licenses.BANDS < 1 / 3000
+
+
 def test_slices_of_hundreds_of_templates_equal_brute_force(spark, monkeypatch):
     r = random.Random(9)
     words = ["t%d" % i for i in range(900)]
