@@ -4,9 +4,9 @@ Texts are cut into lower-case words of letters and digits and into shingles of f
 template can collide with none and are left out first, by the same shingle hashes. The others are cut into windows:
 templates are grouped by the power of two ``w`` at or above their number of shingles, and windows of ``5 w / 4`` shingles start
 at every ``w / 4`` (of ``w + 1`` at every shingle for the shortest), so each place where a template may stand lies inside
-a window. A window that holds 0.8 of a template has a Jaccard similarity of 0.29 at least with it; ``BANDS`` bands of one MinHash each miss it with a probability of at most
-0.71 ** 24, less than one in three thousand. What the bands retrieve is verified: the exact share of the template's shingles that
-stand in the window has to be ``LEAST`` or more.
+a window. A window that holds 0.8 of a template has a Jaccard similarity of 0.29 at least with it; ``BANDS`` bands of one
+MinHash each miss it with a probability of at most 0.71 ** 24, less than one in three thousand. What the bands retrieve is
+verified: the exact share of the template's shingles that stand in the window has to be ``LEAST`` or more.
 
 Null or empty texts match nothing. Rows that share an id give one row for each license, with the best containment.
 Templates of under five words are refused.
