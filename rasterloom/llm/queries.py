@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, decontaminate, kneser_ney, licenses, pii, quality, secrets, simhash, suffix_dedup, urls
+from rasterloom.llm import bpe, decontaminate, kneser_ney, licenses, negatives, packing, periodic, pii, quality, secrets, simhash, suffix_dedup, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +55,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perplexity, op2_personal_data, op3_byte_bpe, op4_suffix_dedup, op5_url_filter, op6_simhash, op7_decontamination, op8_licenses, op9_secrets, op10_quality)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return negatives.mine(negatives.candidates(_table(spark, sf_dir, "embeddings"), label=label), F.expr("id % 100 = 0"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perplexity, op2_personal_data, op3_byte_bpe, op4_suffix_dedup, op5_url_filter, op6_simhash, op7_decontamination, op8_licenses, op9_secrets, op10_quality, op11_packing, op12_hard_negatives, op13_periodic_runs)}
 
 #: DuckDB SQL for those that SQL can express.
-ORACLE: dict[str, str] = {"op5_url_filter": urls.oracle()}
+ORACLE: dict[str, str] = {"op5_url_filter": urls.oracle(), "op12_hard_negatives": negatives.ORACLE}
