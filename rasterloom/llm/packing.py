@@ -24,7 +24,8 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ from rasterloom.runtime import staged
 
 WINDOW, END = 4096, 2
 
-#: Words whose ids a worker keeps; all go when there are more.
-MEMO = 300_000
+#: Words, and parts of words, whose ids a worker keeps; all go when there are more.
+MEMO = 500_000
 
 #: Largest tokenizer file that is broadcast.
 MAX_TOKENIZER_BYTES = 64 << 20
@@ -56,6 +57,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Memo(dict):
+    """Results of a function of one argument."""
+
+    def __init__(self, f: Callable[[Any], bytes]) -> None:
+        self.f = f
+
+    def __missing__(self, key: Any) -> bytes:
+        found = self[key] = self.f(key)
+        return found
+
+
 class Words:
     """Packed ids (four bytes each, little-endian) of words without ASCII white space.
 
@@ -82,32 +94,27 @@ class Words:
         said = json.loads(data)
         self.short = all(said.get(k) == v for k, v in self.SHORT.items())
         self.letters = {ord(chr(b)): c for b, c in _byte_letters().items()}
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.split = self.tokenizer.model.tokenize
+        self.packed = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
+        self.known = _Memo(self.word)
+        self.parts = _Memo(self._part)
 
     def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) >= MEMO:
-                self.parts.clear()
-            shown = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(self.letters)
-            found = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
-        return found
+        shown = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.packed[t.id] for t in self.split(shown)])
 
     def word(self, word: bytes) -> bytes:
         text = word.decode()
         low = text.lower()
-        if self.short and max(low) < "ɐ" and max(text) < "ɐ":
-            return self._part(low) if low.isalpha() else b"".join(map(self._part, self.PARTS.findall(low)))
+        if self.short and (text.isascii() or max(low) < "ɐ" and max(text) < "ɐ"):
+            return self.parts[low] if low.isalpha() else b"".join(map(self.parts.__getitem__, self.PARTS.findall(low)))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def text(self, text: str) -> bytes:
-        known, words = self.known, text.encode().split()
-        if len(known) >= MEMO:
-            known.clear()
-        for w in {w for w in words if w not in known}:
-            known[w] = self.word(w)
-        return b"".join(map(known.__getitem__, words))
+        for known in (self.known, self.parts):
+            if len(known) >= MEMO:
+                known.clear()
+        return b"".join(map(self.known.__getitem__, text.encode().split()))
 
 
 _READY: dict[int, Words] = {}
