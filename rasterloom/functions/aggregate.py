@@ -101,6 +101,21 @@ def UDF_BINNED(tiles: pa.Array) -> pa.Array:
     return pa.array(_binned(tiles), _ARROW_BINNED)
 
 
+#: Parts in which the partial histograms of a group meet first.
+FAN = 64
+
+
+@F.arrow_udf(_BINNED)
+def UDF_JOIN_BINNED(lists: pa.Array) -> pa.Array:
+    """One partial histogram of several."""
+    out = []
+    for parts in lists.to_pylist():
+        v, c = merge_bins(np.concatenate([np.asarray(p["values"], float) for p in parts]), np.concatenate([np.asarray(p["counts"], np.int64) for p in parts]))
+        sums = {k: sum(p[k] for p in parts) for k in ("n", "sum", "squares")}
+        out.append({**sums, "min": min(p["min"] for p in parts), "max": max(p["max"] for p in parts), "values": v, "counts": c})
+    return pa.array(out, _ARROW_BINNED)
+
+
 @F.arrow_udf(HISTOGRAM_TYPE)
 def UDF_MERGE_BINNED(lists: pa.Array) -> pa.Array:
     out = []
@@ -146,9 +161,11 @@ def histogram_by(df: DataFrame, keys: list[str], tile: str, result: str = "histo
             rest = pa.array(list(held.values()), _ARROW_BINNED)
             yield pa.RecordBatch.from_arrays([*columns, *rest.flatten()], [*keys, *(f.name for f in _BINNED.fields)])
 
-    folded = df.select(*keys, tile).mapInArrow(fold, partial)
-    parts = F.collect_list(F.struct(*(f.name for f in _BINNED.fields)))
-    return folded.groupBy(*keys).agg(UDF_MERGE_BINNED(parts).alias(result))
+    # partial histograms of a group meet in FAN parts first, so that no row gathers one for each task
+    folded = df.select(*keys, tile).mapInArrow(fold, partial).withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(FAN)))
+    one = F.struct(*(f.name for f in _BINNED.fields))
+    parts = folded.groupBy(*keys, "_part").agg(UDF_JOIN_BINNED(F.collect_list(one)).alias("_one"))
+    return parts.groupBy(*keys).agg(UDF_MERGE_BINNED(F.collect_list("_one")).alias(result))
 
 
 # -- tiles from cells -------------------------------------------------------------------------------------------------

@@ -1,7 +1,10 @@
 """Cell-wise aggregates: tiles of a group are combined cell by cell.
 
-The operators here work in two phases: each task folds its tiles into running matrices, a few for each group, and only
-those are shuffled, once for each task and group. Groups that a task holds are handed on when they exceed ``HELD`` bytes.
+The operators here reduce in a tree. Each task folds its tiles into running sums for each cell, a few matrices for each group, and
+hands them on in blocks of ``BLOCK`` cells, when they exceed ``HELD`` bytes or at its end. States of one block of a group meet in
+``FAN`` parts, dealt by the task that they come from, and each part is summed as it streams in; then the parts of all
+blocks of a group meet, at most ``FAN`` for each cell, and become its tiles. So no task reads more than the states of a block from
+one in ``FAN`` tasks, or ``FAN`` times a tile's state, whatever the number of tiles in a group.
 Tiles of a group must have the same size. Null tiles are skipped; a group of null tiles only gives null.
 
 ``count`` counts data cells, ``min``, ``max``, ``mean`` and ``variance`` ignore NoData; where a cell has none at all, count is zero
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +29,9 @@ from rasterloom.tile import ARROW_TILE, TILE_TYPE, build, groups
 
 HELD = 256 << 20
 
+#: Cells of a block of states, and parts in which the states of a block meet first.
+BLOCK, FAN = 4096, 32
+
 STATS = ("count", "min", "max", "mean", "variance")
 LOCAL_STATS_TYPE = T.StructType([T.StructField(n, TILE_TYPE) for n in STATS])
 
@@ -103,59 +110,105 @@ def _fold(tiles: pa.Array, code: np.ndarray, held: dict[int, Running]) -> None:
                 held[k].add(x[part[a : a + step]], g.cell_type)
 
 
+class Blocks:
+    """Sums of blocks of one group as they stream in: the state of a whole tile, or of one of its blocks."""
+
+    def __init__(self) -> None:
+        self.whole: Running | None = None
+        self.key: list[pa.Array] = []
+
+    def take(self, b: pa.RecordBatch, nk: int, one_block: bool) -> None:
+        """Fold a batch of states: keys, then ``STATE``."""
+        if not self.key and b.num_rows:
+            self.key = [b.column(i).slice(0, 1) for i in range(nk)]
+        cols, rows, kinds, at, values = (b.column(b.schema.get_field_index(n)) for n in ("_cols", "_rows", "_type", "_block", "_values"))
+        for w, h, kind, k, own in zip(cols.to_pylist(), rows.to_pylist(), kinds.to_pylist(), at.to_pylist(), values):
+            if w is None:
+                continue
+            state = np.frombuffer(own.as_buffer(), np.float64).reshape(6, -1)
+            if self.whole is None:
+                self.whole = Running(w, h, parse(kind), np.zeros((6, state.shape[1] if one_block else w * h)))
+                self.whole.values[2], self.whole.values[3] = np.inf, -np.inf
+            self.whole.check(w, h)
+            first = 0 if one_block else k
+            part = Running(w, h, self.whole.cell_type, self.whole.values[:, first : first + state.shape[1]])  # a view
+            part.merge(Running(w, h, parse(kind), state))
+            self.whole.cell_type = part.cell_type
+
+
 def local_agg_by(df: DataFrame, keys: list[str], tile: str, results: dict[str, str]) -> DataFrame:
     """``keys`` and a tile column for each entry of ``results`` (name to one of count, min, max, mean, variance, plain_min, plain_max, data_cells, no_data_cells)."""
+    if not keys:
+        whole = _unused("_all", df)
+        return local_agg_by(df.select(F.lit(1).alias(whole), tile), [whole], tile, results).drop(whole)
     nk = len(keys)
     key_fields = [df.schema[k] for k in keys]
     names = list(results)
-    state = T.StructType([*key_fields, *(T.StructField(x, k) for x, k in (("_cols", T.ShortType()), ("_rows", T.ShortType()), ("_type", T.StringType()), ("_values", T.BinaryType())))])
+    state = T.StructType([*key_fields, *(T.StructField(x, k) for x, k in (("_cols", T.ShortType()), ("_rows", T.ShortType()), ("_type", T.StringType()), ("_block", T.IntegerType()), ("_part", T.IntegerType()), ("_values", T.BinaryType())))])
     out_type = T.StructType([*key_fields, *(T.StructField(n, TILE_TYPE) for n in names)])
+    fields = [f.name for f in state]
+
+    def rows_of(key: list[pa.Array], r: Running | None, first: int, part: int) -> pa.RecordBatch:
+        """Blocks of one group's state, named by their first cells, from ``first`` on; one row without a state if there is none."""
+        cuts = range(0, r.values.shape[1], BLOCK) if r else [0]
+        n = len(cuts)
+        columns = [pa.concat_arrays([k] * n) for k in key]
+        columns += [pa.array([x] * n, kind) for x, kind in ((r and r.cols, pa.int16()), (r and r.rows, pa.int16()), (r and r.cell_type.name, pa.string()))]
+        columns += [pa.array([first + a for a in cuts], pa.int32()), pa.array([part] * n, pa.int32()), pa.array([r and np.ascontiguousarray(r.values[:, a : a + BLOCK]).tobytes() for a in cuts], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, fields)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[tuple, int] = {}
         held: dict[int, Running] = {}
-        schema = None
+        schema, part = None, TaskContext.get().partitionId() % FAN
 
-        def out() -> pa.RecordBatch:
-            own = [held.get(k) for k in range(len(codes))]
-            columns = [pa.array([k[i] for k in codes], schema.field(i).type) for i in range(nk)]
-            columns += [pa.array([r and r.cols for r in own], pa.int16()), pa.array([r and r.rows for r in own], pa.int16()), pa.array([r and r.cell_type.name for r in own], pa.string()), pa.array([r and r.values.tobytes() for r in own], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, [f.name for f in state])
+        def out() -> Iterator[pa.RecordBatch]:
+            for key, k in codes.items():
+                yield rows_of([pa.array([x], schema.field(i).type) for i, x in enumerate(key)], held.get(k), 0, part)
 
         for b in batches:
             schema = schema or b.schema
-            rows = zip(*(b.column(i).to_pylist() for i in range(nk))) if nk else [()] * b.num_rows
-            code = np.fromiter((codes.setdefault(k, len(codes)) for k in rows), np.int64, b.num_rows)
+            code = np.fromiter((codes.setdefault(k, len(codes)) for k in zip(*(b.column(i).to_pylist() for i in range(nk)))), np.int64, b.num_rows)
             _fold(b.column(nk), code, held)
             if sum(r.values.nbytes for r in held.values()) > HELD:
-                yield out()
+                yield from out()
                 codes, held = {}, {}
-        if codes:
-            yield out()
-
-    def total(table: pa.Table) -> pa.Table:
-        merged: Running | None = None
-        for w, h, kind, values in zip(*(table.column(i).to_pylist() for i in range(nk, nk + 4))):
-            if values is not None:
-                one = Running(w, h, parse(kind), np.frombuffer(values, np.float64).reshape(6, -1).copy())
-                if merged is None:
-                    merged = one
-                else:
-                    merged.merge(one)
-        columns = [table.column(i).slice(0, 1) for i in range(nk)]
+        yield from out()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, first, part = Blocks(), 0, 0
+        for b in batches:
+            if b.num_rows:
+                first, part = (b.column(b.schema.get_field_index(n))[0].as_py() for n in ("_block", "_part"))
+            sums.take(b, nk, True)
+        if sums.key:
+            yield rows_of(sums.key, sums.whole, first, part)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Blocks()
+        for b in batches:
+            sums.take(b, nk, False)
+        columns = list(sums.key)
         for n in names:
-            if merged is None:
+            if sums.whole is None:
                 columns.append(pa.array([None], ARROW_TILE))
             else:
-                ct, cells = merged.result(results[n])
-                columns.append(build(1, [(np.array([0]), ct, merged.cols, merged.rows, cells.reshape(1, -1))]))
-        return pa.Table.from_arrays(columns, [*keys, *names])
+                ct, cells = sums.whole.result(results[n])
+                columns.append(build(1, [(np.array([0]), ct, sums.whole.cols, sums.whole.rows, cells.reshape(1, -1))]))
+        if sums.key:
+            yield pa.RecordBatch.from_arrays(columns, [*keys, *names])
 
+    for f in (merged, total):
+        f.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     folded = df.select(*keys, tile).mapInArrow(partial, state)
-    if nk:
-        return folded.groupBy(*keys).applyInArrow(total, out_type)
-    whole = folded.withColumn("_all", F.lit(1)).groupBy("_all")
-    return whole.applyInArrow(lambda t: total(t.drop(["_all"])), out_type)
+    return folded.groupBy(*keys, "_block", "_part").applyInArrow(merged, state).groupBy(*keys).applyInArrow(total, out_type)
+
+
+def _unused(name: str, df: DataFrame) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def local_agg_stats_by(df: DataFrame, keys: list[str], tile: str, result: str = "localAggStats") -> DataFrame:

@@ -190,7 +190,7 @@ _ARROW_STATS = pa.struct([("dataCells", pa.int64()), ("min", pa.float64()), ("ma
 
 def merge_bins(values: np.ndarray, counts: np.ndarray, limit: int = BINS) -> tuple[np.ndarray, np.ndarray]:
     """At most ``limit`` bins: equal values are one bin, then the closest neighbours are merged to their weighted mean, the fewest cells first among equal gaps."""
-    values, inverse = np.unique(values, return_inverse=True)
+    values, inverse = np.unique(np.asarray(values) + 0.0, return_inverse=True)  # no negative zero
     counts = np.bincount(inverse.ravel(), counts, len(values)).astype(np.int64)
     while len(values) > limit:
         # merge as many of the narrowest disjoint gaps as are too many, a round at a time

@@ -464,11 +464,50 @@ def polygon_of_box(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Co
 
 _BOX_TYPE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("minX", "maxX", "minY", "maxY")])
 
+#: Kinds of geometry that need no parsing: a point, and a polygon that is a rectangle along the axes; of little-endian WKB.
+_POINT, _RECTANGLE, _OTHER = 0, 1, 2
+
+
+def _records(wkb: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the values of so many bytes, and their bytes as a matrix."""
+    wide = pa.types.is_large_binary(wkb.type)
+    offsets = np.frombuffer(wkb.buffers()[1], np.int64 if wide else np.int32)[wkb.offset : wkb.offset + len(wkb) + 1].astype(np.int64)
+    at = np.flatnonzero((np.diff(offsets) == size) & wkb.is_valid().to_numpy(zero_copy_only=False))
+    if not len(at):
+        return at, np.empty((0, size), np.uint8)
+    return at, np.frombuffer(wkb.buffers()[2], np.uint8)[offsets[at][:, None] + np.arange(size)]
+
+
+def _shapes(wkb: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Kind of each geometry, and the box (minX, maxX, minY, maxY) of those that are no others; NaN else."""
+    kind, box = np.full(len(wkb), _OTHER), np.full((len(wkb), 4), np.nan)
+    at, raw = _records(wkb, 21)
+    own = (raw[:, :5] == np.frombuffer(struct.pack("<BI", 1, 1), np.uint8)).all(axis=1)
+    xy = np.ascontiguousarray(raw[:, 5:]).view("<f8").reshape(-1, 2)
+    own &= np.isfinite(xy).all(axis=1)
+    kind[at[own]], box[at[own]] = _POINT, xy[own][:, [0, 0, 1, 1]]
+    at, raw = _records(wkb, 93)
+    own = (raw[:, :13] == np.frombuffer(struct.pack("<BIII", 1, 3, 1, 5), np.uint8)).all(axis=1)
+    x, y = np.moveaxis(np.ascontiguousarray(raw[:, 13:]).view("<f8").reshape(-1, 5, 2), 2, 0)
+    flat = (x[:, 0] == x[:, 1]) & (y[:, 1] == y[:, 2]) & (x[:, 2] == x[:, 3]) & (y[:, 3] == y[:, 0])
+    steep = (y[:, 0] == y[:, 1]) & (x[:, 1] == x[:, 2]) & (y[:, 2] == y[:, 3]) & (x[:, 3] == x[:, 0])
+    own &= (flat | steep) & (x[:, 0] == x[:, 4]) & (y[:, 0] == y[:, 4]) & (x[:, 0] != x[:, 2]) & (y[:, 0] != y[:, 2])
+    own &= np.isfinite(x).all(axis=1) & np.isfinite(y).all(axis=1)
+    kind[at[own]] = _RECTANGLE
+    box[at[own]] = np.column_stack([x.min(axis=1), x.max(axis=1), y.min(axis=1), y.max(axis=1)])[own]
+    return kind, box
+
 
 @F.arrow_udf(_BOX_TYPE)
 def UDF_BOX(g: pa.Array) -> pa.Array:
-    rows = [None if x is None else dict(zip(("minX", "maxX", "minY", "maxY"), from_wkb(x).box())) for x in g.to_pylist()]
-    return pa.array(rows, pa.struct([(n, pa.float64()) for n in ("minX", "maxX", "minY", "maxY")]))
+    """Box of each geometry; null for null and empty ones, and for coordinates that are no numbers."""
+    kind, box = _shapes(g)
+    for i in np.flatnonzero((kind == _OTHER) & g.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        one = from_wkb(g[i].as_py())
+        if one.dimension >= 0:
+            box[i] = one.box()
+    missing = np.isnan(box).any(axis=1)
+    return pa.StructArray.from_arrays([pa.array(box[:, k].copy()) for k in range(4)], ["minX", "maxX", "minY", "maxY"], mask=pa.array(missing))
 
 
 def box2d(g: Column | str) -> Column:
@@ -476,19 +515,52 @@ def box2d(g: Column | str) -> Column:
     return UDF_BOX(_col(g)).alias(f"box2d({name})")
 
 
+def _of_point(name: str, a: Geometry, b: Geometry) -> bool:
+    """A predicate of which one side is a single point: where the point is says it all."""
+    p, g = (b, a) if b.kind == "Point" and b.points else (a, b)
+    asked = {"contains": "within", "covers": "coveredBy", "within": "contains"}.get(name, name) if p is a else name
+    if asked not in ("intersects", "disjoint", "contains", "covers", "touches"):
+        return PREDICATES[name](a, b)
+    where = locate(p.points[0], g)
+    return {"intersects": where != EXTERIOR, "covers": where != EXTERIOR, "disjoint": where == EXTERIOR, "contains": where == INTERIOR, "touches": where == BOUNDARY}[asked]
+
+
+def _simple(name: str, a: np.ndarray, b: np.ndarray, flat_a: np.ndarray, flat_b: np.ndarray) -> np.ndarray:
+    """A predicate of points and rectangles, given by their boxes; ``flat``: a point."""
+    low, high = np.maximum(a[:, [0, 2]], b[:, [0, 2]]), np.minimum(a[:, [1, 3]], b[:, [1, 3]])
+    meet = (low <= high).all(axis=1)
+    strictly = lambda p, q: ((q[:, [0, 2]] < p[:, [0, 2]]) & (p[:, [1, 3]] < q[:, [1, 3]])).all(axis=1)  # noqa: E731  a point inside a rectangle
+    inside = np.where(flat_a & flat_b, meet, np.where(flat_a, strictly(a, b), np.where(flat_b, strictly(b, a), (low < high).all(axis=1))))
+    covered = lambda p, q: ((p[:, [0, 2]] <= q[:, [0, 2]]) & (q[:, [1, 3]] <= p[:, [1, 3]])).all(axis=1)  # noqa: E731  q by p
+    return {
+        "intersects": lambda: meet,
+        "disjoint": lambda: ~meet,
+        "covers": lambda: covered(a, b),
+        "contains": lambda: covered(a, b) & inside,
+        "within": lambda: covered(b, a) & inside,
+        "touches": lambda: meet & ~inside,
+        "crosses": lambda: np.zeros(len(a), bool),
+        "overlaps": lambda: inside & ~covered(a, b) & ~covered(b, a),
+    }[name]()
+
+
 def _predicate_udf(f):
+    """Points and rectangles, as the bounds of layers are, are compared as arrays; other pairs one by one."""
+
     @F.arrow_udf(T.BooleanType())
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        (kind_a, box_a), (kind_b, box_b) = _shapes(a), _shapes(b)
+        easy = (kind_a != _OTHER) & (kind_b != _OTHER)
+        out = np.zeros(len(a), bool)
+        out[easy] = _simple(f.__name__, box_a[easy], box_b[easy], kind_a[easy] == _POINT, kind_b[easy] == _POINT)
+        there = a.is_valid().to_numpy(zero_copy_only=False) & b.is_valid().to_numpy(zero_copy_only=False)
         known: dict[tuple[bytes, bytes], bool] = {}  # few pairs are many rows where keys repeat
-        out: list[bool | None] = []
-        for pair in zip(a.to_pylist(), b.to_pylist()):
-            if None in pair:
-                out.append(None)
-                continue
+        for i in np.flatnonzero(there & ~easy).tolist():
+            pair = a[i].as_py(), b[i].as_py()
             if pair not in known:
-                known[pair] = f(from_wkb(pair[0]), from_wkb(pair[1]))
-            out.append(known[pair])
-        return pa.array(out, pa.bool_())
+                known[pair] = _of_point(f.__name__, *map(from_wkb, pair)) if _POINT in (kind_a[i], kind_b[i]) else f(*map(from_wkb, pair))
+            out[i] = known[pair]
+        return pa.array(out, pa.bool_(), mask=~there)
 
     return run
 

@@ -13,21 +13,28 @@ from pyspark.sql import functions as F
 
 from rasterloom.geometry import Geometry, _predicate_udf, contains, covers, geom_lit, intersects, polygon_of_box
 from rasterloom.operators import layer
+from rasterloom.operators.metadata import LayerMetadata
 
 
 #: Exact predicates that stay where they are: below an aggregate by key they would be asked once for each row in place of each key.
 _STAYING = {f.__name__: _predicate_udf(f).asNondeterministic() for f in (intersects, contains, covers)}
 
 
-def key_range(df: DataFrame, g: Geometry) -> Column:
-    """Comparisons that hold for all keys whose extents meet the geometry's box, borders included."""
-    md, key = layer.tile_layer_metadata(df), F.col(layer.spatial_key_column(df))
+def key_limits(md: LayerMetadata, g: Geometry) -> tuple[tuple[int, int], tuple[int, int]]:
+    """First and last column, first and last row, of keys whose extents meet the geometry's box, borders included."""
     xmin, xmax, ymin, ymax = g.box()
     e, w, h = md.layout.extent, md.layout.tile_width, md.layout.tile_height
     slack = 1e-9
     c0, c1 = (xmin - e.xmin) / w - 1 - slack, (xmax - e.xmin) / w + slack
     r0, r1 = (e.ymax - ymax) / h - 1 - slack, (e.ymax - ymin) / h + slack
-    return key["col"].between(math.ceil(c0), math.floor(c1)) & key["row"].between(math.ceil(r0), math.floor(r1))
+    return (math.ceil(c0), math.floor(c1)), (math.ceil(r0), math.floor(r1))
+
+
+def key_range(df: DataFrame, g: Geometry) -> Column:
+    """Comparisons that hold for all keys whose extents meet the geometry's box."""
+    cols, rows = key_limits(layer.tile_layer_metadata(df), g)
+    key = F.col(layer.spatial_key_column(df))
+    return key["col"].between(*cols) & key["row"].between(*rows)
 
 
 def _bounds(df: DataFrame) -> Column:

@@ -26,6 +26,7 @@ from rasterloom.ml import NoDataFilter, TileExploder
 from rasterloom.operators import layer as Y
 from rasterloom.operators.metadata import Extent, KeyBounds, LayerMetadata, Layout, TileLayout
 from rasterloom.operators.raster import to_raster, with_tile_subdivisions
+from rasterloom.operators.spatial import geometry_join
 from rasterloom.plans.pruning import join_points, where_contains, where_covers, where_intersects
 from rasterloom.runtime import shared_folder
 from rasterloom.sources import layers
@@ -291,6 +292,13 @@ def local_agg_stats(spark, sf_dir):
     return out.select("label", "column_index", "row_index", "n", *[tidy(c) for c in ("lo", "hi", "mean", "variance")])
 
 
+@query(f"with {CELLS} select (i % 8)::int as column_index, (i // 8)::int as row_index, count(x)::double as n, round(avg(x::double), 6) as mean from cells group by i")
+def local_agg_of_all(spark, sf_dir):
+    """One group of all tiles."""
+    made = L.local_agg_by(tiles(spark, sf_dir), [], "tile", {"n": "count", "mean": "mean"})
+    return explode_tiles(made, "n", "mean").withColumn("mean", F.when(~F.isnan("mean"), r6(F.col("mean"))))
+
+
 def _local_agg(kind: str):
     def run(spark, sf_dir):
         return cells_of(L.local_agg_by(tiles(spark, sf_dir), ["label"], "tile", {"t": kind}), "t", "label")
@@ -443,6 +451,53 @@ def statistics_by_hour(spark, sf_dir):
     return s.select("row", F.col("s.dataCells").alias("n"), F.round("s.mean", 4).alias("mean"))
 
 
+# -- joins of geometries ---------------------------------------------------------------------------------------------------------------
+
+#: Rectangles of customers and of suppliers, diamonds around suppliers, points of parts, on a plane of 1,000 by 1,000.
+PLANE = """a as (select c_custkey, c_custkey * 37 % 1000 as x0, c_custkey * 91 % 1000 as y0, c_custkey * 37 % 1000 + 1 + c_nationkey as x1, c_custkey * 91 % 1000 + 1 + c_custkey % 10 as y1 from customer),
+b as (select s_suppkey, s_suppkey * 53 % 1000 as x0, s_suppkey * 29 % 1000 as y0, s_suppkey * 53 % 1000 + 5 + s_nationkey as x1, s_suppkey * 29 % 1000 + 10 as y1, 5 + s_nationkey as r from supplier),
+p as (select p_partkey, p_partkey * 17 % 1000 as x, p_partkey * 23 % 1000 as y from part)"""
+
+
+def _rectangles(spark: SparkSession, sf_dir: str, name: str, key: str, x: int, y: int, width: Column, height: Column) -> DataFrame:
+    x0, y0 = (F.col(key) * x % 1000).cast("double"), (F.col(key) * y % 1000).cast("double")
+    return table(spark, sf_dir, name).select(key, geometry.polygon_of_box(x0, y0, x0 + width, y0 + height).alias(f"{key}_shape"))
+
+
+def _customer_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rectangles(spark, sf_dir, "customer", "c_custkey", 37, 91, F.col("c_nationkey") + 1, F.col("c_custkey") % 10 + 1)
+
+
+def _supplier_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rectangles(spark, sf_dir, "supplier", "s_suppkey", 53, 29, F.col("s_nationkey") + 5, F.lit(10))
+
+
+@query(f"with {PLANE} select c_custkey, s_suppkey from a join b on a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1")
+def geometry_join_intersects(spark, sf_dir):
+    return geometry_join(_customer_rectangles(spark, sf_dir), _supplier_rectangles(spark, sf_dir), "c_custkey_shape", "s_suppkey_shape").select("c_custkey", "s_suppkey")
+
+
+@query(f"with {PLANE} select c_custkey, s_suppkey from a join b on a.x0 >= b.x0 and a.x1 <= b.x1 and a.y0 >= b.y0 and a.y1 <= b.y1")
+def geometry_join_within(spark, sf_dir):
+    return geometry_join(_customer_rectangles(spark, sf_dir), _supplier_rectangles(spark, sf_dir), "c_custkey_shape", "s_suppkey_shape", "within").select("c_custkey", "s_suppkey")
+
+
+@query(f"with {PLANE} select s_suppkey, p_partkey from b join p on abs(b.x0 - p.x) + abs(b.y0 - p.y) < b.r")
+def geometry_join_contains(spark, sf_dir):
+    """Points of parts inside diamonds around suppliers."""
+    x, y, r = F.col("s_suppkey") * 53 % 1000, F.col("s_suppkey") * 29 % 1000, F.col("s_nationkey") + 5
+    diamond = geometry.st_geom_from_wkt(F.format_string("POLYGON ((%d %d, %d %d, %d %d, %d %d, %d %d))", x - r, y, x, y + r, x + r, y, x, y - r, x - r, y))
+    points = table(spark, sf_dir, "part").select("p_partkey", geometry.st_point(F.col("p_partkey") * 17 % 1000, F.col("p_partkey") * 23 % 1000).alias("at"))
+    return geometry_join(table(spark, sf_dir, "supplier").select("s_suppkey", diamond.alias("diamond")), points, "diamond", "at", "contains").select("s_suppkey", "p_partkey")
+
+
+@query(f"with {GRIDS}, k as (select distinct col, \"row\", col * 10 as x0, 40 - \"row\" * 10 as y0, col * 10 + 10 as x1, 50 - \"row\" * 10 as y1 from cust), p as (select p_partkey, (p_partkey % 51)::double as x, (p_partkey * 7 % 51)::double as y from part) select col, \"row\", p_partkey from k join p on x > x0 and x < x1 and y > y0 and y < y1")
+def geometry_join_layer(spark, sf_dir):
+    """Tiles of a layer by the points inside their bounds."""
+    points = table(spark, sf_dir, "part").select("p_partkey", geometry.st_point(F.col("p_partkey") % 51, F.col("p_partkey") * 7 % 51).alias("at"))
+    return geometry_join(Y.with_bounds(customers(spark, sf_dir)), points, "bounds", "at", "contains").select("spatial_key.*", "p_partkey")
+
+
 # -- joins ---------------------------------------------------------------------------------------------------------------------------
 
 
@@ -517,12 +572,36 @@ def layer_files(spark, sf_dir):
     return df.select("spatial_key.*", S.data_cells("tile").alias("n"), F.round(S.tile_sum("tile"), 2).alias("v"))
 
 
-@query("select 'customers' as name, 3 as zoom, 'float64' as kind")
+@query(f"with {GRIDS} select col, \"row\", pos % 4 as column_index, pos // 4 as row_index, round(v, 6) as v from cust where col * 10 <= 30 and col * 10 + 10 >= 12 and 40 - \"row\" * 10 <= 30 and 50 - \"row\" * 10 >= 8")
+def layer_files_where(spark, sf_dir):
+    """A layer file read by a geometry: intervals of the index reach the scan."""
+    at = layers.Layer(shared_folder(spark, "layers"), "customers", 0)
+    layers.write_layer(customers(spark, sf_dir), at)
+    cells = cells_of(layers.read_layer(spark, at, where=AREA, bounds=False).select("spatial_key.*", "tile"), "tile", "col", "row")
+    return cells.where("v is not null")
+
+
+@query(f"with {EVENTS} select col, \"row\", instant, count(v) as n, round(sum(v), 4) as v from ev where col between 2 and 4 and \"row\" between 3 and 9 and instant between 1704240000000 and 1705536000000 group by all")
+def layer_files_space_time(spark, sf_dir):
+    """A space-time layer file read by a geometry and two times; its index has the day in it."""
+    at = layers.Layer(shared_folder(spark, "layers"), "days", 0)
+    layers.write_layer(days(spark, sf_dir).drop("timestamp"), at)
+    area = geometry.box(2.5, 14.5, 4.5, 20.5)
+    df = layers.read_layer(spark, at, where=area, between=(dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 18)), bounds=False)
+    return df.select("spatial_key.*", "temporal_key.instant", S.data_cells("tile").alias("n"), F.round(S.tile_sum("tile"), 4).alias("v"))
+
+
+@query(f"""with {GRIDS} select 'customers' as name, 3 as zoom, 'float64' as kind, min(col) as first_col, max(col) as last_col, min("row") as first_row, max("row") as last_row from cust
+union all select 'suppliers', 5, 'float64', min(col), max(col), min("row"), max("row") from supp""")
 def layer_catalog(spark, sf_dir):
+    """Two layers, with the bounds of the keys that they have."""
     base = shared_folder(spark, "catalog")
-    layers.write_layer(customers(spark, sf_dir), layers.Layer(base, "customers", 3))
+    for df, name, zoom in ((customers(spark, sf_dir), "customers", 3), (suppliers(spark, sf_dir), "suppliers", 5)):
+        layers.write_layer(Y.clip_layer_extent(df), layers.Layer(base, name, zoom))
+    at = lambda path: F.get_json_object("metadata", path)
     c = layers.read_catalog(spark, base)
-    return c.select(F.col("layer.id.name").alias("name"), F.col("layer.id.zoom").alias("zoom"), F.get_json_object("metadata", "$.cellType").alias("kind"))
+    bounds = [at(f"$.bounds.{side}Key.{axis}").cast("int").alias(f"{end}_{axis}") for axis in ("col", "row") for side, end in (("min", "first"), ("max", "last"))]
+    return c.select(F.col("layer.id.name").alias("name"), F.col("layer.id.zoom").alias("zoom"), at("$.cellType").alias("kind"), *bounds)
 
 
 @query(f"with {GRIDS} select (c.col * 4 + pos % 4)::int as x, (c.row * 4 + pos // 4)::int as y, round(v, 6) as v from cust c")
