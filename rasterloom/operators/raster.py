@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from rasterloom.celltype import CellType, union
 from rasterloom.celltype import parse as parse_cell_type
+from rasterloom.functions import mosaic
 from rasterloom.operators import layer
-from rasterloom.operators.metadata import Extent
+from rasterloom.operators.metadata import Extent, Layout
 from rasterloom.operators.resampling import BILINEAR, NEAREST, resample, sample  # noqa: F401
 from rasterloom.tile import TILE_TYPE, Group, Tile, build, groups
 
@@ -27,60 +28,76 @@ class Raster:
     crs: str
 
 
+@dataclass(frozen=True)
+class Window:
+    """Where a tile lies in a raster: first column and row, columns, rows."""
+
+    col: int
+    row: int
+    cols: int
+    rows: int
+
+
+def resampled(b: pa.RecordBatch, bands: int, layout: Layout, extent: Extent, cols: int, rows: int, method: str) -> Iterator[tuple[int, Window, list[tuple[CellType, np.ndarray] | None]]]:
+    """Row number, window in a raster of ``cols`` by ``rows`` over ``extent``, and cells of each band (doubles, with their type) there.
+
+    The batch has the spatial key and the tile columns; rows whose tiles cover no cell's middle are left out.
+    """
+    sx, sy = extent.width / cols, extent.height / rows
+    found: dict[int, tuple[Window, Extent]] = {}
+    for i, k in enumerate(b.column(0).to_pylist()):
+        e = layout.key_extent(k["col"], k["row"])
+        c0, c1 = max(0, int(np.ceil((e.xmin - extent.xmin) / sx - 0.5 - 1e-9))), min(cols, int(np.ceil((e.xmax - extent.xmin) / sx - 0.5 - 1e-9)))
+        r0, r1 = max(0, int(np.ceil((extent.ymax - e.ymax) / sy - 0.5 - 1e-9))), min(rows, int(np.ceil((extent.ymax - e.ymin) / sy - 0.5 - 1e-9)))
+        if c0 < c1 and r0 < r1:
+            found[i] = Window(c0, r0, c1 - c0, r1 - r0), e
+    values: dict[int, list] = {i: [None] * bands for i in found}
+    for n in range(bands):
+        for g in groups(b.column(n + 1)):
+            for i, x in zip(g.at.tolist(), g.doubles()):
+                if i in found:
+                    at, e = found[i]
+                    px = (extent.xmin + (at.col + np.arange(at.cols) + 0.5) * sx - e.xmin) / e.width * g.cols
+                    py = (e.ymax - (extent.ymax - (at.row + np.arange(at.rows) + 0.5) * sy)) / e.height * g.rows
+                    v = sample(x.reshape(g.rows, g.cols), *np.meshgrid(np.clip(px + 1e-9, 0, g.cols - 1e-9), np.clip(py + 1e-9, 0, g.rows - 1e-9)), method)
+                    values[i][n] = g.cell_type, v
+    for i, (at, _) in found.items():
+        yield i, at, values[i]
+
+
 def to_multiband_raster(df: DataFrame, tiles: list[str], cols: int, rows: int, method: str = NEAREST) -> Raster:
     """One raster of the layer's clipped extent.
 
     Each task resamples its tiles to the windows that they cover in the result, so only the result's cells reach the driver. Of
-    tiles for the same place (temporal layers) any one stays.
+    tiles for the same place (temporal layers) each cell is the latest one's with data, of equal times the greatest value.
     """
     df = layer.clip_layer_extent(layer.as_rf(df))
-    md, key = layer.tile_layer_metadata(df), layer.spatial_key_column(df)
-    extent, layout = md.extent, md.layout
-    sx, sy = extent.width / cols, extent.height / rows
-    types = [f"_t{k}" for k in range(len(tiles))]
-    schema = T.StructType([T.StructField(n, T.IntegerType()) for n in ("_c", "_r", "_w", "_h")] + [T.StructField(n, T.StringType()) for n in types] + [T.StructField(f"_v{k}", T.BinaryType()) for k in range(len(tiles))])
+    md, key, time = layer.tile_layer_metadata(df), layer.spatial_key_column(df), layer.temporal_key_column(df)
+    extent, layout, n = md.extent, md.layout, len(tiles)
+    names = ["_c", "_r", "_w", "_h", "_i", *(f"_t{k}" for k in range(n)), *(f"_v{k}" for k in range(n))]
+    schema = T.StructType([T.StructField(x, T.LongType() if x == "_i" else T.StringType() if x[1] == "t" else T.BinaryType() if x[1] == "v" else T.IntegerType()) for x in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column(0).to_pylist()
-            values: list[dict[int, tuple[str, bytes]]] = [{} for _ in tiles]
-            windows = {}
-            for i, k in enumerate(keys):
-                e = layout.key_extent(k["col"], k["row"])
-                c0, c1 = max(0, int(np.ceil((e.xmin - extent.xmin) / sx - 0.5 - 1e-9))), min(cols, int(np.ceil((e.xmax - extent.xmin) / sx - 0.5 - 1e-9)))
-                r0, r1 = max(0, int(np.ceil((extent.ymax - e.ymax) / sy - 0.5 - 1e-9))), min(rows, int(np.ceil((extent.ymax - e.ymin) / sy - 0.5 - 1e-9)))
-                if c0 < c1 and r0 < r1:
-                    windows[i] = (c0, r0, c1 - c0, r1 - r0, e)
-            for n in range(len(tiles)):
-                for g in groups(b.column(n + 1)):
-                    for i, x in zip(g.at.tolist(), g.doubles()):
-                        if i in windows:
-                            c0, r0, w, h, e = windows[i]
-                            px = (extent.xmin + (c0 + np.arange(w) + 0.5) * sx - e.xmin) / e.width * g.cols
-                            py = (e.ymax - (extent.ymax - (r0 + np.arange(h) + 0.5) * sy)) / e.height * g.rows
-                            v = sample(x.reshape(g.rows, g.cols), *np.meshgrid(np.clip(px + 1e-9, 0, g.cols - 1e-9), np.clip(py + 1e-9, 0, g.rows - 1e-9)), method)
-                            values[n][i] = (g.cell_type.name, g.cell_type.from_doubles(v).astype(g.cell_type.stored).tobytes())
-            rows_at = sorted(windows)
-            columns = [pa.array([windows[i][k] for i in rows_at], pa.int32()) for k in range(4)]
-            columns += [pa.array([values[n].get(i, (None, None))[0] for i in rows_at], pa.string()) for n in range(len(tiles))]
-            columns += [pa.array([values[n].get(i, (None, None))[1] for i in rows_at], pa.binary()) for n in range(len(tiles))]
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    found = df.select(F.col(key).alias("_key"), *tiles).mapInArrow(run, schema).toLocalIterator(prefetchPartitions=True)
-    out: list[np.ndarray] = [np.full((rows, cols), np.nan) for _ in tiles]
-    kinds: list[CellType | None] = [None] * len(tiles)
+            out = []
+            for i, at, own in resampled(b, n, layout, extent, cols, rows, method):
+                packed = [(None, None) if v is None else (v[0].name, v[0].from_doubles(v[1]).astype(v[0].stored).tobytes()) for v in own]
+                out.append((at.col, at.row, at.cols, at.rows, b.column(n + 1)[i].as_py(), *(p[0] for p in packed), *(p[1] for p in packed)))
+            kinds = [pa.int64() if x == "_i" else pa.string() if x[1] == "t" else pa.binary() if x[1] == "v" else pa.int32() for x in names]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+
+    instant = F.col(time)["instant"] if time else F.lit(mosaic.NO_TIME)
+    found = df.select(F.col(key).alias("_key"), *tiles, F.coalesce(instant, F.lit(mosaic.NO_TIME)).alias("_instant")).mapInArrow(run, schema).toLocalIterator(prefetchPartitions=True)
+    out = mosaic.Mosaic(n, cols, rows)
+    kinds: list[CellType | None] = [None] * n
     for row in found:
-        c, r, w, h = row["_c"], row["_r"], row["_w"], row["_h"]
-        for n in range(len(tiles)):
-            if row[f"_t{n}"] is not None:
-                ct = parse_cell_type(row[f"_t{n}"])
-                kinds[n] = ct if kinds[n] is None else union(kinds[n], ct)
-                part = ct.doubles(np.frombuffer(row[f"_v{n}"], ct.stored).astype(ct.native).reshape(h, w))
-                window = out[n][r : r + h, c : c + w]
-                np.copyto(window, part, where=~np.isnan(part))
+        for k in range(n):
+            if row[f"_t{k}"] is not None:
+                ct = parse_cell_type(row[f"_t{k}"])
+                kinds[k] = ct if kinds[k] is None else union(kinds[k], ct)
+                out.add(k, row["_c"], row["_r"], ct.doubles(np.frombuffer(row[f"_v{k}"], ct.stored).astype(ct.native).reshape(row["_h"], row["_w"])), row["_i"])
     own = parse_cell_type(md.cell_type)
-    kinds = [k or own for k in kinds]
-    return Raster([Tile(k, k.from_doubles(v)) for k, v in zip(kinds, out)], extent, md.crs)
+    return Raster([Tile(k or own, (k or own).from_doubles(v)) for k, v in zip(kinds, out.values)], extent, md.crs)
 
 
 def to_raster(df: DataFrame, tile: str, cols: int, rows: int, method: str = NEAREST) -> Raster:

@@ -7,7 +7,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import os
 from collections.abc import Callable
 
 import numpy as np
@@ -31,7 +30,6 @@ from rasterloom.plans.pruning import join_points, where_contains, where_covers,
 from rasterloom.runtime import shared_folder
 from rasterloom.sources import layers
 from rasterloom.sources.geotiff import read_files, read_geotiff, write_geotiff
-from rasterloom.sources.tiff import local_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -778,12 +776,6 @@ def sql_geometry(spark, sf_dir):
 # -- image files ---------------------------------------------------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    path = local_path(shared_folder(spark, name))
-    os.makedirs(path, exist_ok=True)
-    return path
-
-
 def _pixels(df: DataFrame, *keep: str) -> DataFrame:
     """Cells with data of a read image, by their place in it."""
     c = explode_tiles(df.select(*keep, "spatial_key", "tile"), "tile").where(~F.isnan("tile"))
@@ -792,14 +784,22 @@ def _pixels(df: DataFrame, *keep: str) -> DataFrame:
 
 @query(f"with {GRIDS} select (c.col * 4 + pos % 4)::int as x, (c.row * 4 + pos // 4)::int as y, round(v, 6) as v from cust c")
 def geotiff_write_and_read(spark, sf_dir):
-    path = f"{_folder(spark, 'geotiff')}/customers.tif"
+    path = f"{shared_folder(spark, 'geotiff')}/customers.tif"
     write_geotiff(customers(spark, sf_dir), path)
     return _pixels(read_geotiff(spark, path))
 
 
+@query(f"with {GRIDS} select (c.col * 4 + pos % 4)::int as x, (c.row * 4 + pos // 4)::int as y, round(v, 6) as v from supp c")
+def geotiff_strips(spark, sf_dir):
+    """A striped file, read through its URI."""
+    path = f"{shared_folder(spark, 'geotiff')}/suppliers.tif"
+    write_geotiff(suppliers(spark, sf_dir), path, strips=True)
+    return _pixels(read_geotiff(spark, path))
+
+
 @query(f"with {GRIDS}, every as (select 'customers' as name, * from cust union all select 'suppliers', * from supp) select name, count(v) as n, round(sum(v), 2) as v, 'float64' as kind from every group by name")
 def geotiff_files(spark, sf_dir):
-    folder = _folder(spark, "geotiffs")
+    folder = shared_folder(spark, "geotiffs")
     write_geotiff(customers(spark, sf_dir), f"{folder}/customers.tif")
     write_geotiff(suppliers(spark, sf_dir), f"{folder}/suppliers.tif")
     f = read_files(spark, f"{folder}/*.tif").withColumn("name", F.regexp_extract("path", r"(\w+)\.tif$", 1))
@@ -837,7 +837,7 @@ def _address(path: Column, suffix: str) -> list[Column]:
 
 @query(f"with {_WORLD} select z::int as z, x::int as x, y::int as y, 65536 as n, round(v, 6) as mean from levels where z = 2")
 def slippy_geotiffs(spark, sf_dir):
-    folder = _folder(spark, "slippy-geotiffs")
+    folder = shared_folder(spark, "slippy-geotiffs")
     slippy.export_geotiff(_world(spark, sf_dir), folder, 2)
     s = read_files(spark, f"{folder}/*/*/*.tiff").select(*_address(F.col("path"), "tiff"), "tile").groupBy("z", "x", "y").agg(A.agg_stats("tile").alias("s"))
     return s.select("z", "x", "y", F.col("s.dataCells").cast("int").alias("n"), r6(F.col("s.mean")).alias("mean"))
@@ -845,7 +845,7 @@ def slippy_geotiffs(spark, sf_dir):
 
 @query(f"with {_WORLD} select z::int as z, x::int as x, y::int as y, 256 as n_rows, 256 as n_cols, 16711680::bigint as alpha from levels")
 def slippy_pngs(spark, sf_dir):
-    folder = _folder(spark, "slippy-pngs")
+    folder = shared_folder(spark, "slippy-pngs")
     slippy.export_png(_world(spark, sf_dir), folder, 2)
 
     def shapes(batches):

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import ArrowUDFType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from rasterloom import celltype, geometry
 from rasterloom.functions import aggregate, local_aggregate, payload, scalar
@@ -81,8 +83,6 @@ def _grouped(kernel, kind: T.DataType):
 
     run.__annotations__ = {"tiles": pa.Array, "return": object}
 
-    from pyspark.sql.pandas.functions import ArrowUDFType
-
     return F.arrow_udf(run, kind, ArrowUDFType.GROUPED_AGG)
 
 
@@ -143,8 +143,6 @@ def _assembled():
         out[y[order], x[order]] = value[order]
         return dict(zip(("cellType", "cols", "rows", "data"), Tile(ct, ct.from_doubles(out)).row()))
 
-    from pyspark.sql.pandas.functions import ArrowUDFType
-
     run.__annotations__ = {**{n: pa.Array for n in ("c", "r", "v", "cols", "rows", "kind")}, "return": object}
     return F.arrow_udf(run, TILE_TYPE, ArrowUDFType.GROUPED_AGG)
 
@@ -180,31 +178,65 @@ def register_functions(spark: SparkSession) -> None:
         spark.sql(f"create or replace temporary function {name}({args.format(t=tile)}) returns {kind} return {body}")
     types = ", ".join(f"'{n}'" for n in celltype.names())
     spark.sql(f"create or replace temporary function rf_cellTypes() returns array<string> return array({types})")
-    spark.udtf.register("rf_explodeTiles", _exploder(1))
-    spark.udtf.register("rf_explodeTiles2", _exploder(2))
-    spark.udtf.register("rf_explodeTiles3", _exploder(3))
+    u("rf_tileCells", F.arrow_udf(_tile_cells, T.ArrayType(_CELLS_TYPE), ArrowUDFType.SCALAR))
+    for name in ("rf_explodeTiles", "rf_explodeTiles2", "rf_explodeTiles3"):  # the last two for texts that have them
+        spark.udtf.register(name, F.udtf(ExplodeTiles))
+
 
+_CELLS_TYPE = T.StructType([T.StructField("column_index", T.IntegerType()), T.StructField("row_index", T.IntegerType()), T.StructField("cells", T.ArrayType(T.DoubleType()))])
 
-def _exploder(n: int):
-    """A table function over n tiles: ``select ... from t, lateral rf_explodeTiles(tile)``."""
+
+def _tile_cells(*tiles: pa.Array) -> pa.Array:
+    """Cells of each row's tiles as an array of structs: index of column and row, and one double for each tile (NaN: NoData or no tile).
+
+    Rows without any tile give null. Built from whole matrices; ``explode(rf_tileCells(a, b))`` does the rest without Python.
+    """
     import numpy as np
 
-    names = ["cell"] if n == 1 else [f"cell_{k}" for k in range(n)]
-
-    class Explode:
-        def eval(self, *tiles) -> Iterator[tuple]:
-            read = [None if t is None else Tile.from_row(t).doubles() for t in tiles]
-            some = [t for t in read if t is not None]
-            if not some:
-                return
-            if len({t.shape for t in some}) > 1:
-                raise ValueError("tiles of a row have different sizes")
-            rows, cols = some[0].shape
-            flat = [np.full(rows * cols, np.nan).tolist() if t is None else t.ravel().tolist() for t in read]
-            for i, cells in enumerate(zip(*flat)):
-                yield (i % cols, i // cols, *cells)
-
-    return F.udtf(Explode, returnType="column_index int, row_index int, " + ", ".join(f"{x} double" for x in names))
+    from rasterloom.tile import groups
+
+    n, count = len(tiles[0]), len(tiles)
+    cols, rows = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    found = [list(groups(t)) for t in tiles]
+    for g in (g for own in found for g in own):
+        if ((cols[g.at] != 0) & ((cols[g.at] != g.cols) | (rows[g.at] != g.rows))).any():
+            raise ValueError("tiles of a row have different sizes")
+        cols[g.at], rows[g.at] = g.cols, g.rows
+    size = cols * rows
+    first = np.concatenate(([0], np.cumsum(size)))
+    cells = np.full((first[-1], count), np.nan)
+    for k, own in enumerate(found):
+        for g in own:
+            cells[(first[g.at][:, None] + np.arange(g.cols * g.rows)).ravel(), k] = g.doubles().ravel()
+    at = np.arange(first[-1]) - np.repeat(first[:-1], size)
+    wide = np.repeat(np.maximum(cols, 1), size)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, first[-1] * count + 1, count), pa.int32()), pa.array(cells.ravel()))
+    made = pa.StructArray.from_arrays([pa.array((at % wide).astype(np.int32)), pa.array((at // wide).astype(np.int32)), lists], ["column_index", "row_index", "cells"])
+    missing = size == 0
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), made, mask=pa.array(missing) if missing.any() else None)
+
+
+class ExplodeTiles:
+    """A table function over any number of tiles: ``select ... from t, lateral rf_explodeTiles(a, b, c)``; one tile gives ``cell``, more ``cell_0`` and so on."""
+
+    @staticmethod
+    def analyze(*tiles: AnalyzeArgument) -> AnalyzeResult:
+        names = ["cell"] if len(tiles) == 1 else [f"cell_{k}" for k in range(len(tiles))]
+        return AnalyzeResult(T.StructType([T.StructField("column_index", T.IntegerType()), T.StructField("row_index", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in names)]))
+
+    def eval(self, *tiles) -> Iterator[tuple]:
+        import numpy as np
+
+        read = [None if t is None else Tile.from_row(t).doubles() for t in tiles]
+        some = [t for t in read if t is not None]
+        if not some:
+            return
+        if len({t.shape for t in some}) > 1:
+            raise ValueError("tiles of a row have different sizes")
+        rows, cols = some[0].shape
+        flat = [np.full(rows * cols, np.nan).tolist() if t is None else t.ravel().tolist() for t in read]
+        at = np.arange(rows * cols)
+        yield from zip((at % cols).tolist(), (at // cols).tolist(), *flat)
 
 
 #: Aggregates by partial results of each tile: what a call becomes, with ``{0}`` for the tile. Spark's own aggregates stand above them.

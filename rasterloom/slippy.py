@@ -1,13 +1,13 @@
 """Export of layers as web map tiles: PNG or GeoTIFF files in ``{z}/{x}/{y}`` folders, for all zooms.
 
-Each tile of the layer is warped to those web tiles of the finest zoom that it meets, partial web tiles are merged by key, and each
-coarser zoom halves and merges the one below. Files are written by the tasks; the target has to be a folder that all of them reach.
+Each tile of the layer is warped to its part of those web tiles of the finest zoom that it meets, parts are merged by key and by a total
+order, and each coarser zoom halves and merges the one below. Files are written by the tasks, by path or URI; the target has
+to be a folder that all of them reach.
 """
 
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterloom import crs as projections
+from rasterloom.functions import mosaic
 from rasterloom.functions.aggregate import agg_stats
 from rasterloom.operators import layer
 from rasterloom.operators.metadata import Extent
 from rasterloom.operators.raster import BILINEAR, sample
 from rasterloom.render import png, ramp_png
 from rasterloom.runtime import staged
-from rasterloom.sources.tiff import encode, local_path
+from rasterloom.sources import storage
+from rasterloom.sources.tiff import encode
 from rasterloom.celltype import parse
 from rasterloom.tile import groups
 
@@ -56,17 +58,20 @@ def finest_zoom(df: DataFrame) -> int:
 
 
 def web_tiles(df: DataFrame, zoom: int | None = None) -> DataFrame:
-    """``z, x, y, bands`` (array of float64 cells, NaN: NoData) of the layer at one zoom; the temporal key is left out of account."""
+    """``z, x, y, bands`` (array of float64 cells, NaN: NoData) of the layer at one zoom.
+
+    Where tiles overlap (on borders, or in time) each cell is the latest one's with data, of equal times the greatest value.
+    """
     df = layer.as_rf(df)
+    time = layer.temporal_key_column(df)
     md, key, names = layer.tile_layer_metadata(df), layer.spatial_key_column(df), layer.tile_columns(df)
     z = finest_zoom(df) if zoom is None else zoom
-    schema = "z int, x int, y int, bands array<binary>"
     n = 1 << z
     w = 2 * projections.WORLD / n
 
     def warp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column(0).to_pylist()
+            keys, times = b.column(0).to_pylist(), b.column(len(names) + 1).to_pylist()
             cells: list[dict[int, np.ndarray]] = [{} for _ in names]
             for k in range(len(names)):
                 for g in groups(b.column(k + 1)):
@@ -78,39 +83,36 @@ def web_tiles(df: DataFrame, zoom: int | None = None) -> DataFrame:
                     continue
                 e = md.layout.key_extent(at["col"], at["row"])
                 m = _mercator_box(e, md.crs)
-                xs, ys, out = [], [], []
+                xs, ys, places, out = [], [], [], []
                 for x in range(max(0, int((m.xmin + projections.WORLD) // w)), min(n - 1, int((m.xmax + projections.WORLD) // w)) + 1):
                     for y in range(max(0, int((projections.WORLD - m.ymax) // w)), min(n - 1, int((projections.WORLD - m.ymin) // w)) + 1):
                         t = web_extent(z, x, y)
-                        gx, gy = np.meshgrid(t.xmin + (np.arange(SIZE) + 0.5) * t.width / SIZE, t.ymax - (np.arange(SIZE) + 0.5) * t.height / SIZE)
+                        # only the part of the web tile that the layer's tile can reach
+                        c0, c1 = (int(np.clip(np.floor((v - t.xmin) / t.width * SIZE) + d, 0, SIZE)) for v, d in ((m.xmin, -1), (m.xmax, 2)))
+                        r0, r1 = (int(np.clip(np.floor((t.ymax - v) / t.height * SIZE) + d, 0, SIZE)) for v, d in ((m.ymax, -1), (m.ymin, 2)))
+                        if c0 >= c1 or r0 >= r1:
+                            continue
+                        gx, gy = np.meshgrid(t.xmin + (np.arange(c0, c1) + 0.5) * t.width / SIZE, t.ymax - (np.arange(r0, r1) + 0.5) * t.height / SIZE)
                         px, py = projections.transform(projections.WEB_MERCATOR, md.crs, gx, gy)
                         bands = []
                         for c in own:
-                            c = np.full((1, 1), np.nan) if c is None else c
-                            bands.append(sample(c, (px - e.xmin) / e.width * c.shape[1], (e.ymax - py) / e.height * c.shape[0], BILINEAR))
-                        if not all(np.isnan(v).all() for v in bands):
+                            bands.append(None if c is None else sample(c, (px - e.xmin) / e.width * c.shape[1], (e.ymax - py) / e.height * c.shape[0], BILINEAR))
+                        if any(v is not None and not np.isnan(v).all() for v in bands):
                             xs.append(x)
                             ys.append(y)
-                            out.append([v.tobytes() for v in bands])
+                            places.append((c0, r0, c1 - c0, r1 - r0))
+                            out.append([None if v is None else v.tobytes() for v in bands])
                 if xs:
-                    yield pa.RecordBatch.from_arrays([pa.array([z] * len(xs), pa.int32()), pa.array(xs, pa.int32()), pa.array(ys, pa.int32()), pa.array(out, pa.list_(pa.binary()))], ["z", "x", "y", "bands"])
-
-    parts = df.select(key, *names).mapInArrow(warp, schema)
-    return _merged(parts, len(names))
-
+                    zxy = {"z": pa.array([z] * len(xs), pa.int32()), "x": pa.array(xs, pa.int32()), "y": pa.array(ys, pa.int32())}
+                    yield mosaic.part_batch(zxy, places, [times[i]] * len(xs), out)
 
-def _merged(parts: DataFrame, bands: int) -> DataFrame:
-    """Partial web tiles of the same key as one: the first one's cells, and the others' where it has none."""
+    instant = F.coalesce(F.col(time)["instant"], F.lit(mosaic.NO_TIME)) if time else F.lit(mosaic.NO_TIME)
+    parts = df.select(key, *names, instant.alias("_instant")).mapInArrow(warp, f"z int, x int, y int, {mosaic.PART}")
+    return _bands(parts, len(names))
 
-    def run(t: pa.Table) -> pa.Table:
-        out = [np.full(SIZE * SIZE, np.nan) for _ in range(bands)]
-        for row in t.column("bands").to_pylist():
-            for k in range(bands):
-                v = np.frombuffer(row[k], np.float64)
-                out[k] = np.where(np.isnan(out[k]), v, out[k])
-        return pa.table({**{c: t.column(c).slice(0, 1) for c in ("z", "x", "y")}, "bands": pa.array([[v.tobytes() for v in out]], pa.list_(pa.binary()))})
 
-    return parts.groupBy("z", "x", "y").applyInArrow(run, "z int, x int, y int, bands array<binary>")
+def _bands(parts: DataFrame, bands: int) -> DataFrame:
+    return mosaic.merged(parts, ["z", "x", "y"], bands, SIZE, SIZE).withColumnRenamed("cells", "bands")
 
 
 def coarser(tiles: DataFrame, bands: int) -> DataFrame:
@@ -119,7 +121,7 @@ def coarser(tiles: DataFrame, bands: int) -> DataFrame:
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             xs, ys = b.column(1).to_pylist(), b.column(2).to_pylist()
-            out = []
+            out, places = [], []
             for x, y, row in zip(xs, ys, b.column(3).to_pylist()):
                 made = []
                 for raw in row:
@@ -127,15 +129,13 @@ def coarser(tiles: DataFrame, bands: int) -> DataFrame:
                     n = (~np.isnan(v)).sum(axis=(1, 3))
                     with np.errstate(all="ignore"):
                         half = np.where(n > 0, np.nansum(v, axis=(1, 3)) / n, np.nan)
-                    whole = np.full((SIZE, SIZE), np.nan)
-                    r, c = (y % 2) * SIZE // 2, (x % 2) * SIZE // 2
-                    whole[r : r + SIZE // 2, c : c + SIZE // 2] = half
-                    made.append(whole.tobytes())
+                    made.append(half.tobytes())
                 out.append(made)
-            z = pa.array([v - 1 for v in b.column(0).to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([z, pa.array([x // 2 for x in xs], pa.int32()), pa.array([y // 2 for y in ys], pa.int32()), pa.array(out, pa.list_(pa.binary()))], ["z", "x", "y", "bands"])
+                places.append((x % 2 * SIZE // 2, y % 2 * SIZE // 2, SIZE // 2, SIZE // 2))
+            zxy = {"z": pa.array([v - 1 for v in b.column(0).to_pylist()], pa.int32()), "x": pa.array([x // 2 for x in xs], pa.int32()), "y": pa.array([y // 2 for y in ys], pa.int32())}
+            yield mosaic.part_batch(zxy, places, [mosaic.NO_TIME] * len(xs), out)
 
-    return _merged(tiles.mapInArrow(shrink, "z int, x int, y int, bands array<binary>"), bands)
+    return _bands(tiles.mapInArrow(shrink, f"z int, x int, y int, {mosaic.PART}"), bands)
 
 
 def pyramid(df: DataFrame, zoom: int | None = None) -> DataFrame:
@@ -177,11 +177,8 @@ document.getElementById("z").onchange = draw; draw();
 def _write(tiles: DataFrame, to: str, suffix: str, render) -> None:
     def run(rows: Iterator) -> None:
         for r in rows:
-            folder = os.path.join(to, str(r["z"]), str(r["x"]))
-            os.makedirs(folder, exist_ok=True)
             bands = [np.frombuffer(b, np.float64).reshape(SIZE, SIZE) for b in r["bands"]]
-            with open(os.path.join(folder, f"{r['y']}.{suffix}"), "wb") as f:
-                f.write(render(bands, r["z"], r["x"], r["y"]))
+            storage.write(f"{to.rstrip('/')}/{r['z']}/{r['x']}/{r['y']}.{suffix}", render(bands, r["z"], r["x"], r["y"]))
 
     tiles.foreachPartition(run)
 
@@ -192,7 +189,6 @@ def export_png(df: DataFrame, to: str, zoom: int | None = None) -> int:
     z = finest_zoom(df) if zoom is None else zoom
     stats = df.agg(*[agg_stats(n).alias(n) for n in names[:3]]).first()
     ranges = [(stats[n]["min"] or 0.0, stats[n]["max"] or 1.0) for n in names[:3]]
-    to = local_path(to)
 
     def render(bands: list[np.ndarray], *_) -> bytes:
         if len(bands) < 3:
@@ -204,8 +200,7 @@ def export_png(df: DataFrame, to: str, zoom: int | None = None) -> int:
     _write(pyramid(df, z), to, "png", render)
     md = layer.tile_layer_metadata(df)
     lon, lat = projections.unproject(md.crs, *[np.array([v]) for v in md.extent.center])
-    with open(os.path.join(to, "index.html"), "w") as f:
-        f.write(PAGE.format(zoom=z, lat=float(lat[0]), lon=float(lon[0])))
+    storage.write(f"{to.rstrip('/')}/index.html", PAGE.format(zoom=z, lat=float(lat[0]), lon=float(lon[0])).encode())
     return z
 
 
@@ -216,5 +211,5 @@ def export_geotiff(df: DataFrame, to: str, zoom: int | None = None) -> int:
     def render(bands: list[np.ndarray], z: int, x: int, y: int) -> bytes:
         return encode(np.stack(bands[:3] if len(bands) >= 3 else bands[:1]), parse("float64"), web_extent(z, x, y), projections.WEB_MERCATOR)
 
-    _write(web_tiles(df, z), local_path(to), "tiff", render)
+    _write(web_tiles(df, z), to, "tiff", render)
     return z

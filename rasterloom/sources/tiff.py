@@ -9,7 +9,6 @@ from __future__ import annotations
 import io
 import struct
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import BinaryIO
 
@@ -18,6 +17,7 @@ import numpy as np
 from rasterloom.celltype import CellType, of_dtype, parse
 from rasterloom.crs import LATLNG, from_epsg
 from rasterloom.operators.metadata import Extent
+from rasterloom.sources.storage import open_input
 
 # TIFF field types (size, struct code) and tag numbers.
 TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q"), 17: (8, "q"), 18: (8, "Q")}
@@ -71,11 +71,6 @@ def _packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def local_path(path: str) -> str:
-    """A path that ``open`` takes, from one that may be a ``file:`` URI."""
-    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:/") else path
-
-
 @dataclass
 class Tiff:
     """The first image of a file: its tags, and access to its blocks."""
@@ -86,7 +81,7 @@ class Tiff:
 
     @staticmethod
     def open(source: str | bytes | BinaryIO) -> Tiff:
-        f = open(local_path(source), "rb") if isinstance(source, str) else io.BytesIO(source) if isinstance(source, bytes) else source
+        f = open_input(source) if isinstance(source, str) else io.BytesIO(source) if isinstance(source, bytes) else source
         t = Tiff(f)
         head = f.read(16)
         t.order = {b"II": "<", b"MM": ">"}.get(head[:2], "")
@@ -266,18 +261,94 @@ class Tiff:
         return out
 
 
-def _blocks(cells: np.ndarray, tile: int | None) -> Iterator[bytes]:
-    bands, rows, cols = cells.shape
-    if tile is None:
-        for r in range(0, rows, 64):
-            yield np.ascontiguousarray(cells[:, r : r + 64].transpose(1, 2, 0)).tobytes()
-        return
-    for r in range(0, rows, tile):
-        for c in range(0, cols, tile):
-            block = np.zeros((bands, tile, tile), cells.dtype)
-            part = cells[:, r : r + tile, c : c + tile]
-            block[:, : part.shape[1], : part.shape[2]] = part
-            yield np.ascontiguousarray(block.transpose(1, 2, 0)).tobytes()
+#: Rows of a strip.
+STRIP = 64
+
+
+@dataclass(frozen=True)
+class Form:
+    """What a file is written as: square tiles with sides of ``tile`` cells, or strips of ``STRIP`` rows; bands side by side."""
+
+    width: int
+    height: int
+    bands: int
+    cell_type: CellType
+    extent: Extent
+    crs: str = LATLNG
+    tile: int | None = None
+    compress: bool = True
+
+    @property
+    def block(self) -> tuple[int, int]:
+        return (self.tile, self.tile) if self.tile else (self.width, STRIP)
+
+    @property
+    def across(self) -> int:
+        return -(-self.width // self.block[0])
+
+    @property
+    def blocks(self) -> int:
+        return self.across * -(-self.height // self.block[1])
+
+    def window(self, block: int) -> tuple[int, int, int, int]:
+        """First column and row, columns and rows of a block; tiles reach beyond the image, strips do not."""
+        (w, h), (r, c) = self.block, divmod(block, self.across)
+        return c * w, r * h, w, h if self.tile else min(h, self.height - r * h)
+
+    def pack(self, cells: np.ndarray) -> bytes:
+        """A block's bytes from (bands, rows, cols)."""
+        raw = np.ascontiguousarray(cells.astype(self.cell_type.native.newbyteorder("<")).transpose(1, 2, 0)).tobytes()
+        return zlib.compress(raw) if self.compress else raw
+
+    def directory(self, sizes: list[int], places: list[int], total: int) -> bytes:
+        """All before the blocks, whose ``places`` count from its end; a big TIFF where ``total`` bytes of blocks need it."""
+        big = total + 24 * len(sizes) + (1 << 16) >= 1 << 32
+        room, number, at_kind = (8, "Q", 16) if big else (4, "I", 4)
+        dtype = self.cell_type.native
+        epsg, projected = _epsg(self.crs)
+        keys = [1, 1, 0, 3, 1024, 0, 1, 1 if projected else 2, 1025, 0, 1, 1, 3072 if projected else 2048, 0, 1, epsg]
+        entries: list[tuple[int, int, tuple]] = [
+            (WIDTH, 4, (self.width,)),
+            (HEIGHT, 4, (self.height,)),
+            (BITS, 3, (dtype.itemsize * 8,) * self.bands),
+            (COMPRESSION, 3, (8 if self.compress else 1,)),
+            (PHOTOMETRIC, 3, (2 if self.bands == 3 and dtype.itemsize == 1 else 1,)),
+            (SAMPLES, 3, (self.bands,)),
+            (PLANAR, 3, (1,)),
+            (FORMAT, 3, ({"f": 3, "i": 2, "u": 1}[dtype.kind],) * self.bands),
+            (PIXEL_SCALE, 12, (self.extent.width / self.width, self.extent.height / self.height, 0.0)),
+            (TIEPOINT, 12, (0.0, 0.0, 0.0, self.extent.xmin, self.extent.ymax, 0.0)),
+            (GEO_KEYS, 3, tuple(keys)),
+        ]
+        nodata = self.cell_type.nodata
+        if nodata is not None:
+            text = ("nan" if nodata != nodata else repr(float(nodata)) if self.cell_type.floating else str(int(nodata))).encode() + b"\0"
+            entries.append((GDAL_NODATA, 2, (text,)))
+        of_sizes, of_places = (TILE_SIZES, TILE_OFFSETS) if self.tile else (STRIP_SIZES, STRIP_OFFSETS)
+        entries += [(TILE_WIDTH, 3, (self.tile,)), (TILE_HEIGHT, 3, (self.tile,))] if self.tile else [(ROWS_PER_STRIP, 3, (STRIP,))]
+        entries += [(of_places, at_kind, tuple(places)), (of_sizes, 4, tuple(sizes))]
+        entries.sort(key=lambda e: e[0])
+
+        def packed(kind: int, values: tuple) -> bytes:
+            return values[0] if kind == 2 else struct.pack("<" + TYPES[kind][1] * len(values), *values)
+
+        raws = {tag: packed(kind, values) for tag, kind, values in entries}
+        head = struct.pack("<2sHHHQQ", b"II", 43, 8, 0, 16, len(entries)) if big else struct.pack("<2sHIH", b"II", 42, 8, len(entries))
+        extra_at = len(head) + len(entries) * (4 + 2 * room) + room
+        first = extra_at + sum(-(-len(r) // 2) * 2 for r in raws.values() if len(r) > room)
+        raws[of_places] = packed(at_kind, tuple(x + first for x in places))
+        out, extra, at = [head], [], extra_at
+        for tag, kind, values in entries:
+            raw = raws[tag]
+            count = len(raw) if kind == 2 else len(values)
+            out.append(struct.pack("<HH" + number, tag, kind, count))
+            if len(raw) <= room:
+                out.append(raw.ljust(room, b"\0"))
+            else:
+                out.append(struct.pack("<" + number, at))
+                extra.append(raw + b"\0" * (len(raw) % 2))
+                at += len(extra[-1])
+        return b"".join([*out, struct.pack("<" + number, 0), *extra])
 
 
 def encode(cells: np.ndarray, cell_type: CellType, extent: Extent, crs: str = LATLNG, tile: int | None = None, compress: bool = True) -> bytes:
@@ -286,52 +357,17 @@ def encode(cells: np.ndarray, cell_type: CellType, extent: Extent, crs: str = LA
     if cells.ndim == 2:
         cells = cells[None]
     bands, rows, cols = cells.shape
-    dtype = cell_type.native.newbyteorder("<")
-    blocks = [zlib.compress(b) if compress else b for b in _blocks(cells.astype(dtype), tile)]
-    fmt = {"f": 3, "i": 2, "u": 1}[dtype.kind]
-    epsg, projected = _epsg(crs)
-    keys = [1, 1, 0, 3, 1024, 0, 1, 1 if projected else 2, 1025, 0, 1, 1, 3072 if projected else 2048, 0, 1, epsg]
-    entries: list[tuple[int, int, tuple]] = [
-        (WIDTH, 4, (cols,)),
-        (HEIGHT, 4, (rows,)),
-        (BITS, 3, (dtype.itemsize * 8,) * bands),
-        (COMPRESSION, 3, (8 if compress else 1,)),
-        (PHOTOMETRIC, 3, (2 if bands == 3 and dtype.itemsize == 1 else 1,)),
-        (SAMPLES, 3, (bands,)),
-        (PLANAR, 3, (1,)),
-        (FORMAT, 3, (fmt,) * bands),
-        (PIXEL_SCALE, 12, (extent.width / cols, extent.height / rows, 0.0)),
-        (TIEPOINT, 12, (0.0, 0.0, 0.0, extent.xmin, extent.ymax, 0.0)),
-        (GEO_KEYS, 3, tuple(keys)),
-    ]
-    if cell_type.nodata is not None:
-        text = ("nan" if cell_type.nodata != cell_type.nodata else repr(float(cell_type.nodata)) if cell_type.floating else str(int(cell_type.nodata))).encode() + b"\0"
-        entries.append((GDAL_NODATA, 2, (text,)))
-    sizes, offsets = (TILE_SIZES, TILE_OFFSETS) if tile else (STRIP_SIZES, STRIP_OFFSETS)
-    entries += [(TILE_WIDTH, 3, (tile,)), (TILE_HEIGHT, 3, (tile,))] if tile else [(ROWS_PER_STRIP, 3, (64,))]
-    entries += [(offsets, 4, (0,) * len(blocks)), (sizes, 4, tuple(map(len, blocks)))]
-    entries.sort()
-
-    def packed(kind: int, values: tuple) -> bytes:
-        return values[0] if kind == 2 else struct.pack("<" + TYPES[kind][1] * len(values), *values)
-
-    head, extra_at = 8 + 2 + 12 * len(entries) + 4, 8 + 2 + 12 * len(entries) + 4
-    extra_size = sum(-(-len(packed(k, v)) // 2) * 2 for _, k, v in entries if len(packed(k, v)) > 4)
-    first = extra_at + extra_size
-    places = tuple(np.concatenate(([0], np.cumsum([len(b) for b in blocks])[:-1])).astype(int) + first)
-    directory, extra = [struct.pack("<2sHIH", b"II", 42, 8, len(entries))], []
-    at = head
-    for tag, kind, values in entries:
-        raw = packed(kind, tuple(map(int, places)) if tag == offsets else values)
-        count = len(raw) if kind == 2 else len(values)
-        if len(raw) <= 4:
-            directory.append(struct.pack("<HHI4s", tag, kind, count, raw.ljust(4, b"\0")))
-        else:
-            directory.append(struct.pack("<HHII", tag, kind, count, at))
-            raw += b"\0" * (len(raw) % 2)
-            extra.append(raw)
-            at += len(raw)
-    return b"".join([*directory, struct.pack("<I", 0), *extra, *blocks])
+    form = Form(cols, rows, bands, cell_type, extent, crs, tile, compress)
+    blocks = []
+    for k in range(form.blocks):
+        x, y, w, h = form.window(k)
+        part = cells[:, y : y + h, x : x + w]
+        whole = np.zeros((bands, h, w), cells.dtype)
+        whole[:, : part.shape[1], : part.shape[2]] = part
+        blocks.append(form.pack(whole))
+    sizes = list(map(len, blocks))
+    places = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(int).tolist()
+    return b"".join([form.directory(sizes, places, sum(sizes)), *blocks])
 
 
 def _epsg(crs: str) -> tuple[int, bool]:
