@@ -136,26 +136,25 @@ class Blocks:
             self.whole.cell_type = part.cell_type
 
 
-def local_agg_by(df: DataFrame, keys: list[str], tile: str, results: dict[str, str]) -> DataFrame:
-    """``keys`` and a tile column for each entry of ``results`` (name to one of count, min, max, mean, variance, plain_min, plain_max, data_cells, no_data_cells)."""
-    if not keys:
-        whole = _unused("_all", df)
-        return local_agg_by(df.select(F.lit(1).alias(whole), tile), [whole], tile, results).drop(whole)
-    nk = len(keys)
-    key_fields = [df.schema[k] for k in keys]
-    names = list(results)
-    state = T.StructType([*key_fields, *(T.StructField(x, k) for x, k in (("_cols", T.ShortType()), ("_rows", T.ShortType()), ("_type", T.StringType()), ("_block", T.IntegerType()), ("_part", T.IntegerType()), ("_values", T.BinaryType())))])
-    out_type = T.StructType([*key_fields, *(T.StructField(n, TILE_TYPE) for n in names)])
-    fields = [f.name for f in state]
-
-    def rows_of(key: list[pa.Array], r: Running | None, first: int, part: int) -> pa.RecordBatch:
-        """Blocks of one group's state, named by their first cells, from ``first`` on; one row without a state if there is none."""
-        cuts = range(0, r.values.shape[1], BLOCK) if r else [0]
-        n = len(cuts)
-        columns = [pa.concat_arrays([k] * n) for k in key]
-        columns += [pa.array([x] * n, kind) for x, kind in ((r and r.cols, pa.int16()), (r and r.rows, pa.int16()), (r and r.cell_type.name, pa.string()))]
-        columns += [pa.array([first + a for a in cuts], pa.int32()), pa.array([part] * n, pa.int32()), pa.array([r and np.ascontiguousarray(r.values[:, a : a + BLOCK]).tobytes() for a in cuts], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, fields)
+def _state_type(df: DataFrame, keys: list[str]) -> T.StructType:
+    """Keys, then a block of a group's state: the tile's size and type, the block's first cell, the part it is summed in, the sums."""
+    own = (("_cols", T.ShortType()), ("_rows", T.ShortType()), ("_type", T.StringType()), ("_block", T.IntegerType()), ("_part", T.IntegerType()), ("_values", T.BinaryType()))
+    return T.StructType([*(df.schema[k] for k in keys), *(T.StructField(x, k) for x, k in own)])
+
+
+def _state_rows(key: list[pa.Array], r: Running | None, first: int, part: int, names: list[str]) -> pa.RecordBatch:
+    """Blocks of one group's state, named by their first cells, from ``first`` on; one row without a state if there is none."""
+    cuts = range(0, r.values.shape[1], BLOCK) if r else [0]
+    n = len(cuts)
+    columns = [pa.concat_arrays([k] * n) for k in key]
+    columns += [pa.array([x] * n, kind) for x, kind in ((r and r.cols, pa.int16()), (r and r.rows, pa.int16()), (r and r.cell_type.name, pa.string()))]
+    columns += [pa.array([first + a for a in cuts], pa.int32()), pa.array([part] * n, pa.int32()), pa.array([r and np.ascontiguousarray(r.values[:, a : a + BLOCK]).tobytes() for a in cuts], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def partial_states(df: DataFrame, keys: list[str], tile: str) -> DataFrame:
+    """States of the groups that each task has, in blocks; also of streams, for each of their batches."""
+    nk, state = len(keys), _state_type(df, keys)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[tuple, int] = {}
@@ -164,7 +163,7 @@ def local_agg_by(df: DataFrame, keys: list[str], tile: str, results: dict[str, s
 
         def out() -> Iterator[pa.RecordBatch]:
             for key, k in codes.items():
-                yield rows_of([pa.array([x], schema.field(i).type) for i, x in enumerate(key)], held.get(k), 0, part)
+                yield _state_rows([pa.array([x], schema.field(i).type) for i, x in enumerate(key)], held.get(k), 0, part, state.names)
 
         for b in batches:
             schema = schema or b.schema
@@ -175,14 +174,13 @@ def local_agg_by(df: DataFrame, keys: list[str], tile: str, results: dict[str, s
                 codes, held = {}, {}
         yield from out()
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, first, part = Blocks(), 0, 0
-        for b in batches:
-            if b.num_rows:
-                first, part = (b.column(b.schema.get_field_index(n))[0].as_py() for n in ("_block", "_part"))
-            sums.take(b, nk, True)
-        if sums.key:
-            yield rows_of(sums.key, sums.whole, first, part)
+    return df.select(*keys, tile).mapInArrow(partial, state)
+
+
+def tiles_of_states(states: DataFrame, keys: list[str], results: dict[str, str]) -> DataFrame:
+    """``keys`` and the tiles of ``results`` from blocks of states."""
+    nk, names = len(keys), list(results)
+    out_type = T.StructType([*(states.schema[k] for k in keys), *(T.StructField(n, TILE_TYPE) for n in names)])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Blocks()
@@ -198,10 +196,29 @@ def local_agg_by(df: DataFrame, keys: list[str], tile: str, results: dict[str, s
         if sums.key:
             yield pa.RecordBatch.from_arrays(columns, [*keys, *names])
 
-    for f in (merged, total):
-        f.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    folded = df.select(*keys, tile).mapInArrow(partial, state)
-    return folded.groupBy(*keys, "_block", "_part").applyInArrow(merged, state).groupBy(*keys).applyInArrow(total, out_type)
+    total.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return states.groupBy(*keys).applyInArrow(total, out_type)
+
+
+def local_agg_by(df: DataFrame, keys: list[str], tile: str, results: dict[str, str]) -> DataFrame:
+    """``keys`` and a tile column for each entry of ``results`` (name to one of count, min, max, mean, variance, plain_min, plain_max, data_cells, no_data_cells)."""
+    if not keys:
+        whole = _unused("_all", df)
+        return local_agg_by(df.select(F.lit(1).alias(whole), tile), [whole], tile, results).drop(whole)
+    nk, state = len(keys), _state_type(df, keys)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, first, part = Blocks(), 0, 0
+        for b in batches:
+            if b.num_rows:
+                first, part = (b.column(b.schema.get_field_index(n))[0].as_py() for n in ("_block", "_part"))
+            sums.take(b, nk, True)
+        if sums.key:
+            yield _state_rows(sums.key, sums.whole, first, part, state.names)
+
+    merged.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    states = partial_states(df, keys, tile).groupBy(*keys, "_block", "_part").applyInArrow(merged, state)
+    return tiles_of_states(states, keys, results)
 
 
 def _unused(name: str, df: DataFrame) -> str:

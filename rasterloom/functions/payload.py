@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterloom.celltype import CellType, parse, union
+from rasterloom.functions.scan import covered
 from rasterloom.functions.scalar import ColumnOrName, _alias, _col, _paired
-from rasterloom.geometry import Geometry, locate
+from rasterloom.geometry import Geometry
 from rasterloom.operators.metadata import Extent
 from rasterloom.operators.resampling import sample
 from rasterloom.tile import TILE_TYPE, Group, build, groups, map_tiles
@@ -113,27 +114,6 @@ def _mask(inverse: bool):
 local_mask, local_inverse_mask = _mask(False), _mask(True)
 
 
-def rasterize(g: Geometry, extent: Extent, cols: int, rows: int) -> np.ndarray:
-    """Whether the middle of each cell is in a geometry, its border included; lines and points mark the cells that they pass."""
-    w, h = extent.width / cols, extent.height / rows
-    out = np.zeros((rows, cols), bool)
-    for px, py in [*g.points, *((a[0] + (b[0] - a[0]) * t, a[1] + (b[1] - a[1]) * t) for x in g.lines for a, b in zip(x, x[1:]) for t in np.linspace(0, 1, 2 * (cols + rows)))]:
-        c, r = int((px - extent.xmin) // w), int((extent.ymax - py) // h)
-        if 0 <= c < cols and 0 <= r < rows:
-            out[r, c] = True
-    if g.polygons:
-        x0, x1, y0, y1 = g.box()
-        shape = Geometry("", polygons=g.polygons)
-        for r in range(rows):
-            y = extent.ymax - (r + 0.5) * h
-            if y0 <= y <= y1:
-                for c in range(cols):
-                    x = extent.xmin + (c + 0.5) * w
-                    if x0 <= x <= x1 and locate((x, y), shape) != 2:
-                        out[r, c] = True
-    return out
-
-
 def mask_by_geometry(tile: ColumnOrName, extent: Column, g: Geometry) -> Column:
     """Cells outside of a geometry become NoData; ``extent`` is a struct of xmin, ymin, xmax, ymax of each tile."""
 
@@ -142,7 +122,7 @@ def mask_by_geometry(tile: ColumnOrName, extent: Column, g: Geometry) -> Column:
         rows = boxes.to_pylist()
 
         def kernel(x: Group) -> tuple[CellType, int, int, np.ndarray]:
-            inside = np.stack([rasterize(g, Extent(*(rows[i][k] for k in ("xmin", "ymin", "xmax", "ymax"))), x.cols, x.rows).ravel() for i in x.at.tolist()])
+            inside = np.stack([covered(g, Extent(*(rows[i][k] for k in ("xmin", "ymin", "xmax", "ymax"))), x.cols, x.rows).ravel() for i in x.at.tolist()])
             return x.cell_type, x.cols, x.rows, x.cell_type.from_doubles(np.where(inside, x.doubles(), np.nan))
 
         return map_tiles(tiles, kernel)

@@ -132,6 +132,13 @@ def map_transform(df: DataFrame):
     return tile_layer_metadata(df).layout
 
 
+def point_key(df: DataFrame, x: Column, y: Column) -> Column:
+    """The spatial key of points in map coordinates, as a struct; a key's upper and left edges belong to it."""
+    layout = tile_layer_metadata(df).layout
+    col, row = (x - F.lit(layout.extent.xmin)) / F.lit(layout.tile_width), (F.lit(layout.extent.ymax) - y) / F.lit(layout.tile_height)
+    return F.struct(F.floor(col).cast("int").alias("col"), F.floor(row).cast("int").alias("row"))
+
+
 def with_bounds(df: DataFrame, name: str = BOUNDS) -> DataFrame:
     """Add the polygon (WKB) that each key covers."""
     return df.withColumn(name, polygon_of_box(*_box(df)))

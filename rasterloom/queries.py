@@ -23,6 +23,7 @@ from rasterloom.functions import scalar as S
 from rasterloom.functions.explode import explode_tile_sample, explode_tiles
 from rasterloom.ml import NoDataFilter, TileExploder
 from rasterloom.operators import layer as Y
+from rasterloom.operators.features import burned
 from rasterloom.operators.metadata import Extent, KeyBounds, LayerMetadata, Layout, TileLayout
 from rasterloom.operators.raster import to_raster, with_tile_subdivisions
 from rasterloom.operators.spatial import geometry_join
@@ -220,16 +221,15 @@ def tile_to_int_array(spark, sf_dir):
 
 @query("select r_regionkey, 12.0::double * r_regionkey as v, 'int16' as kind from region")
 def make_constant_tile(spark, sf_dir):
-    parts = [table(spark, sf_dir, "region").where(F.col("r_regionkey") == k).select("r_regionkey", S.make_constant_tile(k, 4, 3, "int16").alias("t")) for k in range(5)]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.union(p)
-    return whole.select("r_regionkey", S.tile_sum("t").alias("v"), S.cell_type("t").alias("kind"))
+    kinds = F.array(*[S.make_constant_tile(k, 4, 3, "int16") for k in range(5)])
+    return table(spark, sf_dir, "region").select("r_regionkey", kinds[F.col("r_regionkey")].alias("t")).select("r_regionkey", S.tile_sum("t").alias("v"), S.cell_type("t").alias("kind"))
 
 
-@query("select unnest([" + ", ".join(f"'{n}'" for n in cell_type_names()) + "]) as kind")
+@query("select kind, count(*) as n from (select ([" + ", ".join(f"'{n}'" for n in cell_type_names()) + f"])[c_custkey % {len(cell_type_names())} + 1] as kind from customer) group by kind")
 def cell_types(spark, sf_dir):
-    return spark.range(1).select(F.explode(S.cell_types()).alias("kind"))
+    """Customers dealt over all cell types."""
+    kinds = S.cell_types()
+    return table(spark, sf_dir, "customer").groupBy(kinds[(F.col("c_custkey") % F.size(kinds)).cast("int")].alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(f"""with {CELLS}, r as (select *, min(x::double) over w as lo, max(x::double) over w as hi from cells window w as (partition by vec_id)),
@@ -414,10 +414,8 @@ def points_in_keys(spark, sf_dir):
 
 @query("select s_suppkey, floor((s_suppkey % 50) / 10.0)::int as col, floor((50 - (s_suppkey * 7 % 50 + 0.5)) / 10.0)::int as \"row\" from supplier")
 def keys_of_points(spark, sf_dir):
-    layout = Y.map_transform(customers(spark, sf_dir))
     x, y = (F.col("s_suppkey") % 50).cast("double"), (F.col("s_suppkey") * 7 % 50) + 0.5
-    key = lambda v, low, size: F.floor((v - F.lit(low)) / F.lit(size)).cast("int")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", key(x, layout.extent.xmin, layout.tile_width).alias("col"), F.floor((F.lit(layout.extent.ymax) - y) / F.lit(layout.tile_height)).cast("int").alias("row"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", Y.point_key(customers(spark, sf_dir), x, y).alias("k")).select("s_suppkey", "k.*")
 
 
 # -- time --------------------------------------------------------------------------------------------------------------------------
@@ -614,11 +612,25 @@ def raster_of_layer(spark, sf_dir):
     return spark.createDataFrame(data, "x int, y int, v double")
 
 
-@query("select (x // 10)::int as col, (y // 10)::int as \"row\", count(*) as n, sum(x * 30 + y)::double as v from (select unnest(range(30)) as x), (select unnest(range(30)) as y) group by all")
+@query(f"with {GRIDS} select ((c.col * 4 + pos % 4) // 10)::int as col, ((c.row * 4 + pos // 4) // 10)::int as \"row\", count(v) as n, round(sum(v), 2) as v from cust c group by 1, 2")
 def layer_of_raster(spark, sf_dir):
-    y, x = np.mgrid[0:30, 0:30]
-    df = Y.from_raster(spark, (x * 30 + y).astype(np.int32), Extent(0, 0, 3, 3), tile_cols=10, tile_rows=10)
-    return df.select("spatial_key.*", S.data_cells("tile").alias("n"), S.tile_sum("tile").alias("v"))
+    """A raster of a layer's cells, cut into other tiles."""
+    r = to_raster(customers(spark, sf_dir), "tile", 20, 20)
+    df = Y.from_raster(spark, r.tiles[0].cells, r.extent, tile_cols=10, tile_rows=10)
+    return df.select("spatial_key.*", S.data_cells("tile").alias("n"), F.round(S.tile_sum("tile"), 2).alias("v"))
+
+
+@query(f"""with {GRIDS}, f as (select s_suppkey, s_suppkey % 200 as v, s_suppkey * 13 % 47 as x0, s_suppkey * 13 % 47 + 3 + s_nationkey % 5 as x1, s_suppkey * 31 % 48 as y0, s_suppkey * 31 % 48 + 2 + s_nationkey % 3 as y1 from supplier),
+k as (select distinct col, "row" from cust), c as (select k.*, (i % 4)::int as column_index, (i // 4)::int as row_index, (k.col * 4 + i % 4 + 0.5) * 2.5 as x, 50 - (k.row * 4 + i // 4 + 0.5) * 2.5 as y from k, unnest(range(16)) t(i))
+select col, "row", column_index, row_index, arg_max(v, s_suppkey)::double as v from c left join f on x between x0 and x1 and y between y0 and y1 group by all""")
+def burned_features(spark, sf_dir):
+    """Labels of suppliers' rectangles in the cells of a layer, the last one's where they overlap."""
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    x, y = (key * 13 % 47).cast("double"), (key * 31 % 48).cast("double")
+    shape = geometry.polygon_of_box(x, y, x + 3 + nation % 5, y + 2 + nation % 3)
+    features = table(spark, sf_dir, "supplier").select(shape.alias("shape"), (key % 200).alias("v"), "s_suppkey")
+    made = burned(customers(spark, sf_dir), features, "shape", "v", "s_suppkey")
+    return cells_of(made.select("spatial_key.*", "label"), "label", "col", "row")
 
 
 @query(f"with {CELLS} select vec_id, (i % 8)::int as column_index, (i // 8)::int as row_index, round(coalesce(x, w)::double, 6) as v from cells")
@@ -765,6 +777,14 @@ def sql_explode_and_assemble(spark, sf_dir):
       select vec_id, rf_dataCells(t) as n, round(rf_tileSum(t), 6) as total, pairs from t join two using (vec_id)""")
 
 
+@query(f"with {CELLS} select vec_id, (i % 8)::int as column_index, (i // 8)::int as row_index, round(x::double, 6) as v, round(w::double, 6) as w, round((coalesce(x, 0) + w)::double, 5) as total from cells")
+def sql_tile_cells(spark, sf_dir):
+    """Cells of two tiles as rows in SQL, without a Python call for each cell."""
+    _views(spark, sf_dir)
+    return session.sql(spark, """select vec_id, c.column_index, c.row_index, round(nanvl(c.cells[0], null), 6) as v, round(c.cells[1], 6) as w, round(nanvl(c.cells[0], 0D) + c.cells[1], 5) as total
+      from (select vec_id, explode(rf_tileCells(tile, whole)) as c from _tiles)""")
+
+
 @query("select n_nationkey, (n_nationkey between 5 and 15) as meets, n_nationkey = 10 as holds, abs(n_nationkey - 10)::double as away from nation")
 def sql_geometry(spark, sf_dir):
     session.init(spark, methods=False)
@@ -821,14 +841,28 @@ _WORLD = """keys as (select (n_nationkey % 16 % 4)::int as x, (n_nationkey % 16
 levels as (select 2 as z, x, y, v from keys union all select 1, x // 2, y // 2, avg(v) from keys group by all union all select 0, 0, 0, avg(v) from keys)"""
 
 
+def _means(batches):
+    """Data cells and mean of the first band of web tiles."""
+    for b in batches:
+        cells = [np.frombuffer(x[0], np.float64) for x in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([int((~np.isnan(c)).sum()) for c in cells], pa.int32()), pa.array([float(np.nanmean(c)) for c in cells])], ["z", "x", "y", "n", "mean"])
+
+
 @query(f"with {_WORLD} select z::int as z, x::int as x, y::int as y, 65536 as n, round(v, 6) as mean from levels")
 def slippy_pyramid(spark, sf_dir):
-    def means(batches):
-        for b in batches:
-            cells = [np.frombuffer(x[0], np.float64) for x in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([int((~np.isnan(c)).sum()) for c in cells], pa.int32()), pa.array([float(np.nanmean(c)) for c in cells])], ["z", "x", "y", "n", "mean"])
+    return slippy.pyramid(_world(spark, sf_dir), 2).mapInArrow(_means, "z int, x int, y int, n int, mean double").withColumn("mean", r6(F.col("mean")))
 
-    return slippy.pyramid(_world(spark, sf_dir), 2).mapInArrow(means, "z int, x int, y int, n int, mean double").withColumn("mean", r6(F.col("mean")))
+
+@query("""with keys as (select (n_nationkey % 16 % 4)::int as x, (n_nationkey % 16 // 4)::int as y, n_regionkey, sum(n_nationkey)::double as v from nation group by all)
+select 2 as z, x, y, 65536 as n, arg_max(v, n_regionkey) as mean from keys group by x, y""")
+def slippy_space_time(spark, sf_dir):
+    """Web tiles of a layer with several times a key: the latest one's cells."""
+    n, (at, world) = table(spark, sf_dir, "nation"), ((F.col("n_nationkey") % 16).cast("int"), crs.WORLD)
+    key, time = F.struct((at % 4).alias("col"), F.floor(at / 4).cast("int").alias("row")), F.struct(F.col("n_regionkey").cast("long").alias("instant"))
+    made = n.groupBy(key.alias("spatial_key"), time.alias("temporal_key")).agg(F.sum("n_nationkey").cast("double").alias("v"))
+    extent = Extent(-world, -world, world, world)
+    md = LayerMetadata("float64", Layout(extent, TileLayout(4, 4, 16, 16)), extent, crs.WEB_MERCATOR, KeyBounds(0, 0, 3, 3, 0, 4))
+    return slippy.web_tiles(Y.as_rf(made.select("spatial_key", "temporal_key", S.array_to_tile(F.array_repeat("v", 256), 16, 16).alias("tile")), "spatial_key", md, "temporal_key"), 2).mapInArrow(_means, "z int, x int, y int, n int, mean double")
 
 
 def _address(path: Column, suffix: str) -> list[Column]:
