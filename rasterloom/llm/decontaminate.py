@@ -1,9 +1,10 @@
 """Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 Words are lower-cased and cut at white space and ASCII punctuation. A seed is a run of ``N`` words of a test item (all
-words of a shorter item). Seeds are rare: a run that stands in more than ``RARE`` places of the items is made longer word by
-word until it does not, or is left out where its item ends before that. Items with the same text are one. Seeds that stand in a
-text join the text to the item. Each passage with a seed, with a margin
+words of a shorter item). Seeds are rare: a run that stands in more than ``RARE`` places of the items is made longer until it
+does not, or is left out where its item ends before that. How long a run has to be follows from a suffix array over the items, by
+the common prefixes of ``RARE + 1`` neighbours, so repetitive items cost no more than others. Items with the same text are one.
+Seeds that stand in a text, by 64 bits of hash, join the text to the item. Each passage with a seed, with a margin
 around its seeds, is aligned with the item word by word (local alignment with gaps), however many rows hold its seeds; the
 score is the alignment's share of a perfect one. A passage that has too few of the item's words for the least score, in
 whatever order, is not aligned: each word of the item matches once at most.
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.periodic import Suffixes
 from rasterloom.llm.rows import pieces, row_key, without
 
 N = 4
@@ -92,29 +94,122 @@ def _slices(items: DataFrame, text: str) -> Iterator[list[tuple[str, list[bytes]
         yield held
 
 
-def seeds(items: list[list[bytes]], rare: int = RARE) -> dict[tuple[bytes, ...], list[tuple[int, int]]]:
-    """Item and place of each run of words that is a seed."""
-    out: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
-    new: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
-    for k, words in enumerate(items):
-        n = min(N, len(words))
-        for q in range(len(words) - n + 1):
-            new.setdefault(tuple(words[q : q + n]), []).append((k, q))
-    while new:
-        longer: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
-        for run, places in new.items():
-            if len(places) <= rare:
-                out[run] = places
-                continue
-            for k, q in places:
-                if q + len(run) < len(items[k]):
-                    longer.setdefault((*run, items[k][q + len(run)]), []).append((k, q))
-                elif q == 0:
-                    out.setdefault(run, []).append((k, q))  # the whole item
-        new = longer
+def _least_of(x: np.ndarray, width: int) -> np.ndarray:
+    """Least of each ``width`` consecutive values, by doubling."""
+    out, have = x if len(x) >= width else x[:0], 1
+    while have < width and len(out):
+        step = min(have, width - have)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        have += step
     return out
 
 
+def numbered(items: list[list[bytes]]) -> dict[bytes, int]:
+    """A number from zero for each word of the items."""
+    return {w: i for i, w in enumerate(dict.fromkeys(w for words in items for w in words))}
+
+
+def seeds(items: list[list[bytes]], rare: int = RARE) -> np.ndarray:
+    """Rows of item, first word and number of words of each seed."""
+    number = numbered(items)
+    sizes = np.array([len(w) + 1 for w in items], np.int64)
+    ends = np.cumsum(sizes) - 1
+    # an end of its own after each item, so that no common prefix goes beyond
+    code = np.fromiter((c for k, words in enumerate(items) for c in (*map(number.__getitem__, words), len(number) + k)), np.int64, int(sizes.sum()))
+    if not len(code):
+        return np.empty((0, 3), np.int64)
+    s = Suffixes(code, np.full(len(code), len(code)))
+    # shared[r]: the longest run at suffix r that more than ``rare`` places have, from the windows of rare + 1 neighbours with r
+    least = _least_of(s.lcp[1:], rare)
+    padded = np.concatenate([np.zeros(rare, np.int64), least, np.zeros(rare, np.int64)])
+    shared = -_least_of(-padded, rare + 1)[: len(code)] if len(least) else np.zeros(len(code), np.int64)
+    size = np.empty(len(code), np.int64)
+    size[s.sa] = np.maximum(N, shared + 1)
+    item = np.repeat(np.arange(len(items)), sizes)
+    place = np.arange(len(code)) - (ends - sizes + 1)[item]
+    left = ends[item] - np.arange(len(code))
+    whole = (place == 0) & (left > 0) & (size > left)
+    size = np.where(whole, left, size)
+    fits = (left > 0) & (size <= left)
+    return np.column_stack([item, place, size])[fits]
+
+
+class Hashes:
+    """Hashes of all runs of a text's words: runs of powers of two by doubling, others from two that overlap."""
+
+    A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+    def __init__(self, numbers: np.ndarray) -> None:
+        h = (numbers.astype(np.uint64) + np.uint64(2)) * self.A
+        self.levels = [h ^ h >> np.uint64(29)]
+        self.size = len(numbers)
+
+    def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h = a * self.B + b
+        h ^= h >> np.uint64(32)
+        return h * self.A
+
+    def at(self, places: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of runs of ``n`` words from some places, which all have as many."""
+        k = n.bit_length() - 1
+        while len(self.levels) <= k:
+            x, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(self._joined(x[: max(0, len(x) - step)], x[step:]))
+        x = self.levels[k]
+        return self._joined(x[places], x[places + n - (1 << k)]) ^ np.uint64(n)
+
+
+class Seeds:
+    """The seeds of items, by length and hash, and which runs of ``N`` words begin longer ones."""
+
+    def __init__(self, items: list[list[bytes]]) -> None:
+        self.number = numbered(items)
+        rows = seeds(items)
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        begun = []
+        for own in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1) if len(rows) else []:
+            h = self.hashed(items[int(own[0, 0])])
+            for n in np.unique(own[:, 2]).tolist():
+                at = own[own[:, 2] == n]
+                found.setdefault(n, []).append((h.at(at[:, 1], n), at[:, :2]))
+                if n > N:
+                    begun.append(h.at(at[:, 1], N))
+        #: By length: hashes in order, and the items and places that have them.
+        self.tables = {}
+        for n, parts in sorted(found.items()):
+            h, places = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            order = np.argsort(h, kind="stable")
+            self.tables[n] = h[order], places[order]
+        self.begun = np.unique(np.concatenate(begun)) if begun else np.empty(0, np.uint64)
+
+    def hashed(self, words: list[bytes]) -> Hashes:
+        get = self.number.get
+        return Hashes(np.fromiter((get(w, -1) for w in words), np.int64, len(words)))
+
+    def hits(self, words: list[bytes]) -> list[tuple[int, int, int]]:
+        """(item, word, place in the item) of each seed in a text."""
+        out, h = [], self.hashed(words)
+        longer = np.empty(0, np.int64)
+        if len(self.begun) and h.size >= N:
+            every = np.arange(h.size - N + 1)
+            longer = every[_in(self.begun, h.at(every, N))]
+        for n, (keys, places) in self.tables.items():
+            at = longer[longer <= h.size - n] if n > N else np.arange(max(0, h.size - n + 1))
+            if not len(at):
+                continue
+            own = h.at(at, n)
+            low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
+            for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
+                out += [(k, p, q) for k, q in places[a:b].tolist()]
+        return out
+
+
+def _in(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(keys, x)
+    return keys[np.minimum(at, len(keys) - 1)] == x
+
+
 def _passages(words: list[bytes], hits: list[tuple[int, int, int]], items: list[tuple[object, list[bytes]]]) -> Iterator[tuple[int, int, int]]:
     """(item, first word, end) of each passage; hits: (item, word, place in the item), in order."""
     hits.sort()
@@ -149,24 +244,15 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "do
 
 
 def _matches_of(docs: DataFrame, items: list[tuple[str, list[bytes]]], text: str, id: str, kind: str, least: float) -> DataFrame:
-    places = seeds([words for _, words in items])
-    sent = docs.sparkSession.sparkContext.broadcast((items, places, sorted({len(g) for g in places})))
+    sent = docs.sparkSession.sparkContext.broadcast((items, Seeds([words for _, words in items])))
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, places, sizes = sent.value
-        known = frozenset(places)
+        items, known = sent.value
         for b in pieces(batches):
             row, item, first, passage = [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 words = words_of(t)
-                hits = []
-                for n in sizes:
-                    grams = [words[k:] for k in range(n)]
-                    if known.isdisjoint(zip(*grams)):
-                        continue
-                    for p, g in enumerate(zip(*grams)):
-                        if g in known:
-                            hits += [(k, p, q) for k, q in places[g]]
+                hits = known.hits(words)
                 for k, begin, end in _passages(words, hits, items):
                     row.append(i)
                     item.append(k)

@@ -8,8 +8,10 @@ complete, membership is exact for every host of the corpus: walking the filters,
 are built in Spark (words of bits are or-ed by position) and sent to the workers; the pages are not joined with anything.
 Keys are known by 126 bits of hashes, so that the universe travels as pairs of numbers.
 
-Filters take ``BITS`` bits a key. A cascade of over ``MAX_BITS`` is split by hash into shards within the bound, which a worker asks
-one after the other in a single pass over the pages.
+Filters take ``BITS`` bits a key. The first filter of a cascade grows with the list, the second with the mistakes that the first makes
+over the universe, one key in about fifty. Keys are dealt by hash to as many shards as keep the filters of each within
+``MAX_BITS``, by the numbers of listed and of all keys; each shard has a cascade, and a worker asks one after the other, of which it holds
+one at a time, in a single pass over the pages.
 
 Null urls and urls without ``://`` have the empty host and path; the empty host is a key like any other. Repeated rows
 stay; rows are judged one by one. Null and repeated domains in the list change nothing.
@@ -42,7 +44,11 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-#: The default list has each of these names under each of these domains.
+#: What is let through by mistake.
+MISTAKES = 1 / 40
+
+#: The default list has each of these names, alone and with each number below ``SITES``, under each of these domains.
+SITES = 100
 NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 UNDER = ("com", "net", "org", "info", "example.com", "example.net", "example.org")
 
@@ -67,7 +73,7 @@ def ruled(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, Col
 
 
 def default_list() -> list[str]:
-    return [f"{name}.{domain}" for name in NAMES for domain in UNDER]
+    return [f"{name}{n}.{domain}" for name in NAMES for domain in UNDER for n in ("", *range(SITES))]
 
 
 def keys_of(host: str) -> list[tuple[int, int]]:
@@ -155,11 +161,20 @@ def build_cascade(listed: DataFrame, others: DataFrame) -> Cascade:
     return cascade
 
 
+def shards_for(listed: int, keys: int, max_bits: int = MAX_BITS) -> int:
+    """Shards whose filters have at most about ``max_bits`` each: all levels of a cascade over so many keys, added up."""
+    inside, outside, total = float(listed), float(keys - listed), 0.0
+    while inside >= 1:
+        total += inside * BITS
+        inside, outside = outside * MISTAKES, inside
+    return max(1, -(-int(total) // max_bits))
+
+
 def build(hosts: DataFrame, domains: DataFrame, max_bits: int = MAX_BITS) -> list[Broadcast]:
     """Cascades over all keys of the column of hosts, those in the column of listed domains being listed; dealt by ``a``."""
     universe = checkpoint(_hashed(hosts, keys_of))
     listed = checkpoint(universe.join(_hashed(domains, lambda d: [_hashes(d)]), ["a", "b"], "left_semi"))
-    shards = -(-max(listed.count(), 1) * BITS // max_bits)
+    shards = shards_for(listed.count(), universe.count(), max_bits)
     out = []
     for k in range(shards):
         own = lambda df, k=k: df.where(F.col("a") % shards == k) if shards > 1 else df

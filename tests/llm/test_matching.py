@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import tracemalloc
 from collections import Counter
 
@@ -220,6 +221,76 @@ def test_slices_of_items_give_the_same(spark, monkeypatch):
     assert D.matches(frame(spark, []), table).collect() == [] and D.matches(docs, table.limit(0)).collect() == []
 
 
+def seed_places(items, rare):
+    out = {}
+    for k, q, n in D.seeds(items, rare).tolist():
+        out.setdefault(tuple(items[k][q : q + n]), []).append((k, q))
+    return {g: sorted(p) for g, p in out.items()}
+
+
+def plain_seeds(items, rare):
+    """Runs made longer word by word."""
+    out, new = {}, {}
+    for k, words in enumerate(items):
+        n = min(D.N, len(words))
+        for q in range(len(words) - n + 1):
+            new.setdefault(tuple(words[q : q + n]), []).append((k, q))
+    while new:
+        longer = {}
+        for run, places in new.items():
+            for k, q in places:
+                if len(places) <= rare or q + len(run) == len(items[k]) and q == 0:
+                    out.setdefault(run, []).append((k, q))
+                elif q + len(run) < len(items[k]):
+                    longer.setdefault((*run, items[k][q + len(run)]), []).append((k, q))
+        new = longer
+    return {g: sorted(p) for g, p in out.items() if g}
+
+
+def test_seeds_equal_those_made_longer_word_by_word():
+    r = random.Random(1)
+    for _ in range(60):
+        items = [[b"%d" % r.randrange(r.choice([1, 2, 5])) for _ in range(r.randint(0, 25))] for _ in range(r.randint(0, 9))]
+        for rare in (1, 2, 5):
+            assert seed_places(items, rare) == plain_seeds(items, rare)
+            plain, known = plain_seeds(items, D.RARE), D.Seeds(items)
+            for words in [*items[:3], [b"%d" % r.randrange(3) for _ in range(30)]]:
+                want = sorted((k, p, q) for g, places in plain.items() for p in range(len(words) - len(g) + 1) if tuple(words[p : p + len(g)]) == g for k, q in places)
+                assert sorted(known.hits(words)) == want
+
+
+def test_repetitive_items_take_seconds(spark):
+    begun = time.time()
+    one = [b"ha"] * 4096
+    assert len(D.seeds([one] * 24 + [[b"ha", b"hi"] * 50_000])) > 0 and time.time() - begun < 60
+    table = spark.createDataFrame([(1, "ha " * 9000), (2, "a b c d e f g")], "item_id int, text string")
+    docs = frame(spark, ["ha " * 5000, "ha " * 10, "x a b c d e f g y", None])
+    got = {(x.doc_id, x.item_id) for x in D.matches(docs, table).collect()}
+    assert got == {(0, 1), (2, 2)}
+
+
+def test_matches_equal_all_alignments(spark):
+    """Every passage that holds a seed, aligned with its item: nothing else and nothing less."""
+    r = random.Random(12)
+    items = [" ".join(f"w{r.randrange(60)}" for _ in range(r.randint(3, 20))) for _ in range(12)]
+    texts = [" ".join(f"w{r.randrange(60)}" for _ in range(r.randint(0, 60))) for _ in range(40)]
+    texts += [" ".join(f"f{k}" for k in range(9)) + " " + " ".join(w for w in items[k % 12].split() if r.random() > 0.15) for k in range(30)]
+    listed = [D.words_of(t) for t in items]
+    plain = plain_seeds(listed, D.RARE)
+    want = {}
+    for i, t in enumerate(texts):
+        words = D.words_of(t)
+        hits = [(k, p, q) for g, places in plain.items() for p in range(len(words) - len(g) + 1) if tuple(words[p : p + len(g)]) == g for k, q in places]
+        for k, begin, end in D._passages(words, hits, [(None, w) for w in listed]):
+            score, a, z = D.align(words[begin:end], listed[k])
+            if score >= D.LEAST:
+                best = max(want.get((i, k), (0, 0, 0)), (score, -(begin + a), begin + z))
+                want[i, k] = best
+    table = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    got = {(x.doc_id, x.item_id): (x.score, -x.start, x.end) for x in D.matches(frame(spark, texts), table).collect()}
+    assert len(want) > 20 and got == want
+
+
 def test_common_runs_are_made_longer_and_long_items_cut(spark, monkeypatch):
     r = random.Random(8)
     monkeypatch.setattr(D, "RARE", 3)
@@ -228,8 +299,9 @@ def test_common_runs_are_made_longer_and_long_items_cut(spark, monkeypatch):
     items = [f"{head} k{i} " + " ".join("z%d" % r.randrange(5000) for _ in range(6)) for i in range(20)] + [head]
     book = ["b%d" % i for i in range(500)]
     table = spark.createDataFrame([*enumerate(items), (50, " ".join(book)), (51, items[3])], "item_id int, text string")
-    places = D.seeds([D.words_of(t) for t in items], 3)
-    assert max(map(len, places.values())) <= 3 and tuple(head.encode().split()) in places
+    listed = [D.words_of(t) for t in items]
+    places = seed_places(listed, 3)
+    assert max(map(len, places.values())) <= 3 and tuple(head.encode().split()) in places and places == plain_seeds(listed, 3)
     filler = " ".join("f%d" % i for i in range(30))
     texts = [f"{filler} {t} {filler}" for t in items] + [f"{filler} {' '.join(book[200:260])} {filler}", f"{filler} {' '.join(book[210:230])} {filler}"]
     got = {(x.doc_id, x.item_id): x.score for x in D.matches(frame(spark, texts), table).collect()}
@@ -291,6 +363,23 @@ def test_cascade_is_exact_for_its_universe(spark):
     assert urls.asked([cascade], hosts) == {h: i % 3 == 0 for i, h in enumerate(hosts)}
 
 
+def test_shards_are_sized_by_the_universe():
+    assert urls.shards_for(0, 0) == urls.shards_for(10, 1000) == 1
+    assert urls.shards_for(10**6, 10**10) > urls.shards_for(10**6, 10**9) >= 1
+    assert urls.shards_for(10**6, 10**10) * urls.MAX_BITS >= 10**10 * urls.MISTAKES * urls.BITS
+    assert len(urls.default_list()) == len(set(urls.default_list())) == 4242
+
+
+def test_shards_keep_within_the_bound(spark):
+    hosts = [f"h{i}.com" for i in range(6000)]
+    table = spark.createDataFrame([(h,) for h in hosts], "host string")
+    shards = urls.build(table, table.where("host like '%7.com'"), 4000)
+    assert len(shards) > 1
+    for x in shards:
+        assert sum(bits for bits, _ in x.value.levels) < 4 * 4000 + 2000 * len(x.value.levels)
+    assert urls.asked(shards, hosts) == {h: h.endswith("7.com") for h in hosts}
+
+
 # -- licenses ---------------------------------------------------------------------------------------------------------------------------
 
 
