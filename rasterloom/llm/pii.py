@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.rows import KEY_TYPE, row_key
+from rasterloom.llm.rows import KEY_TYPE, pieces, row_key
 from rasterloom.runtime import checkpoint
 
 KINDS = ("email", "ip", "card", "phone", "found")
@@ -161,7 +161,7 @@ def extract(docs: DataFrame, text: str, id: str) -> DataFrame:
     inst = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.binary()), ("patterns", pa.list_(pair))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             base, found, words = [], [], []
             for t in b.column(2).to_pylist():
                 spans = base_spans(t or "")

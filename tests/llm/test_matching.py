@@ -130,6 +130,26 @@ def test_dedup_equals_brute_force(spark, seed, shard, memory, hot):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == want[r.doc_id][3] for r in kept if r.doc_id is not None)
 
 
+def test_planted_passages_go_by_their_bytes(spark):
+    """Passages of 40 to 120 words in three texts each: gone where they have 400 bytes with what surrounds them alike, else whole."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    passages = [" ".join(word() for _ in range(n)) for n in range(40, 121, 4)]
+    exact = ["".join(r.choice("qrstuv") for _ in range(n)) for n in (397, 398, 399, 400)]  # a blank on each side belongs to what repeats
+    texts, sizes = [], []
+    for k, p in enumerate([*passages, *exact]):
+        for _ in range(3):
+            texts.append(" ".join(word() for _ in range(80)) + f"A{k}-{len(texts)} {p} B{k}-{len(texts)}" + " ".join(word() for _ in range(80)))
+            sizes.append(len(p.encode()) + 2)
+    clean = [" ".join(word() for _ in range(200)) for _ in range(20)]
+    got = {x.doc_id: x for x in suffix_dedup.digest(frame(spark, texts + clean)).collect()}
+    assert {n >= 400 for n in sizes[: 3 * len(passages)]} == {True, False}
+    for i, n in enumerate(sizes):
+        assert (got[i].n_removed, got[i].n_spans) == ((n, 1) if n >= 400 else (0, 0)), (i, n)
+        assert got[i].n_bytes == len(texts[i].encode())
+    assert all(got[len(texts) + k].n_removed == 0 for k in range(20))
+
+
 def test_dedup_at_full_length(spark):
     r = random.Random(9)
     make = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
