@@ -137,9 +137,9 @@ def test_planted_passages_go_by_their_bytes(spark):
     passages = [" ".join(word() for _ in range(n)) for n in range(40, 121, 4)]
     exact = ["".join(r.choice("qrstuv") for _ in range(n)) for n in (397, 398, 399, 400)]  # a blank on each side belongs to what repeats
     texts, sizes = [], []
-    for k, p in enumerate([*passages, *exact]):
-        for _ in range(3):
-            texts.append(" ".join(word() for _ in range(80)) + f"A{k}-{len(texts)} {p} B{k}-{len(texts)}" + " ".join(word() for _ in range(80)))
+    for p in [*passages, *exact]:
+        for own in "XYZ":
+            texts.append(" ".join(word() for _ in range(80)) + f"{own} {p} {own}" + " ".join(word() for _ in range(80)))
             sizes.append(len(p.encode()) + 2)
     clean = [" ".join(word() for _ in range(200)) for _ in range(20)]
     got = {x.doc_id: x for x in suffix_dedup.digest(frame(spark, texts + clean)).collect()}
