@@ -189,16 +189,19 @@ class Seeds:
 
     def hits(self, words: list[bytes]) -> list[tuple[int, int, int]]:
         """(item, word, place in the item) of each seed in a text."""
-        out, h = [], self.hashed(words)
-        longer = np.empty(0, np.int64)
-        if len(self.begun) and h.size >= N:
-            every = np.arange(h.size - N + 1)
-            longer = every[_in(self.begun, h.at(every, N))]
+        get = self.number.get
+        numbers = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        out, h = [], Hashes(numbers)
+        # runs of N words that the items have
+        upto = np.concatenate(([0], np.cumsum(numbers >= 0)))
+        every = np.flatnonzero(upto[N:] - upto[:-N] == N) if len(numbers) >= N else np.empty(0, np.int64)
+        short = h.at(every, N) if len(every) else np.empty(0, np.uint64)
+        longer = every[_in(self.begun, short)] if len(self.begun) and len(every) else every[:0]
         for n, (keys, places) in self.tables.items():
-            at = longer[longer <= h.size - n] if n > N else np.arange(max(0, h.size - n + 1))
+            at = every if n == N else longer[longer <= h.size - n] if n > N else np.flatnonzero(numbers[: max(0, h.size - n + 1)] >= 0)
             if not len(at):
                 continue
-            own = h.at(at, n)
+            own = short if n == N else h.at(at, n)
             low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
             for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
                 out += [(k, p, q) for k, q in places[a:b].tolist()]
