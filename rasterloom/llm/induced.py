@@ -2,10 +2,10 @@
 
 A text's suffixes are sorted by induction from its leftmost S-suffixes: a pass in ascending order of characters finds the
 L-suffixes, a pass in descending order the S-suffixes. Which leftmost S-suffix comes first follows from their substrings,
-sorted by the same two passes and named, and by recursion on the string of names. Each pass works through a bucket
-priority queue whose items, tuples of a suffix and its common prefix with the suffix before, are kept in blocks; above its memory
-bound the queue writes them to disk as a run sorted by bucket. Buckets are asked for in order, so runs are read once, from
-front to back. A bucket comes out block by block, and a block's predecessors are found by a few vector operations.
+sorted by the same two passes and named, and by recursion on the string of names until all names differ. Each pass works through
+a bucket priority queue whose items, tuples of a suffix and its common prefix with the suffix before, are kept in sorted runs; above
+its memory bound the queue writes them to disk. Buckets are asked for in order, so runs are read once, from front to back. A
+range of adjacent buckets comes out as one wave, whose predecessors are found by a few vector operations.
 
 Common prefixes are carried through all passes and levels:
 
@@ -15,8 +15,7 @@ Common prefixes are carried through all passes and levels:
 - Two leftmost S-suffixes share the substrings whose names they share, as the level below says, and after these as much as the
   next two names do, which is the least value between these names (:class:`RangeMin`).
 
-The recursion ends where all names differ, or where the string of names can be sorted within the memory bound (``INNER`` bytes a
-name). Texts, types, orders, names and values are mapped files that are read and written in blocks; what is held in memory
+Texts, types, orders, names and values are mapped files that are read and written in blocks; what is held in memory
 follows the bound and not the text. Suffixes come out in descending order, block by block.
 """
 
@@ -25,16 +24,12 @@ from __future__ import annotations
 import os
 import tempfile
 from array import array
-from bisect import bisect_right
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
 #: Value of neighbours that the sort of substrings cannot tell apart.
 EQUAL = 1 << 30
-#: Bytes for each name of a string of names that is sorted in memory.
-INNER = 96
 
 Block = tuple[np.ndarray, np.ndarray]
 
@@ -65,84 +60,103 @@ class Store:
 
 
 class Run:
-    """Items sorted by bucket in a file, read from front to back."""
-
-    def __init__(self, store: Store, buckets: np.ndarray, suffixes: np.ndarray, common: np.ndarray, sign: int) -> None:
-        self.sign, self.size, self.at, self.step = sign, len(buckets), 0, max(256, store.step // 16)
-        self.columns = [store.array(x.dtype, len(x)) for x in (buckets, suffixes, common)]
-        for to, x in zip(self.columns, (buckets, suffixes, common)):
-            to[:] = x
-        self._read()
-
-    def _read(self) -> None:
-        self.held = tuple(np.array(x[self.at : self.at + self.step]) for x in self.columns)
-        self.at += len(self.held[0])
-        self.used = 0
-        self.head = self.sign * int(self.held[0][0]) if len(self.held[0]) else None
-
-    def take(self, bucket: int, most: int) -> Iterator[Block]:
-        """At most about ``most`` items of the bucket, if they are next."""
-        key = self.sign * bucket
-        while self.head == key and most > 0:
-            end = self.used + int(np.searchsorted(self.sign * self.held[0][self.used :], key, "right"))
-            yield self.held[1][self.used : end], self.held[2][self.used : end]
-            most -= end - self.used
-            self.used = end
-            if end < len(self.held[0]):
-                self.head = self.sign * int(self.held[0][end])
-            else:
-                self._read()
+    """Items sorted by key, in memory or in mapped files, taken from front to back."""
+
+    def __init__(self, keys: np.ndarray, suffixes: np.ndarray, common: np.ndarray, disk: bool = False) -> None:
+        self.columns, self.at, self.disk = (keys, suffixes, common), 0, disk
+        self.head = int(keys[0])
+
+    def __len__(self) -> int:
+        return len(self.columns[0]) - self.at
+
+    def before(self, key: int) -> int:
+        """Number of items left with a lesser key."""
+        return int(np.searchsorted(self.columns[0][self.at :], np.int64(key))) if self.head < key else 0
+
+    def front(self, n: int) -> tuple[np.ndarray, ...]:
+        return tuple(x[self.at : self.at + n] for x in self.columns)
+
+    def skip(self, n: int) -> None:
+        self.at += n
+        if len(self):
+            self.head = int(self.columns[0][self.at])
 
 
 class BucketQueue:
-    """First in, first out within a bucket; buckets are asked for in ascending (or descending) order. Items beyond ``memory`` bytes are in sorted runs on disk."""
+    """First in, first out within a bucket; buckets are asked for in ascending (or descending) order, one or a range of them at once.
+
+    Items are kept in runs sorted by bucket. A new run is merged with the one before while that is not much larger, so that there are
+    few runs in memory; beyond ``memory`` bytes all of these go to disk as one. Older runs come first.
+    """
 
     def __init__(self, store: Store, memory: int, dtype: type, descending: bool = False) -> None:
-        self.store, self.memory, self.dtype, self.sign, self.held = store, memory, dtype, -1 if descending else 1, 0
-        self.blocks: dict[int, deque[Block]] = {}
-        self.runs: list[Run] = []
-
-    def push(self, bucket: int, suffixes: np.ndarray, common: np.ndarray) -> None:
-        own = self.blocks.get(bucket)
-        if own is None:
-            own = self.blocks[bucket] = deque()
-        own.append((suffixes, common))
-        self.held += suffixes.nbytes + common.nbytes + 256  # with the objects' own size
-        if self.held > self.memory:
-            self._spill()
-
-    def _spill(self) -> None:
-        order = sorted(self.blocks, key=lambda b: self.sign * b)
-        parts = [x for b in order for x in self.blocks[b]]
-        sizes = [sum(len(p) for p, _ in self.blocks[b]) for b in order]
-        self.runs.append(Run(self.store, np.repeat(np.array(order, np.int64), sizes), np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]).astype(self.dtype), self.sign))
-        self.blocks, self.held = {}, 0
+        self.store, self.memory, self.dtype, self.sign = store, memory, dtype, -1 if descending else 1
+        self.item = 16 + np.dtype(dtype).itemsize
+        self.disk: list[Run] = []
+        self.held: list[Run] = []
+
+    def push(self, chars: np.ndarray, suffixes: np.ndarray, common: np.ndarray) -> None:
+        """Add items in the order of their buckets."""
+        self.held.append(Run(self.sign * chars.astype(np.int64), suffixes, common.astype(self.dtype)))
+        while len(self.held) > 1 and len(self.held[-2]) <= 2 * len(self.held[-1]):
+            self._merge(2)
+        if self.item * sum(len(run.columns[0]) for run in self.held) > self.memory:
+            self._merge(len(self.held))
+            if 2 * self.item * len(self.held[0]) > self.memory:
+                columns = []
+                for x in self.held.pop().columns:
+                    columns.append(self.store.array(x.dtype, len(x)))
+                    columns[-1][:] = x
+                self.disk.append(Run(*columns, disk=True))
+
+    def _merge(self, n: int) -> None:
+        """Make the last ``n`` runs in memory one."""
+        parts = [run.front(len(run)) for run in self.held[-n:]]
+        columns = [np.concatenate(x) for x in zip(*parts)]
+        order = np.argsort(columns[0], kind="stable")
+        self.held[-n:] = [Run(*(x[order] for x in columns))]
+
+    def _clean(self) -> None:
+        self.disk = [run for run in self.disk if len(run)]
+        self.held = [run for run in self.held if len(run)]
+
+    def peek(self, bound: int, most: int) -> tuple[np.ndarray, ...] | None:
+        """Buckets, suffixes and values of all items before the bucket ``bound``; None: more than ``most``."""
+        found, size, key = [], 0, self.sign * bound
+        for run in (*self.disk, *self.held):
+            n = run.before(key)
+            size += n
+            if size > most:
+                return None
+            if n:
+                found.append(run.front(n))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.dtype)
+        keys, suffixes, common = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(keys, kind="stable")
+        return self.sign * keys[order], suffixes[order], common[order]
+
+    def drop(self, bound: int) -> None:
+        """Take the items before the bucket ``bound`` out."""
+        for run in (*self.disk, *self.held):
+            run.skip(run.before(self.sign * bound))
+        self._clean()
 
     def pop(self, bucket: int) -> Block | None:
-        """The next items of the bucket, in the order in which they came; None: it is empty."""
-        parts, size, step = [], 0, self.store.step
-        if self.runs:
-            key = self.sign * bucket
-            for run in self.runs:
-                if run.head == key and size < step:
-                    for x in run.take(bucket, step - size):
-                        parts.append(x)
-                        size += len(x[0])
-            if any(run.head is None for run in self.runs):
-                self.runs = [run for run in self.runs if run.head is not None]
-            if size >= step or any(run.head == key for run in self.runs):
-                return np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts])
-        own = self.blocks.get(bucket)
-        while own and size < step:
-            x = own.popleft()
-            self.held -= x[0].nbytes + x[1].nbytes + 256
-            parts.append(x)
-            size += len(x[0])
-        if own is not None and not own:
-            del self.blocks[bucket]
+        """At most ``store.step`` items of the bucket, which is the next one, in the order in which they came; None: it is empty."""
+        parts, left, key = [], self.store.step, self.sign * bucket
+        for run in (*self.disk, *self.held):
+            n = min(left, run.before(key + 1))
+            if n:
+                parts.append(tuple(x.copy() for x in run.front(n)[1:]))
+                run.skip(n)
+                left -= n
+            if not left:
+                break
         if not parts:
             return None
-        return np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]).astype(self.dtype)
+        self._clean()
+        return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -206,30 +220,23 @@ class Since:
         """
         self.wave += 1
         if len(chars):
-            order = np.argsort(chars, kind="stable")
+            chars = chars.astype(np.int64)
+            order = np.argsort(queue.sign * chars, kind="stable")
             chars, suffixes, at = chars[order], suffixes[order], chosen[order]
             first = np.flatnonzero(np.concatenate(([True], chars[1:] != chars[:-1])))
-            heads = chars[first].astype(np.int64)
+            heads = chars[first]
             low = np.empty(len(at), np.int64)
             low[1:] = at[:-1] + 1
             low[first] = 0
             values = _range_min(common, low, at).astype(np.int64)
-            carried = []
-            for t, rest in zip(self.last[heads].tolist(), self.rest[heads].tolist()):
-                k = bisect_right(self.waves, t)
-                carried.append(min(rest, self.values[k]) if k < len(self.values) else rest)
-            values[first] = np.minimum(values[first], carried)  # of a bucket's first item: not used
+            since = np.array([*self.values, self.cap], np.int64)[np.searchsorted(np.array(self.waves, np.int64), self.last[heads], "right")]
+            values[first] = np.minimum(values[first], np.minimum(self.rest[heads], since))  # of a bucket's first item: not used
             values = np.minimum(values + 1, self.cap).astype(self.dtype)
-            ends = np.append(first[1:], len(at))
-            last = at[ends - 1]
+            last = at[np.append(first[1:], len(at)) - 1]
             self.last[heads] = self.wave
-            rest = np.full(len(heads), self.cap, np.uint32)
-            more = np.flatnonzero(last + 1 < len(common))
-            if len(more):
-                rest[more] = _range_min(common, last[more] + 1, np.full(len(more), len(common) - 1))
-            self.rest[heads] = rest
-            for c, a, b in zip(heads.tolist(), first.tolist(), ends.tolist()):
-                queue.push(c, suffixes[a:b], values[a:b])
+            behind = np.append(np.minimum.accumulate(common[::-1])[::-1], self.cap)
+            self.rest[heads] = behind[last + 1]
+            queue.push(chars, suffixes, values)
         least = int(common.min())
         while self.values and self.values[-1] >= least:
             self.values.pop()
@@ -289,26 +296,89 @@ class Sorter:
             k, more = upto, more * 2
         return end
 
-    def induce(self, seeds: Callable[[int], Iterator[Block]], cap: int, dtype: type) -> Iterator[Block]:
-        """All suffixes in descending order with common prefixes, from the leftmost S-suffixes, as ``seeds`` has them for each character.
-
-        The value of each suffix is the common prefix with the one that came out before it.
+    def _commons(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The same for pairs."""
+        text, k, live = self.text, np.zeros(len(a), np.int64), np.arange(len(a))
+        while len(live):
+            live = live[text[a[live] + k[live]] == text[b[live] + k[live]]]
+            k[live] += 1
+            live = live[k[live] < self.cap]
+        return k
+
+    def _wave(self, parts: tuple[tuple[np.ndarray, ...], ...], cap: int, sign: int) -> tuple[np.ndarray, ...]:
+        """Buckets, suffixes, values and parts (0, 1) of two parts of whole buckets; in a bucket the first part comes first."""
+        keys, p, common = (np.concatenate(x) for x in zip(*parts))
+        kind = np.repeat((False, True), [len(x[0]) for x in parts])
+        order = np.argsort(sign * keys, kind="stable")
+        keys, p, common, kind = keys[order], p[order], common[order], kind[order]
+        same = keys[1:] == keys[:-1]
+        common[np.concatenate(([0], np.flatnonzero(~same) + 1))[: len(keys)]] = 0
+        turn = np.flatnonzero(same & (kind[1:] != kind[:-1])) + 1
+        # how long a run of a character goes on after a substring's end is not part of the substring
+        common[turn] = 1 if cap == EQUAL else self._commons(p[turn - 1], p[turn])
+        return keys, p, common, kind
+
+    def _predecessors(self, p: np.ndarray, kind: bool) -> Block:
+        """Which of the suffixes have a predecessor of the type, and these predecessors."""
+        chosen = np.flatnonzero(p > 0)
+        before = p[chosen] - 1
+        own = self.s[before] == kind
+        return chosen[own], before[own]
+
+    def induce(self, seeds: tuple[np.ndarray, np.ndarray | None, np.ndarray], cap: int, dtype: type) -> Iterator[Block]:
+        """All suffixes in descending order with common prefixes, from the leftmost S-suffixes.
+
+        seeds: these by bucket, their values (None: ``EQUAL``), and where each bucket begins. The value of each suffix is the common
+        prefix with the one that came out before it. A range of buckets is one wave up to the first bucket that the wave itself feeds;
+        the next range is twice as wide as what that was. A bucket that feeds itself, or has more than a block, goes block by block.
         """
-        text, s, store = self.text, self.s, self.store
-        share = store.memory // 4
-        queue, since = BucketQueue(store, share, dtype), Since(store, self.width, cap, dtype)
+        text, store, width = self.text, self.store, self.width
+        share, step = store.memory // 4, store.step
+        up, up_values, bounds = seeds
+        queue, since = BucketQueue(store, share, dtype), Since(store, width, cap, dtype)
         n = len(text)
         ls, l_common = store.array(np.int64, n - self.n_s), store.array(dtype, n - self.n_s)
-        ends, at = store.array(np.int64, self.width), 0
-
-        def wave(suffixes: np.ndarray, common: np.ndarray, kind: bool) -> None:
-            chosen = np.flatnonzero(suffixes > 0)
-            before = suffixes[chosen] - 1
-            own = s[before] == kind
-            before = before[own]
-            since.dispatch(queue, text[before], before, chosen[own], common)
-
-        for c in range(self.width):
+        ends, at = store.array(np.int64, width), 0
+
+        def seeded(a: int, b: int) -> Block:
+            return np.array(up[a:b]), np.full(b - a, EQUAL, dtype) if up_values is None else up_values[a:b].astype(dtype)
+
+        def single(p: np.ndarray, common: np.ndarray, kind: bool) -> None:
+            chosen, before = self._predecessors(p, kind)
+            since.dispatch(queue, text[before], before, chosen, common)
+
+        c, reach = 0, 2
+        while c < width:
+            d = min(width, c + reach)
+            found = None
+            if d - c > 1:
+                x, y = int(bounds[c]), int(bounds[d])
+                found = queue.peek(d, step - (y - x)) if y - x <= step else None
+                if found is None:
+                    reach = (d - c) // 2
+                    continue
+                some = seeded(x, y)
+                keys, p, common, kind = self._wave((found, (text[some[0]].astype(np.int64), *some)), cap, 1)
+                chosen, before = self._predecessors(p, False)
+                chars = text[before]
+                fed = chars[chars < d]
+                t = int(fed.min()) if len(fed) else d
+                if t > c:
+                    reach = 2 * (t - c)
+                    if t < d:
+                        size = int(np.searchsorted(keys, t))
+                        keys, p, common, kind = keys[:size], p[:size], common[:size], kind[:size]
+                        inside = chosen < size
+                        chosen, before, chars = chosen[inside], before[inside], chars[inside]
+                    queue.drop(t)
+                    ends[c:t] = at + np.searchsorted(keys[~kind], np.arange(c, t), "right")
+                    size = int(np.count_nonzero(~kind))
+                    ls[at : at + size], l_common[at : at + size] = p[~kind], common[~kind]
+                    at += size
+                    if len(p):
+                        since.dispatch(queue, chars, before, chosen, common)
+                    c = t
+                    continue
             last = None
             while (found := queue.pop(c)) is not None:
                 if last is None:
@@ -316,36 +386,66 @@ class Sorter:
                 last = int(found[0][-1])
                 ls[at : at + len(found[0])], l_common[at : at + len(found[0])] = found
                 at += len(found[0])
-                wave(*found, False)
+                single(*found, False)
             ends[c] = at
-            fresh = True
-            for found in seeds(c):
-                if fresh:
-                    # how long a run of this character goes on after a substring's end is not part of the substring
+            x, y = int(bounds[c]), int(bounds[c + 1])
+            for a in range(x, y, step):
+                found = seeded(a, min(y, a + step))
+                if a == x:
                     found[1][0] = 0 if last is None else 1 if cap == EQUAL else self._common(last, int(found[0][0]), cap)
-                    fresh = False
-                wave(*found, False)
-        queue, since = BucketQueue(store, share, dtype, descending=True), Since(store, self.width, cap, dtype)
-        for c in range(self.width - 1, -1, -1):
+                single(*found, False)
+            c, reach = c + 1, max(2, reach // 2)
+        queue, since = BucketQueue(store, share, dtype, descending=True), Since(store, width, cap, dtype)
+        c, reach = width - 1, 2
+        while c >= 0:
+            d = max(-1, c - reach)
+            begin, end = int(ends[d]) if d >= 0 else 0, int(ends[c])
+            if c - d > 1:
+                found = queue.peek(d, step - (end - begin)) if end - begin <= step else None
+                if found is None:
+                    reach = (c - d) // 2
+                    continue
+                down = ls[begin:end][::-1]
+                values = np.zeros(len(down), dtype)
+                values[1:] = l_common[begin + 1 : end][::-1]
+                keys, p, common, kind = self._wave((found, (text[down].astype(np.int64), down, values)), cap, -1)
+                chosen, before = self._predecessors(p, True)
+                chars = text[before]
+                fed = chars[chars.astype(np.int64) > d]
+                t = int(fed.max()) if len(fed) else d
+                if t < c:
+                    reach = 2 * (c - t)
+                    if t > d:
+                        size = int(np.searchsorted(-keys, -t))
+                        p, common = p[:size], common[:size]
+                        inside = chosen < size
+                        chosen, before, chars = chosen[inside], before[inside], chars[inside]
+                    queue.drop(t)
+                    if len(p):
+                        yield p, common
+                        since.dispatch(queue, chars, before, chosen, common)
+                    c = t
+                    continue
             last = None
             while (found := queue.pop(c)) is not None:
                 if last is None:
                     found[1][0] = 0
                 last = int(found[0][-1])
                 yield found
-                wave(*found, True)
-            begin, end = int(ends[c - 1]) if c else 0, int(ends[c])
+                single(*found, True)
+            begin = int(ends[c - 1]) if c else 0
             after = 0  # common prefix of the block's greatest suffix with what came out before
             if end > begin and last is not None:
                 after = self._common(last, int(ls[end - 1]), cap)
             while end > begin:
-                a = max(begin, end - store.step)
+                a = max(begin, end - step)
                 down, values = ls[a:end][::-1].copy(), np.empty(end - a, dtype)
                 values[0] = after
                 values[1:] = l_common[a + 1 : end][::-1]
                 after, end = l_common[a], a
                 yield down, values
-                wave(down, values, True)
+                single(down, values, True)
+            c, reach = c - 1, max(2, reach // 2)
         yield np.array([n - 1]), np.zeros(1, dtype)
 
     @property
@@ -361,20 +461,19 @@ class Sorter:
     def _named(self) -> tuple[np.ndarray, np.ndarray, int]:
         """Leftmost S-suffixes in descending order of their substrings, the common prefix of each with the one before, and the number of different ones."""
         store, lms, text = self.store, self.lms, self.text
-        queue = BucketQueue(store, store.memory // 4, np.uint32)
+        bounds = self._bounds(lms)
+        up, free = store.array(np.int64, len(lms)), store.array(np.int64, self.width)
+        free[:] = bounds[:-1]
         for a, b in store.blocks(len(lms)):
             own = np.array(lms[a:b])
             c = text[own]
             by = np.argsort(c, kind="stable")
-            c, own = c[by], own[by]
-            cut = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-            for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(c)]):
-                queue.push(int(c[x]), own[x:y], np.full(y - x, EQUAL, np.uint32))
-
-        def seeds(c: int) -> Iterator[Block]:
-            while (found := queue.pop(c)) is not None:
-                yield found
-
+            c, own = c[by].astype(np.int64), own[by]
+            first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+            sizes = np.diff(np.append(first, len(c)))
+            up[free[c] + np.arange(len(c)) - np.repeat(first, sizes)] = own
+            free[c[first]] += sizes
+        seeds = up, None, bounds
         order, common, at, kinds = store.array(np.int64, len(lms)), store.array(np.uint32, len(lms)), 0, 0
         for p, least in picked(self.induce(seeds, EQUAL, np.uint32), self._is_lms, EQUAL):
             order[at : at + len(p)], common[at : at + len(p)] = p, least
@@ -382,6 +481,17 @@ class Sorter:
             kinds += int(np.count_nonzero(least < EQUAL))
         return order, common, kinds
 
+    def _bounds(self, p: np.ndarray) -> np.ndarray:
+        """Where the bucket of each character begins among the suffixes sorted, and their number."""
+        bounds, total = self.store.array(np.int64, self.width + 1), 0
+        for a, b in self.store.blocks(len(p)):
+            c, n = np.unique(self.text[p[a:b]], return_counts=True)
+            bounds[c.astype(np.int64) + 1] += n
+        for a, b in self.store.blocks(self.width + 1):
+            bounds[a:b] = np.cumsum(bounds[a:b]) + total
+            total = int(bounds[b - 1])
+        return bounds
+
     def seeds(self) -> Block:
         """The leftmost S-suffixes in ascending order, with the common prefix of each with the one before, up to the cap."""
         store, lms, m, cap = self.store, self.lms, len(self.lms), self.cap
@@ -408,9 +518,8 @@ class Sorter:
             reduced[a:b] = names[lms[a:b] >> 1]
         del names, order, common
         ranges, most = RangeMin(between, store), cap // 2 + 2
-        below = _doubled(reduced, most, store.step) if INNER * m <= store.memory else Sorter(reduced, kinds, store, most).sorted()
         at, last = m, None
-        for p, shared in below:
+        for p, shared in Sorter(reduced, kinds, store, most).sorted():
             before = np.concatenate((p[:1] if last is None else last, p[:-1]))
             last, q = p[-1:], np.minimum(shared, most).astype(np.int64)
             value = np.full(len(p), cap, np.int64)
@@ -442,57 +551,7 @@ class Sorter:
     def sorted(self) -> Iterator[Block]:
         """All suffixes in descending order with the common prefix with the one before, up to the cap."""
         up, values = self.seeds()
-        counts = self.store.array(np.int64, self.width)
-        for a, b in self.store.blocks(len(up)):
-            c, n = np.unique(self.text[up[a:b]], return_counts=True)
-            counts[c] += n
-        at = 0
-
-        def seeds(c: int) -> Iterator[Block]:
-            nonlocal at
-            end = at + int(counts[c])
-            while at < end:
-                b = min(end, at + self.store.step)
-                yield np.array(up[at:b]), np.array(values[at:b])
-                at = b
-
-        return self.induce(seeds, self.cap, np.uint16)
-
-
-def _doubled(text: np.ndarray, cap: int, step: int) -> Iterator[Block]:
-    """The same as :meth:`Sorter.sorted` in memory, by doubling the length of the prefixes that are ranked.
-
-    Two suffixes share the sum of those powers of two for which what is left of them has equal ranks.
-    """
-    rank, k, ranks = np.array(text, np.int32), 1, []
-    while True:
-        if 2 * k <= 2 * cap:
-            ranks.append(rank)
-        after = np.zeros(len(rank), np.int64)
-        after[: max(0, len(rank) - k)] = rank[k:].astype(np.int64) + 1
-        key = rank.astype(np.int64) * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-        del key, after
-        rank = np.empty(len(text), np.int32)
-        rank[order] = np.cumsum(new) - 1
-        if new.all():
-            break
-        k *= 2
-    order = order[::-1]
-    for a in range(0, len(order), step):
-        p = order[a : a + step]
-        before = np.concatenate((order[a - 1 : a] if a else p[:1], p[:-1]))
-        shared = np.zeros(len(p), np.int64)
-        for j in range(len(ranks) - 1, -1, -1):
-            x, y = p + shared, before + shared
-            inside = np.maximum(x, y) < len(text)
-            same = np.zeros(len(p), bool)
-            same[inside] = ranks[j][x[inside]] == ranks[j][y[inside]]
-            shared[same] += 1 << j
-        if a == 0:
-            shared[0] = 0
-        yield p, np.minimum(shared, cap)
+        return self.induce((up, values, self._bounds(up)), self.cap, np.uint16)
 
 
 class Shard:
