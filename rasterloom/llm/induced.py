@@ -62,8 +62,8 @@ class Store:
 class Run:
     """Items sorted by key, in memory or in mapped files, taken from front to back."""
 
-    def __init__(self, keys: np.ndarray, suffixes: np.ndarray, common: np.ndarray, disk: bool = False) -> None:
-        self.columns, self.at, self.disk = (keys, suffixes, common), 0, disk
+    def __init__(self, keys: np.ndarray, suffixes: np.ndarray, common: np.ndarray) -> None:
+        self.columns, self.at = (keys, suffixes, common), 0
         self.head = int(keys[0])
 
     def __len__(self) -> int:
@@ -86,9 +86,12 @@ class BucketQueue:
     """First in, first out within a bucket; buckets are asked for in ascending (or descending) order, one or a range of them at once.
 
     Items are kept in runs sorted by bucket. A new run is merged with the one before while that is not much larger, so that there are
-    few runs in memory; beyond ``memory`` bytes all of these go to disk as one. Older runs come first.
+    few runs in memory; beyond ``memory`` bytes all of these go to disk as one. Runs on disk are merged likewise where there are more
+    than ``RUNS``. Older runs come first.
     """
 
+    RUNS = 8
+
     def __init__(self, store: Store, memory: int, dtype: type, descending: bool = False) -> None:
         self.store, self.memory, self.dtype, self.sign = store, memory, dtype, -1 if descending else 1
         self.item = 16 + np.dtype(dtype).itemsize
@@ -107,7 +110,9 @@ class BucketQueue:
                 for x in self.held.pop().columns:
                     columns.append(self.store.array(x.dtype, len(x)))
                     columns[-1][:] = x
-                self.disk.append(Run(*columns, disk=True))
+                self.disk.append(Run(*columns))
+                while len(self.disk) > self.RUNS and len(self.disk[-2]) <= 2 * len(self.disk[-1]):
+                    self.disk[-2:] = [self._merged(*self.disk[-2:])]
 
     def _merge(self, n: int) -> None:
         """Make the last ``n`` runs in memory one."""
@@ -116,6 +121,18 @@ class BucketQueue:
         order = np.argsort(columns[0], kind="stable")
         self.held[-n:] = [Run(*(x[order] for x in columns))]
 
+    def _merged(self, one: Run, two: Run) -> Run:
+        """Two runs on disk as one, block by block; of a bucket the older run's items come first."""
+        n, m = len(one), len(two)
+        left, right = one.front(n), two.front(m)
+        columns = [self.store.array(x.dtype, n + m) for x in left]
+        for own, other, side in ((left, right, "left"), (right, left, "right")):
+            for a, b in self.store.blocks(len(own[0])):
+                to = np.arange(a, b) + np.searchsorted(other[0], own[0][a:b], side)
+                for x, y in zip(columns, own):
+                    x[to] = y[a:b]
+        return Run(*columns)
+
     def _clean(self) -> None:
         self.disk = [run for run in self.disk if len(run)]
         self.held = [run for run in self.held if len(run)]
@@ -161,14 +178,15 @@ class BucketQueue:
 
 def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Least of ``values[low..high]``, both ends included, for each pair."""
-    out = np.empty(len(low), values.dtype)
+    if not len(low):
+        return values[:0]
     level = np.frexp((high - low + 1).astype(np.float64))[1] - 1
-    table = values
-    for k in range(int(level.max()) + 1 if len(level) else 0):
-        at = np.flatnonzero(level == k)
-        out[at] = np.minimum(table[low[at]], table[high[at] - (1 << k) + 1])
-        table = np.minimum(table[: -(1 << k)], table[1 << k :]) if len(table) > 1 << k else table[:0]
-    return out
+    tables = np.empty((int(level.max()) + 1, len(values)), values.dtype)
+    tables[0] = values
+    for k in range(1, len(tables)):
+        half = 1 << (k - 1)
+        np.minimum(tables[k - 1, : -2 * half + 1 or None], tables[k - 1, half : len(values) - half + 1], out=tables[k, : len(values) - 2 * half + 1])
+    return np.minimum(tables[level, low], tables[level, high + 1 - (1 << level)])
 
 
 class RangeMin:

@@ -39,9 +39,9 @@ LENGTH, GRAM, PART = 400, 32, 64
 #: Different parts of a core that are sorted together at most, and the sizes of finer parts.
 HOT, FINER = 1024, (8, 1)
 #: Bytes of a text whose grams are hashed at once, and bytes that the sorter of a shard keeps in memory.
-CHUNK, MEMORY = 1 << 19, 96 << 20
-#: Bytes of parts that one call of the sorter takes; the parts of a core stay together.
-SHARD = 2 << 20
+CHUNK, MEMORY = 1 << 19, 4 << 20
+#: Bytes of parts that one call of the sorter takes, its arrays and queues some 50 times as much; the parts of a core stay together.
+SHARD = 4 << 20
 
 _PLACE = np.uint64((1 << 20) - 1)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
