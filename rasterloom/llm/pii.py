@@ -8,7 +8,8 @@ patterns: the two words before it, and the word before with the word after it. P
    precision is the share of these places that hold an instance. Words that precede everything have a low one.
 2. Pattern and instance scores pass over the graph. A seed scores one; a pattern with ``SUPPORT`` confident instances scores
    its precision times the mean score of its instances (with one doubtful instance added); another instance scores one
-   minus the product of its patterns' doubts. So what a pattern finds supports further patterns. Rounds end when no
+   minus the product of its patterns' doubts. So what a pattern finds supports further patterns, and itself: in each round
+   a pattern gets the score at which it stands still. Instances that are alike are one with a weight. Rounds end when no
    pattern comes in and no score changes by more than ``STILL``.
 3. Tokens in a pattern with a final score of ``CONFIDENT`` are spans of kind ``found``.
 
@@ -33,6 +34,8 @@ from rasterloom.runtime import checkpoint
 KINDS = ("email", "ip", "card", "phone", "found")
 FOUND = 4
 SUPPORT, STILL, CONFIDENT = 3, 1e-4, 0.6
+#: The most that one pattern counts for an instance.
+MOST = 0.999
 #: Forms of patterns: the two words before, and the words on both sides.
 LEFT, BOTH = 0, 1
 #: Bits of the filter over patterns at most (32 MB), and bytes of texts whose words are hashed at once.
@@ -241,18 +244,39 @@ def confident_patterns(edges: DataFrame, docs: DataFrame, text: str, support: in
     wide = checkpoint(edges.groupBy("p", "q").agg(F.count("*").alias("kinds"), F.sum("n").alias("held")).where(F.col("kinds") >= support))
     precision = wide.join(count_contexts(docs, wide, text), ["p", "q"], "left").select("p", "q", (F.col("held") / F.greatest(F.coalesce("places", F.lit(0)), "held")).alias("precision"))
     graph = checkpoint(edges.join(precision.where(F.col("precision") >= confident), ["p", "q"]).select("p", "q", "instance", "seed", "precision"))
-    score = graph.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
-    before = None
+    graph = checkpoint(_condensed(graph))
+    state = graph.groupBy("instance").agg(F.max("seed").cast("double").alias("score"), F.lit(0.0).alias("doubt"))
+    before = graph.select("p", "q", F.lit(None).cast("double").alias("before")).limit(0)
     while True:
-        sure = F.count(F.when(F.col("score") >= confident, 1))
-        scored = graph.join(score, "instance").groupBy("p", "q").agg((F.max("precision") * F.sum("score") / (F.count("*") + 1)).alias("score"), sure.alias("sure"))
-        scored = checkpoint(scored.where(F.col("sure") >= support).select("p", "q", "score"))
-        moved = scored if before is None else scored.join(before, ["p", "q"], "left").where(F.col("before").isNull() | (F.col("score") - F.col("before") > still))
+        scored = checkpoint(_scored(graph, state, before, confident).where(F.col("sure") >= support).select("p", "q", "score"))
+        moved = scored.join(before, ["p", "q"], "left").where(F.col("before").isNull() | (F.col("score") - F.col("before") > still))
         if moved.isEmpty():
             return scored.where(F.col("score") >= confident)
         before = scored.withColumnRenamed("score", "before")
-        doubt = F.sum(F.log(1 - F.least(F.coalesce("score", F.lit(0.0)), F.lit(0.999))))
-        score = checkpoint(graph.join(scored, ["p", "q"], "left").groupBy("instance").agg(F.greatest(F.max("seed").cast("double"), 1 - F.exp(doubt)).alias("score")))
+        doubt = F.sum(F.log(1 - F.least(F.coalesce("before", F.lit(0.0)), F.lit(MOST))))
+        state = graph.join(before, ["p", "q"], "left").groupBy("instance").agg(F.max("seed").alias("seed"), doubt.alias("doubt"))
+        state = checkpoint(state.select("instance", F.greatest(F.col("seed").cast("double"), 1 - F.exp("doubt")).alias("score"), "doubt"))
+
+
+def _condensed(graph: DataFrame) -> DataFrame:
+    """The graph with one instance for all that are alike, ``weight`` in number: seeds or not, in the same patterns (128 bits)."""
+    alike = graph.groupBy("instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("p", "q")).alias("a"), F.bit_xor(F.xxhash64("q", "p", F.lit(1))).alias("b"))
+    one = alike.groupBy("seed", "n", "a", "b").agg(F.min("instance").alias("instance"), F.count("*").alias("weight"))
+    return graph.join(one.select("instance", "weight"), "instance")
+
+
+def _scored(graph: DataFrame, state: DataFrame, before: DataFrame, confident: float) -> DataFrame:
+    """``p, q, score, sure``: the score at which a pattern stands still while the others keep theirs, and its confident instances.
+
+    With d for the doubt of an instance's other patterns its score is 1 - d + d * score, so the mean is linear in the
+    pattern's own score, and what would take rounds without end where few of many instances are seeds is one division.
+    """
+    own = F.least(F.coalesce("before", F.lit(0.0)), F.lit(MOST))
+    rest = F.when(F.col("seed") == 1, 0.0).otherwise(F.exp(F.col("doubt") - F.log(1 - own)))
+    edges = graph.join(state, "instance").join(before, ["p", "q"], "left").withColumn("rest", rest)
+    sums = edges.groupBy("p", "q").agg(F.max("precision").alias("precision"), F.sum("weight").alias("n"), F.sum(F.col("weight") * (1 - F.col("rest"))).alias("fixed"), F.sum(F.col("weight") * F.col("rest")).alias("free"), F.coalesce(F.sum(F.when(F.col("score") >= confident, F.col("weight"))), F.lit(0)).alias("sure"))
+    still = F.expr("precision * fixed / (n + 1 - precision * free)")
+    return sums.select("p", "q", F.when(still <= MOST, still).otherwise(F.col("precision") * (F.col("fixed") + MOST * F.col("free")) / (F.col("n") + 1)).alias("score"), "sure")
 
 
 def find(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
