@@ -3,7 +3,9 @@
 A sample of both sides' boxes, bounded on the driver, gives a quad-tree whose leaves hold about as many boxes each; leaves at the
 rim reach to infinity. A row goes to every leaf that its box touches, rows meet on equal leaves, and of the leaves that a pair
 has in common only the one with the pair's reference point, the lower left corner of what both boxes share, keeps it, so no
-pair comes twice and nothing has to be made distinct. Leaves that cannot be split further, as very many boxes lie at one place,
+pair comes twice. What meets are the different geometries, not the rows: boxes and predicates are asked once for each pair of
+geometries that differ, and Spark joins the rows of both sides to the pairs that hold, the smaller side first. Rows of a geometry
+that very many rows have are dealt to parts in these joins, the other side is repeated for each part. Leaves that cannot be split further, as very many boxes lie at one place,
 are cut by salt: the side with more rows there is dealt to parts, the other one is repeated for each part.
 
 The sample decides where rows meet, never which rows do: the result is the same for every sample. What is broadcast is the
@@ -98,12 +100,27 @@ def grow(left: np.ndarray, right: np.ndarray, n_left: float, n_right: float) ->
     return Tree(np.array(box), np.array(child), np.array(leaf), np.where(more, parts[:, 0], 1), np.where(more, 1, parts[:, 1]))
 
 
-def _sampled(boxes: DataFrame) -> tuple[np.ndarray, float]:
-    """At most ``SAMPLE`` boxes and the number of rows that they stand for: the smallest of random numbers, one for each row."""
-    rows = boxes.select("_box.*", F.rand(7).alias("r")).where("minX is not null").orderBy("r").limit(SAMPLE).collect()
+@dataclass
+class Sample:
+    """Boxes of different geometries, rows and different geometries that they stand for, and parts of geometries (hash) with very many rows."""
+
+    boxes: np.ndarray
+    rows: float
+    different: float
+    parts: dict[int, int]
+
+
+def _sampled(df: DataFrame, geometry: str) -> Sample:
+    """From at most ``SAMPLE`` rows with a box: the smallest of random numbers, one for each row."""
+    boxes = df.select(UDF_BOX(df[geometry]).alias("_box"), F.xxhash64(df[geometry]).alias("h"))
+    rows = boxes.select("_box.*", "h", F.rand(7).alias("r")).where("minX is not null").orderBy("r").limit(SAMPLE).collect()
     found = np.array([r[:4] for r in rows], float).reshape(-1, 4)
-    found = found[np.isfinite(found).all(axis=1)]
-    return found, len(rows) / rows[-1]["r"] if len(rows) == SAMPLE else float(len(rows))
+    number = len(rows) / rows[-1]["r"] if len(rows) == SAMPLE else float(len(rows))
+    _, first, times = np.unique(np.array([r["h"] for r in rows], np.int64), return_index=True, return_counts=True)
+    each = number / max(len(rows), 1)
+    parts = {rows[i]["h"]: math.ceil(t * each / HOT) for i, t in zip(first.tolist(), times.tolist()) if t * each > HOT and t > 1}
+    found = found[first]
+    return Sample(found[np.isfinite(found).all(axis=1)], number, each * len(first), parts)
 
 
 def _cells(tree, left: bool):
@@ -146,22 +163,57 @@ def geometry_join(left: DataFrame, right: DataFrame, left_geometry: str, right_g
     """
     if predicate not in MEETING:
         raise ValueError(f"no join by {predicate}: one of {', '.join(MEETING)}")
-    box_a, box_b, cell_a, cell_b = (_unused(n, left, right) for n in ("_left_box", "_right_box", "_left_cell", "_right_cell"))
-    (sample_a, n_a), (sample_b, n_b) = (_sampled(df.select(UDF_BOX(df[g]).alias("_box"))) for df, g in ((left, left_geometry), (right, right_geometry)))
-    tree = left.sparkSession.sparkContext.broadcast(grow(sample_a, sample_b, n_a, n_b))
-    salt = lambda df, g: F.pmod(F.xxhash64(*[df[c] for c in df.columns if _hashable(df.schema[c].dataType)]), F.lit(1 << 30))
+    sample_a, sample_b = _sampled(left, left_geometry), _sampled(right, right_geometry)
+    key_a, key_b, part_a, part_b, pair_a, pair_b, pair_part = (_unused(n, left, right) for n in ("_left_geometry", "_right_geometry", "_left_part", "_right_part", "_left_pair", "_right_pair", "_pair_part"))
+    pairs = _pairs(left.select(left[left_geometry].alias(pair_a)), right.select(right[right_geometry].alias(pair_b)), sample_a, sample_b, pair_a, pair_b, predicate)
+    spark = left.sparkSession
+
+    def with_part(df: DataFrame, g: str, key: str, part: str, parts: dict[int, int]) -> DataFrame:
+        """All rows, with their geometry as a key and the part of it that they are dealt to."""
+        salt = F.pmod(F.xxhash64(*[df[c] for c in df.columns if _hashable(df.schema[c].dataType)]), F.lit(1 << 30))
+        own = df.select("*", df[g].alias(key), salt.alias(part)) if parts else df.select("*", df[g].alias(key), F.lit(0).alias(part))
+        return _dealt(own, key, part, lambda n: F.pmod(F.col(part), n).cast("int"), spark, parts).where(F.col(key).isNotNull())
+
+    def with_parts(df: DataFrame, key: str, parts: dict[int, int]) -> DataFrame:
+        return _dealt(df.withColumn(pair_part, F.lit(0)), key, pair_part, lambda n: F.explode(F.sequence(F.lit(0), n - 1)), spark, parts)
+
+    a = with_part(left, left_geometry, key_a, part_a, sample_a.parts)
+    b = with_part(right, right_geometry, key_b, part_b, sample_b.parts)
+    on_a = (F.col(key_a) == F.col(pair_a)) & (F.col(part_a) == F.col(pair_part))
+    on_b = (F.col(key_b) == F.col(pair_b)) & (F.col(part_b) == F.col(pair_part))
+    own = (key_a, key_b, part_a, part_b, pair_a, pair_b, pair_part)
+    if sample_a.rows <= sample_b.rows:
+        some = a.join(with_parts(pairs, pair_a, sample_a.parts), on_a).drop(key_a, part_a, pair_a, pair_part)
+        return with_parts(some, pair_b, sample_b.parts).join(b, on_b).drop(*own)
+    some = with_parts(pairs, pair_b, sample_b.parts).join(b, on_b).drop(key_b, part_b, pair_b, pair_part)
+    return a.join(with_parts(some, pair_a, sample_a.parts), on_a).drop(*own)
+
+
+def _dealt(df: DataFrame, key: str, part: str, value, spark, parts: dict[int, int]) -> DataFrame:
+    """``part`` made by ``value(number of parts)`` of the key; where no key has parts the rows are as they come."""
+    if not parts:
+        return df
+    hash, number = _unused("_hash", df), _unused("_parts", df)
+    table = F.broadcast(spark.createDataFrame(sorted(parts.items()), f"{hash} long, {number} int"))
+    found = df.join(table, F.xxhash64(F.col(key)) == F.col(hash), "left")
+    return found.withColumn(part, value(F.coalesce(F.col(number), F.lit(1)))).drop(hash, number)
+
+
+def _pairs(left: DataFrame, right: DataFrame, sample_a: Sample, sample_b: Sample, geometry_a: str, geometry_b: str, predicate: str) -> DataFrame:
+    """The different geometries of both sides (one column each) for which the predicate holds, each pair once."""
+    tree = left.sparkSession.sparkContext.broadcast(grow(sample_a.boxes, sample_b.boxes, sample_a.different, sample_b.different))
 
     def placed(df: DataFrame, g: str, box: str, cell: str, is_left: bool) -> DataFrame:
-        with_box = df.withColumn(box, UDF_BOX(df[g])).where(F.col(box).isNotNull())
-        return with_box.withColumn(cell, F.explode(_cells(tree, is_left)(F.col(box), salt(df, g))))
+        with_box = df.where(F.col(g).isNotNull()).distinct().withColumn(box, UDF_BOX(F.col(g))).where(F.col(box).isNotNull())
+        return with_box.withColumn(cell, F.explode(_cells(tree, is_left)(F.col(box), F.pmod(F.xxhash64(g), F.lit(1 << 30)))))
 
-    a, b = placed(left, left_geometry, box_a, cell_a, True), placed(right, right_geometry, box_b, cell_b, False)
-    p, q, c = a[box_a], b[box_b], a[cell_a]
+    a, b = placed(left, geometry_a, "_box_a", "_cell_a", True), placed(right, geometry_b, "_box_b", "_cell_b", False)
+    p, q, c = F.col("_box_a"), F.col("_box_b"), F.col("_cell_a")
     x, y = F.greatest(p["minX"], q["minX"]), F.greatest(p["minY"], q["minY"])
     meet = (p["minX"] <= q["maxX"]) & (q["minX"] <= p["maxX"]) & (p["minY"] <= q["maxY"]) & (q["minY"] <= p["maxY"])
     here = (x >= c["x0"]) & (x < c["x1"]) & (y >= c["y0"]) & (y < c["y1"])
-    pairs = a.join(b, (c["leaf"] == b[cell_b]["leaf"]) & meet & here)
-    return pairs.where(UDF_PREDICATES[predicate](a[left_geometry], b[right_geometry])).drop(box_a, box_b, cell_a, cell_b)
+    pairs = a.join(b, (c["leaf"] == F.col("_cell_b")["leaf"]) & meet & here)
+    return pairs.where(UDF_PREDICATES[predicate](F.col(geometry_a), F.col(geometry_b))).select(geometry_a, geometry_b)
 
 
 def _hashable(kind: T.DataType) -> bool:

@@ -262,3 +262,23 @@ def test_histograms_merge_in_parts(spark):
         want = {float(v): 4 * own.count(v) for v in set(own)}
         assert {b["value"]: b["count"] for b in r.histogram["bins"]} == want
         assert (r.histogram["stats"] is None) == (r.k == 5)
+
+
+@pytest.mark.parametrize("hot", [50_000, 10])
+def test_geometry_join_asks_once_for_equal_geometries(spark, monkeypatch, hot):
+    """200 x 90 rows of 4 x 3 geometries: the predicate sees pairs of geometries that differ, the result has all pairs of rows."""
+    monkeypatch.setattr(spatial, "HOT", hot)
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.arrow_udf("boolean")
+    def counted(a, b):
+        asked.add(len(a))
+        return G.UDF_PREDICATES["intersects"].func(a, b)
+
+    monkeypatch.setattr(spatial, "UDF_PREDICATES", {"intersects": counted})
+    left = [G.box(i % 4, 0, i % 4 + 1.5, 1) for i in range(200)]
+    right = [G.point(i % 3 + 0.75, 0.5) for i in range(90)]
+    want = sorted((i, j) for i, a in enumerate(left) for j, b in enumerate(right) if G.intersects(a, b))
+    assert joined(spark, left, right, "intersects") == want
+    assert joined(spark, right, left, "intersects") == sorted((j, i) for i, j in want)
+    assert 0 < asked.value <= 2 * 4 * 3
