@@ -32,6 +32,9 @@ HELD = 256 << 20
 #: Cells of a block of states, and parts in which the states of a block meet first.
 BLOCK, FAN = 4096, 32
 
+#: Tiles of a list that are matrices of doubles at once.
+TILES = 4096
+
 STATS = ("count", "min", "max", "mean", "variance")
 LOCAL_STATS_TYPE = T.StructType([T.StructField(n, TILE_TYPE) for n in STATS])
 
@@ -242,7 +245,9 @@ def _merged_udf(name: str):
     def run(lists: pa.Array) -> pa.Array:
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         held: dict[int, Running] = {}
-        _fold(lists.flatten(), np.repeat(np.arange(len(lists)), sizes), held)
+        tiles, owner = lists.flatten(), np.repeat(np.arange(len(lists)), sizes)
+        for a in range(0, len(tiles), TILES):
+            _fold(tiles.slice(a, TILES), owner[a : a + TILES], held)
         return build(len(lists), [(np.array([k]), ct, r.cols, r.rows, cells.reshape(1, -1)) for k, r in sorted(held.items()) for ct, cells in [r.result(name)]])
 
     return run

@@ -701,9 +701,8 @@ def rgb_composites(spark, sf_dir):
 
 @query(f"with {CELLS} select label, (i % 8)::int as column_index, (i // 8)::int as row_index, count(x)::double as n, (count(*) - count(x))::double as missing, round(avg(x::double), 6) as mean, case when count(x) = count(*) then round(min(x::double), 6) end as lo, case when count(x) = count(*) then round(max(x::double), 6) end as hi, round(var_pop(x::double), 6) as variance from cells group by label, i")
 def local_agg_columns(spark, sf_dir):
-    """Cell-wise aggregates as columns."""
-    g = tiles(spark, sf_dir).groupBy("label").agg(L.local_agg_data_cells("tile").alias("n"), L.local_agg_no_data_cells("tile").alias("missing"), L.local_agg_mean("tile").alias("mean"), L.local_agg_min("tile").alias("lo"), L.local_agg_max("tile").alias("hi"), L.local_agg_stats("tile").alias("s"))
-    return _local_cells(g.select("label", "n", "missing", "mean", "lo", "hi", F.col("s.variance").alias("variance")))
+    """All cell-wise aggregates of a label as columns beside each other, from one pass over the tiles."""
+    return _local_cells(L.local_agg_by(tiles(spark, sf_dir), ["label"], "tile", {"n": "data_cells", "missing": "no_data_cells", "mean": "mean", "lo": "plain_min", "hi": "plain_max", "variance": "variance"}))
 
 
 def _local_cells(df: DataFrame) -> DataFrame:

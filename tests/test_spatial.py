@@ -282,3 +282,32 @@ def test_geometry_join_asks_once_for_equal_geometries(spark, monkeypatch, hot):
     assert joined(spark, left, right, "intersects") == want
     assert joined(spark, right, left, "intersects") == sorted((j, i) for i, j in want)
     assert 0 < asked.value <= 2 * 4 * 3
+
+
+def test_aggregates_as_columns_gather_no_tiles(spark, tmp_path, monkeypatch):
+    """The query folds tiles in each task; the column form, which gathers a group, holds few of them as doubles."""
+    from rasterloom import queries
+
+    rows = [(i, i % 2, [float((i * 7 + k) % 5) for k in range(64)]) for i in range(50)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    df = queries.local_agg_columns(spark, str(tmp_path))
+    assert "collect_list" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r.label, r.row_index * 8 + r.column_index): r for r in df.collect()}
+    for label in range(2):
+        x = np.array([v for _, k, v in rows if k == label])
+        for cell in range(64):
+            own, data = got[label, cell], x[:, cell][x[:, cell] != 0]
+            assert (own.n, own.missing) == (len(data), 25 - len(data))
+            assert np.allclose((own.mean, own.variance), (data.mean(), data.var()), atol=1e-6)
+            assert (own.lo, own.hi) == ((data.min(), data.max()) if len(data) == 25 else (None, None))
+    sizes, fold = [], local_aggregate._fold
+    monkeypatch.setattr(local_aggregate, "TILES", 10)
+    monkeypatch.setattr(local_aggregate, "_fold", lambda tiles, *rest: (sizes.append(len(tiles)), fold(tiles, *rest)))
+    import pyarrow as pa
+
+    from rasterloom.tile import ARROW_TILE
+
+    one = [dict(zip(("cellType", "cols", "rows", "data"), Tile.of(np.full((2, 2), float(i))).row())) for i in range(35)]
+    lists = pa.array([one[:3], None, one[3:]], pa.list_(ARROW_TILE))
+    means = [Tile.from_row(t) for t in local_aggregate.UDF_MERGED["mean"].func(lists).to_pylist()]
+    assert max(sizes) == 10 and means[1] is None and [means[k].cells[0, 0] for k in (0, 2)] == [1.0, 18.5]
