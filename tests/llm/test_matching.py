@@ -57,6 +57,31 @@ def test_repeated_starts_equal_brute_force():
         assert [q.tolist() for q in induced.repeated_starts(xs, ws, size, r.choice([100, 1 << 28]))] == [[i for i in range(w) if n[x[i : i + size]] > 1] for x, w in zip(xs, ws)]
 
 
+def test_shared_bytes_are_one_symbol():
+    """Parts of 64 starts whose strings hold the same 337 bytes: a quarter of the symbols, the starts of brute force."""
+    r = random.Random(22)
+    make = lambda n: "".join(r.choice("ab") for _ in range(n)).encode()
+    parts, size = [], 64
+    for _ in range(40):
+        core, sides = make(401 - size), [(make(63), make(63)) for _ in range(2)]
+        for _ in range(r.randint(2, 6)):
+            (x, y), at = r.choice(sides), r.randrange(30)
+            x, y = (x[:at] + b"c" + x[at + 1 :], y) if r.random() < 0.4 else (x, y[: at + 1] + b"c" + y[at + 2 :]) if r.random() < 0.5 else (x, y)
+            left, right = r.choice([0, 0, r.randrange(64)]), r.choice([63, 63, r.randrange(64)])
+            if 63 - left + right >= 63:
+                parts.append((x[left:], core, y[:right]))
+    shard, names = induced.Shard(size, 1 << 20), {}
+    for x, core, y in parts:
+        if core not in names:
+            names[core] = shard.name()
+        shard.add(x + core + y, len(x) + len(y) - 62, (len(x), len(x) + len(core), names[core]))
+    assert 0 < 4 * shard.size < 1.25 * sum(len(x + core + y) for x, core, y in parts)
+    n = Counter((x + core + y)[i : i + 400] for x, core, y in parts for i in range(len(x) + len(y) - 62))
+    got = [q.tolist() for q in shard.repeated()]
+    assert got == [[i for i in range(len(x) + len(y) - 62) if n[(x + core + y)[i : i + 400]] > 1] for x, core, y in parts]
+    assert any(got) and not all(len(q) == len(x) + len(y) - 62 for q, (x, _, y) in zip(got, parts))
+
+
 def test_least_values_of_ranges(tmp_path):
     r = np.random.default_rng(3)
     for n in (1, 5, 1023, 1024, 1025, 9000):
